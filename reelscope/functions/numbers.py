@@ -23,7 +23,7 @@ def nan_to_null(c) -> Column:
 
 def to_double(c) -> Column:
     """Text or number -> double; bad text, NaN -> null (pandas ``to_numeric(errors='coerce')``)."""
-    return nan_to_null(F.try_cast(strip_ws(_col(c).cast("string")), "double"))
+    return nan_to_null(strip_ws(_col(c).cast("string")).try_cast("double"))
 
 
 def round_half_even(c, digits: int) -> Column:

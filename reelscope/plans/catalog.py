@@ -77,5 +77,6 @@ def load_all() -> dict[str, Case]:
     # importing the case modules fills REGISTRY
     from reelscope.plans import (  # noqa: F401
         cases_disconnect,
+        cases_functions,
     )
     return REGISTRY
