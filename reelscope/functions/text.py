@@ -7,7 +7,7 @@ expressions here; the operators that explode them into rows live in
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Code-point ranges deleted by the emoji stripper, in the reference's order.
@@ -110,17 +110,32 @@ def tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(TOKEN_PATTERN), 0)
 
 
-def tokenize_ngrams(c, stopwords: list[str], n_max: int = 2) -> Column:
-    """Tokens, stop words removed, *then* 1- and 2-grams (bigrams bridge removed words).
+def bigrams_of(toks) -> Column:
+    """Adjacent pairs of a token array, joined by a space."""
+    toks = _col(toks)
+    n = F.size(toks)
+    return F.zip_with(F.slice(toks, 1, F.greatest(n - 1, F.lit(0))),
+                      F.slice(toks, 2, F.greatest(n - 1, F.lit(0))),
+                      lambda a, b: F.concat(a, F.lit(" "), b))
 
-    Multi-word stop-word entries never match a single token, as in the reference.
-    """
+
+def tokenize_ngrams(c, stopwords: list[str], n_max: int = 2) -> Column:
+    """T9 as one column expression (for short stop lists): tokens, stop words removed,
+    *then* 1- and 2-grams, so bigrams bridge removed words. Multi-word stop-word entries
+    never match a single token, as in the reference."""
     stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))]) if stopwords else F.array().cast("array<string>")
     toks = F.filter(tokens(c), lambda t: ~F.array_contains(stop, t))
-    if n_max < 2:
-        return toks
-    n = F.size(toks)
-    bigrams = F.zip_with(F.slice(toks, 1, F.greatest(n - 1, F.lit(0))),
-                         F.slice(toks, 2, F.greatest(n - 1, F.lit(0))),
-                         lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(toks, bigrams)
+    return F.concat(toks, bigrams_of(toks)) if n_max >= 2 else toks
+
+
+def with_ngrams(df: DataFrame, text: str, stopwords: list[str], out: str = "terms", n_max: int = 2) -> DataFrame:
+    """T9 for long stop lists: the stop-word test is Spark ML's ``StopWordsRemover``
+    (a hash-set lookup in the JVM) instead of a linear scan per token."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    tmp = df.withColumn("_toks", tokens(F.col(text)))
+    remover = StopWordsRemover(inputCol="_toks", outputCol="_kept", stopWords=sorted(set(stopwords)),
+                               caseSensitive=True)
+    kept = remover.transform(tmp).drop("_toks")
+    grams = F.concat(F.col("_kept"), bigrams_of("_kept")) if n_max >= 2 else F.col("_kept")
+    return kept.withColumn(out, grams).drop("_kept")

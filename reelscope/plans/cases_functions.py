@@ -189,8 +189,7 @@ def t8(spark, sf):
     f"g[-1] AS last_term FROM (SELECT doc_id, {Q.ngrams('text', default_stopwords())} AS g FROM v_doc)", DOC))
 def t9(spark, sf):
     """Stop words removed, then uni- and bigrams, on whole texts."""
-    g = TX.tokenize_ngrams(F.col("text"), default_stopwords())
-    d = V.v_doc(spark, sf).select("doc_id", g.alias("g"))
+    d = TX.with_ngrams(V.v_doc(spark, sf).select("doc_id", "text"), "text", default_stopwords(), out="g")
     return d.select("doc_id", F.size("g").alias("n_terms"),
                     F.array_join(F.slice("g", 1, 6), "|").alias("first_terms"),
                     F.try_element_at("g", F.lit(-1)).alias("last_term"))
