@@ -78,5 +78,6 @@ def load_all() -> dict[str, Case]:
     from reelscope.plans import (  # noqa: F401
         cases_disconnect,
         cases_functions,
+        cases_reshape,
     )
     return REGISTRY
