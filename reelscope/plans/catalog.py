@@ -79,5 +79,6 @@ def load_all() -> dict[str, Case]:
         cases_disconnect,
         cases_functions,
         cases_reshape,
+        cases_sentiment,
     )
     return REGISTRY

@@ -218,3 +218,50 @@ SQL_V_TURN = "v_turn AS (SELECT conv_id, turn, role, text FROM conversations)"
 def with_views(sql: str, *views: str) -> str:
     """Prefix a query with the views it uses."""
     return "WITH " + ",\n".join(views) + "\n" + sql
+
+
+# ------------------------------------------------------------------ V_SCORED, V_LABEL
+
+def v_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored sentences (form A: raw model label, confidence, rating text, source) from
+    ``events``; the raw labels are in several spellings so that N5 has work to do."""
+    e = table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    return e.select(
+        F.concat(F.lit("movie_"), (F.col("user_id") % 5).cast("string")).alias("movie_name"),
+        F.col("user_id").alias("review_id"),
+        F.col("event_id"),
+        (F.when(et == "purchase", F.lit("POS")).when(et == "signup", F.lit("positive"))
+          .when(et == "error", F.lit("LABEL_0")).when(et == "view", F.lit("neutral"))).alias("sentiment"),
+        F.when(F.col("value") / 500.0 > 1.0, F.lit(1.0)).otherwise(F.col("value") / 500.0).alias("confidence"),
+        F.when(F.col("event_id") % 7 == 0, F.lit("n/a"))
+         .otherwise((F.floor(F.col("value")) % 101).cast("string")).alias("rating"),
+        (F.when(F.col("value") < 100, F.lit("imdb")).when(F.col("value") < 250, F.lit("ltbx"))
+          .otherwise(F.lit("rt"))).alias("source"),
+    )
+
+
+SQL_V_SCORED = """v_scored AS (
+  SELECT 'movie_' || CAST(user_id % 5 AS VARCHAR) AS movie_name, user_id AS review_id, event_id,
+         CASE event_type WHEN 'purchase' THEN 'POS' WHEN 'signup' THEN 'positive' WHEN 'error' THEN 'LABEL_0'
+              WHEN 'view' THEN 'neutral' END AS sentiment,
+         CASE WHEN value / 500.0 > 1.0 THEN 1.0 ELSE value / 500.0 END AS confidence,
+         CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE CAST(CAST(floor(value) % 101 AS BIGINT) AS VARCHAR) END AS rating,
+         CASE WHEN value < 100 THEN 'imdb' WHEN value < 250 THEN 'ltbx' ELSE 'rt' END AS source
+  FROM events)"""
+
+
+def v_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the label table's quality flag as a ready sentiment (null when the
+    document has no label row)."""
+    d = v_doc(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    j = d.join(lab, "doc_id", "left")
+    return j.withColumn("sentiment", F.when(F.col("quality") == 1, F.lit("positive"))
+                                      .when(F.col("quality") == 0, F.lit("negative")))
+
+
+SQL_V_LABEL = """v_label AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, l.quality, l.toxic,
+         CASE WHEN l.quality = 1 THEN 'positive' WHEN l.quality = 0 THEN 'negative' END AS sentiment
+  FROM documents d LEFT JOIN labels l USING (doc_id))"""
