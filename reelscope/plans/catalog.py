@@ -80,5 +80,6 @@ def load_all() -> dict[str, Case]:
         cases_functions,
         cases_reshape,
         cases_sentiment,
+        cases_timeline,
     )
     return REGISTRY
