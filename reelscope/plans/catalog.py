@@ -81,5 +81,6 @@ def load_all() -> dict[str, Case]:
         cases_reshape,
         cases_sentiment,
         cases_timeline,
+        cases_profile,
     )
     return REGISTRY
