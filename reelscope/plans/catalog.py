@@ -82,5 +82,6 @@ def load_all() -> dict[str, Case]:
         cases_sentiment,
         cases_timeline,
         cases_profile,
+        cases_topics,
     )
     return REGISTRY

@@ -265,3 +265,20 @@ SQL_V_LABEL = """v_label AS (
   SELECT d.doc_id, d.text, d.lang, d.source, l.quality, l.toxic,
          CASE WHEN l.quality = 1 THEN 'positive' WHEN l.quality = 0 THEN 'negative' END AS sentiment
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
+
+
+# ------------------------------------------------------------------ V_TOPIC (texts with a ready topic)
+
+def v_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have an embedding, with its label as a ready topic id (-1 for the
+    outliers of ``v_emb``); the language plays the movie."""
+    d = v_doc(spark, sf_dir)
+    e = v_emb(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "topic")
+    return d.join(e, "doc_id").select("doc_id", F.col("lang").alias("movie_name"),
+                                      F.col("text").alias("review_text"), "topic")
+
+
+SQL_V_TOPIC = """v_topic AS (
+  SELECT d.doc_id, d.lang AS movie_name, d.text AS review_text,
+         CAST(CASE WHEN e.vec_id % 11 = 0 THEN -1 ELSE e.label END AS BIGINT) AS topic
+  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
