@@ -83,5 +83,6 @@ def load_all() -> dict[str, Case]:
         cases_timeline,
         cases_profile,
         cases_topics,
+        cases_pages,
     )
     return REGISTRY
