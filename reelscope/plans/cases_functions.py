@@ -186,7 +186,8 @@ def t8(spark, sf):
 
 @register("T9_tokenize_ngrams", oracle(
     f"SELECT doc_id, CAST(len(g) AS BIGINT) AS n_terms, array_to_string(list_slice(g, 1, 6), '|') AS first_terms, "
-    f"g[-1] AS last_term FROM (SELECT doc_id, {Q.ngrams('text', default_stopwords())} AS g FROM v_doc)", DOC))
+    f"g[-1] AS last_term FROM (SELECT doc_id, {Q.ngrams_of('k')} AS g FROM "
+    f"(SELECT doc_id, {Q.kept_tokens('text', default_stopwords())} AS k FROM v_doc))", DOC))
 def t9(spark, sf):
     """Stop words removed, then uni- and bigrams, on whole texts."""
     d = TX.with_ngrams(V.v_doc(spark, sf).select("doc_id", "text"), "text", default_stopwords(), out="g")

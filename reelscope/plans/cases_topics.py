@@ -70,9 +70,10 @@ reviews AS (SELECT t.doc_id, t.movie_name, t.review_text, t.topic, v.sentiment_l
 
 
 def _term_ctes(keys: str = "movie_name", src: str = "v_topic") -> str:
-    g = Q.ngrams("review_text", default_stopwords())
+    k = Q.kept_tokens("review_text", default_stopwords())
     return f"""
-tm_grams AS (SELECT {keys}, topic, unnest({g}) AS term FROM {src}),
+tm_kt AS (SELECT {keys}, topic, {k} AS k FROM {src}),
+tm_grams AS (SELECT {keys}, topic, unnest({Q.ngrams_of('k')}) AS term FROM tm_kt),
 tm_counts AS (SELECT {keys}, topic, term, count(*) AS n FROM tm_grams GROUP BY ALL),
 tm_df AS (SELECT {keys}, term, count(*) AS df FROM tm_counts GROUP BY ALL),
 tm_docs AS (SELECT {keys}, count(*) AS n_docs,

@@ -84,5 +84,6 @@ def load_all() -> dict[str, Case]:
         cases_profile,
         cases_topics,
         cases_pages,
+        cases_inventory,
     )
     return REGISTRY

@@ -67,9 +67,15 @@ def tokens(e: str) -> str:
     return f"regexp_extract_all(lower({e}), '{TOKEN}')"
 
 
-def ngrams(e: str, stopwords: list[str]) -> str:
+def kept_tokens(e: str, stopwords: list[str]) -> str:
+    """Tokens of ``e`` without the stop words."""
     stop = "[" + ", ".join(lit(w) for w in sorted(set(stopwords))) + "]::VARCHAR[]"
-    toks = f"list_filter({tokens(e)}, lambda t: NOT list_contains({stop}, t))"
+    return f"list_filter({tokens(e)}, lambda t: NOT list_contains({stop}, t))"
+
+
+def ngrams_of(toks: str) -> str:
+    """Unigrams then bigrams of a token-list column (give a column, not an expression:
+    the list is indexed once per bigram)."""
     return (f"(list_concat({toks}, list_transform(range(1, len({toks})), "
             f"lambda i: {toks}[i] || ' ' || {toks}[i + 1])))")
 
