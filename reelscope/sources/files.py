@@ -2,7 +2,8 @@
 
 Reads are ``spark.read`` with an explicit schema (never inferred): every raw column is a
 string and is cast later with ``try_cast``. Writes are the DataFrame writers; none
-coalesces to one file, so a write is as parallel as the data it writes.
+coalesces to one file, so a write is as parallel as the data it writes. CSV is written
+with doubled quotes (as pandas writes it) and is read back with ``multiLine``.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ def write_per_movie(df: DataFrame, path: str, movie: str = "movie_name", mode: s
     """One folder of CSV parts per movie (``movie_slug=<slug>``), so that a later
     read of one movie prunes the others."""
     (df.withColumn("movie_slug", slug(F.col(movie))).write.mode(mode).partitionBy("movie_slug")
-       .option("header", True).csv(path))
+       .option("header", True).option("escape", '"').csv(path))
 
 
 COMBINED_ORDER = ["movie_name", "username", "date", "review_text", "rating", "source"]
@@ -113,7 +114,7 @@ COMBINED_ORDER = ["movie_name", "username", "date", "review_text", "rating", "so
 
 def write_combined(df: DataFrame, path: str, order: Sequence[str] = COMBINED_ORDER, mode: str = "overwrite") -> None:
     """All movies in one CSV dataset, fixed column order."""
-    df.select(*order).write.mode(mode).option("header", True).csv(path)
+    df.select(*order).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_summary_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -131,7 +132,8 @@ def _csv_ready(df: DataFrame) -> DataFrame:
 def write_result_tables(tables: dict[str, DataFrame], folder: str, mode: str = "overwrite") -> None:
     """Each result table as a CSV dataset ``<folder>/<name>``."""
     for name, df in tables.items():
-        _csv_ready(df).write.mode(mode).option("header", True).csv(f"{folder.rstrip('/')}/{name}")
+        _csv_ready(df).write.mode(mode).option("header", True).option("escape", '"').csv(
+            f"{folder.rstrip('/')}/{name}")
 
 
 def save_topic_model(model, path: str) -> None:
