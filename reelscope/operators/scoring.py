@@ -9,14 +9,15 @@ score instead of dropping them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelscope.functions.numbers import argmax_index, map_model_label, softmax
-from reelscope.functions.text import strip_ws, tokens
+from reelscope.functions.numbers import map_model_label
+from reelscope.functions.text import strip_ws
 
 # The default lexicon (our own; the reference ships a model instead).
 POSITIVE_WORDS = ["good", "great", "best", "love", "loved", "excellent", "amazing", "beautiful", "wonderful",
@@ -30,34 +31,57 @@ NEUTRAL_LOGIT = 0.5
 SCORE_FIELDS = ["sentiment", "confidence", "prob_negative", "prob_neutral", "prob_positive"]
 
 
+def _word_alternation(words: list[str]) -> str:
+    """A pattern matching one whole token equal to one of ``words`` (tokens are maximal
+    runs of word characters, as in ``tokens``)."""
+    esc = [re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", w) for w in words]
+    return "(?U)\\b(?:" + "|".join(esc) + ")\\b"
+
+
 def lexicon_logits(text, positive: list[str] = POSITIVE_WORDS, negative: list[str] = NEGATIVE_WORDS) -> Column:
     """Three logits (negative, neutral, positive): negative-word count, a constant, and
-    positive-word count."""
-    toks = tokens(text)
-    pos = F.array(*[F.lit(w) for w in positive])
-    neg = F.array(*[F.lit(w) for w in negative])
-    n_pos = F.size(F.filter(toks, lambda t: F.array_contains(pos, t))).cast("double")
-    n_neg = F.size(F.filter(toks, lambda t: F.array_contains(neg, t))).cast("double")
+    positive-word count. Each count is one ``regexp_count`` pass over the lower-cased text
+    (no token array is built), equal to counting the lexicon's words among ``tokens``."""
+    low = F.lower(text if isinstance(text, Column) else F.col(text))
+    n_pos = F.regexp_count(low, F.lit(_word_alternation(positive))).cast("double")
+    n_neg = F.regexp_count(low, F.lit(_word_alternation(negative))).cast("double")
     return F.array(n_neg, F.lit(NEUTRAL_LOGIT), n_pos)
 
 
-def scores_from_logits(logits: Column, id2label: dict[str, str] | None = None) -> list[Column]:
-    """N8 + N9 + N7: probabilities, argmax (first on ties) and label."""
-    p = softmax(logits)
-    idx = argmax_index(p)
-    return [map_model_label(idx, id2label).alias("sentiment"), F.array_max(p).alias("confidence"),
-            p[0].alias("prob_negative"), p[1].alias("prob_neutral"), p[2].alias("prob_positive")]
+def with_scores(df: DataFrame, logits: Column, id2label: dict[str, str] | None = None,
+                keep: Column | None = None) -> DataFrame:
+    """N8 + N9 + N7 for three logits (negative, neutral, positive): adds ``sentiment``,
+    ``confidence`` and the three probabilities; rows where ``keep`` is false get nulls.
+
+    Scalar expressions on the three elements instead of ``transform`` / ``aggregate``, in
+    stages (each value is computed once and stays a column, so the optimizer does not
+    copy the exponentials into every consumer); the arithmetic is that of ``softmax`` /
+    ``argmax_index``: shift by the max, sum left to right, first index on ties."""
+    s = df.withColumn("_l", logits)
+    s = s.withColumns({"_a": F.col("_l")[0].cast("double"), "_b": F.col("_l")[1].cast("double"),
+                       "_c": F.col("_l")[2].cast("double")}).drop("_l")
+    s = s.withColumn("_m", F.greatest("_a", "_b", "_c"))
+    s = s.withColumns({"_ea": F.exp(F.col("_a") - F.col("_m")), "_eb": F.exp(F.col("_b") - F.col("_m")),
+                       "_ec": F.exp(F.col("_c") - F.col("_m"))})
+    s = s.withColumn("_t", F.col("_ea") + F.col("_eb") + F.col("_ec"))
+    s = s.withColumns({"prob_negative": F.col("_ea") / F.col("_t"), "prob_neutral": F.col("_eb") / F.col("_t"),
+                       "prob_positive": F.col("_ec") / F.col("_t")})
+    s = s.withColumn("confidence", F.greatest("prob_negative", "prob_neutral", "prob_positive"))
+    top = F.col("confidence")
+    idx = (F.when(F.col("prob_negative") == top, F.lit(0)).when(F.col("prob_neutral") == top, F.lit(1))
+            .otherwise(F.lit(2)))
+    s = s.withColumn("sentiment", map_model_label(idx, id2label))
+    s = s.drop("_a", "_b", "_c", "_m", "_ea", "_eb", "_ec", "_t")
+    if keep is not None:
+        s = s.withColumns({c: F.when(keep, F.col(c)) for c in SCORE_FIELDS})
+    return s
 
 
 def lexicon_scorer(df: DataFrame, text: str, positive: list[str] = POSITIVE_WORDS,
                    negative: list[str] = NEGATIVE_WORDS) -> DataFrame:
     """F2 (+ F3): adds the score columns; empty texts get null scores and stay."""
-    empty = strip_ws(F.coalesce(F.col(text), F.lit(""))) == ""
-    s = df.withColumn("_logits", lexicon_logits(F.col(text), positive, negative))
-    out = s.select("*", *scores_from_logits(F.col("_logits")))
-    for c in SCORE_FIELDS:
-        out = out.withColumn(c, F.when(~empty, F.col(c)))
-    return out.drop("_logits")
+    d = df.withColumn("_keep", ~score_missing_texts(df, text))
+    return with_scores(d, lexicon_logits(F.col(text), positive, negative), keep=F.col("_keep")).drop("_keep")
 
 
 def score_sentences(df: DataFrame, text: str, make_predict_fn: Callable[[], Callable], batch_size: int = 32,
@@ -75,10 +99,9 @@ def score_sentences(df: DataFrame, text: str, make_predict_fn: Callable[[], Call
                                 batch_size=batch_size, input_tensor_shapes=None)
     empty = score_missing_texts(df, text)
     # the UDF would see every row even inside a CASE, so empty texts take another branch
-    scored = (df.filter(~empty).withColumn("_logits", predict(F.col(text)))
-                .select("*", *scores_from_logits(F.col("_logits"), id2label)).drop("_logits"))
-    skipped = df.filter(empty).select("*", F.lit(None).cast("string").alias("sentiment"),
-                                      *[F.lit(None).cast("double").alias(c) for c in SCORE_FIELDS[1:]])
+    scored = with_scores(df.filter(~empty), predict(F.col(text)), id2label)
+    skipped = df.filter(empty).select("*", *[F.lit(None).cast("double").alias(c) for c in SCORE_FIELDS[1:]],
+                                      F.lit(None).cast("string").alias("sentiment"))
     return scored.unionByName(skipped)
 
 

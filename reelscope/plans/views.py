@@ -12,13 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelscope.operators.ordering import ordered_index
+from reelscope.session import spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+# Tables whose rows carry long texts: their operators are CPU-bound per row.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 # Raw date texts for the date parser: (Spark pattern, DuckDB strftime pattern), chosen by

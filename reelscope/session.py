@@ -34,6 +34,20 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a CPU-heavy scan at least one partition per core.
+
+    A small file with one parquet row group is read by one task however many splits it
+    has, so text work on it runs on one core. When the scan has fewer partitions than the
+    cluster's default parallelism, rows are spread round-robin (a sort-based, repeatable
+    repartition); a large scan already has more splits than cores and is returned as is,
+    so no shuffle is added at scale."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
