@@ -16,6 +16,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelscope.session import cut_lineage
+
 from reelscope.functions.numbers import dominant_sentiment, pct, round_half_even, topic_params
 from reelscope.functions.text import bigrams_of, format_pct, keyword_string, tokens, with_ngrams
 
@@ -111,7 +113,10 @@ def topic_terms(df: DataFrame, text: str, keys: Sequence[str], stopwords: Sequen
     keys = list(keys)
     grams = with_ngrams(df.select(*keys, topic, text), text, list(stopwords), out="_g")
     terms = grams.select(*keys, topic, F.explode("_g").alias("term"))
-    counts = terms.groupBy(*keys, topic, "term").agg(F.count(F.lit(1)).alias("n"))
+    # the counts feed the document-frequency filter, the semi join and, downstream, the
+    # three sides of the TF-IDF; materialise them once in the checkpoint folder so the
+    # texts are tokenised once (and a lost executor re-reads them instead of re-tokenising)
+    counts = cut_lineage(terms.groupBy(*keys, topic, "term").agg(F.count(F.lit(1)).alias("n")))
     dfreq = counts.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_df"))
     if min_df is None or max_df is None:
         p = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs"))
