@@ -2,8 +2,9 @@
 
 Column functions live in ``reelscope.functions``, DataFrame operators in
 ``reelscope.operators``, readers and writers in ``reelscope.sources``, end-to-end flows and
-the checked query catalog in ``reelscope.plans``, and the streaming variant of the
-cleaning flow in ``reelscope.streaming``.
+the checked query catalog in ``reelscope.plans``. ``reelscope.streaming`` holds no operator:
+the reference has no streaming, and the column functions work unchanged on a streaming
+DataFrame.
 """
 
 __version__ = "0.1.0"

@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The reference processes files in batch and has no watermark, window, state or late-data
+handling, so nothing is built here. The column functions of ``reelscope.functions``
+(date parsing, rating scales, label rules, emoji removal, splitters) are plain Spark
+expressions and apply as they are to a DataFrame from ``spark.readStream``.
+"""
