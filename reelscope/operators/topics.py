@@ -76,6 +76,10 @@ def assign_topics(df: DataFrame, vec: str = "embedding", k: int = 10, seed: int
     return pred.withColumn(out, topic.cast("long")).drop("_v", "_c", "_dist", "_size", "_cut")
 
 
+# Largest centre table (topics x dimensions) taken to the driver as literals.
+MAX_CENTRE_CELLS = 1_000_000
+
+
 def assign_to_centres(df: DataFrame, centres: Sequence[Sequence[float]], vec: str = "embedding",
                       out: str = "topic") -> DataFrame:
     """M2, fixed-centre variant: the topic is the centre with the largest cosine

@@ -128,7 +128,12 @@ def _centres(spark, sf):
     e = V.v_emb(spark, sf).filter(F.col("topic") != M.OUTLIER)
     per = (e.select("topic", F.posexplode("embedding").alias("i", "x"))
              .groupBy("topic", "i").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    rows = per.orderBy("topic", "i").collect()  # k x d numbers: bounded by the number of topics
+    # k x d numbers (topics x dimensions), bounded by the topic count, not by the data;
+    # checked before they are brought to the driver as literal centres
+    cells = per.count()
+    if cells > M.MAX_CENTRE_CELLS:
+        raise ValueError(f"{cells} centre cells exceed {M.MAX_CENTRE_CELLS}; use assign_topics instead")
+    rows = per.orderBy("topic", "i").collect()
     centres: dict[int, list[float]] = {}
     for r in rows:
         centres.setdefault(r["topic"], []).append(r["m"])
