@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelscope.llm import packing, quality, secret_scan
-from reelscope.llm.common import read_table, stored
+from reelscope.llm import decontaminate, jaccard_join, packing, quality, secret_scan
+from reelscope.llm.common import read_table, stored, without_ids
 
 KEEP_SCORE = 0.3
 
@@ -23,6 +23,18 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scored.where(F.col("__quality") >= KEEP_SCORE).select(*docs.columns)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at five words and a similarity of 0.8, the one with the smallest id stays."""
+    found = jaccard_join.jaccard_components(docs, jaccard_join.Likeness(5, 80, 100))
+    return without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain 0.8 of a benchmark item's five-word shingles go."""
+    leaks = decontaminate.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    return without_ids(docs, leaks.select("doc_id"))
+
+
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret span is masked; ``n_chars`` follows the text."""
     scanned = secret_scan.scan_secrets(docs)
@@ -40,6 +52,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_filter),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", decontamination),
     ("secret scans", secret_masking),
     ("best-fit packing", pack),
 ]

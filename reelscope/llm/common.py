@@ -143,3 +143,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
+    """``docs`` whose doc_id is not in ``ids`` (one column doc_id; stored first). The ids are broadcast up
+    to ``most_broadcast`` rows, else both sides are shuffled. Rows with null doc_id stay."""
+    ids = stored(ids.where("doc_id is not null").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= most_broadcast else ids, "doc_id", "left_anti").select(*docs.columns)

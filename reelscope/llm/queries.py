@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelscope.llm import chat_format, packing, quality, secret_scan, shard, url_filter
+from reelscope.llm import (chat_format, decontaminate, embedding_dedup, jaccard_join, packing, quality, secret_scan,
+                           shard, suffix_dedup, url_filter)
 from reelscope.llm.common import read_table
 
 URL_RULES = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"),
@@ -21,6 +22,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.createDataFrame([(-1, 0, "user", CONTROL_TURN), (-1, 1, "assistant", CONTROL_TURN)], turns.schema)
@@ -53,13 +58,26 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                       secret_scan.told(F.col("s")).alias("spans"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), jaccard_join.Likeness(4, 85, 100))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_url_filter, op3_chat_format, op4_shards, op5_quality, op6_secrets, op9_packing]
+    own = [op1_url_filter, op2_decontaminate, op3_chat_format, op4_shards, op5_quality, op6_secrets,
+           op7_suffix_dedup, op8_embedding_dedup, op9_packing, op10_jaccard_join]
     return {f.__name__: f for f in own}
 
 
@@ -93,5 +111,50 @@ FROM e GROUP BY conv_id
 """
 
 
+def _shingles(table: str, key: str, n: int) -> str:
+    """CTEs ``{table}_s`` (key, distinct shingle) and ``{table}_n`` (key, size)."""
+    return rf"""{table}_w AS (SELECT {key}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+{table}_s AS (SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= {n}
+  THEN list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM {table}_w),
+{table}_n AS (SELECT {key}, count(*) AS n FROM {table}_s GROUP BY {key})"""
+
+
+SQL_OP2 = f"""
+WITH {_shingles("documents", "doc_id", 5)}, {_shingles("benchmark", "item_id", 5)},
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM documents_s JOIN benchmark_s USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_item, n_shared, n_shared / n AS containment
+FROM shared JOIN benchmark_n USING (item_id) WHERE 100 * n_shared >= 80 * n
+"""
+
+SQL_OP8 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL
+  AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), FALSE)), FALSE)
+  AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+cnt AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+  vec_id IS NOT DISTINCT FROM coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN low ON vec_id = low.a LEFT JOIN cnt ON vec_id = cnt.a
+"""
+
+SQL_OP10 = f"""
+WITH RECURSIVE {_shingles("documents", "doc_id", 4)},
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM documents_s x JOIN documents_s y
+  ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM shared JOIN documents_n p ON p.doc_id = a JOIN documents_n q ON q.doc_id = b
+  WHERE 100 * k >= 85 * (p.n + q.n - k)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN documents_n n ON n.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": SQL_OP1, "op3_chat_format": SQL_OP3}
+    return {"op1_url_filter": SQL_OP1, "op2_decontaminate": SQL_OP2, "op3_chat_format": SQL_OP3,
+            "op8_embedding_dedup": SQL_OP8, "op10_jaccard_join": SQL_OP10}
