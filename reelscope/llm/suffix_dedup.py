@@ -11,10 +11,10 @@ the same document) is removed.
    if its file holds other contexts too, or if it may repeat in itself (its least part comes twice in it).
    Only those contexts' bytes are fetched.
 3. Closer look, file by file in bounded chunks of whole files: contexts are dealt to shards; each shard's
-   suffixes are sorted and its transform taken (over two-byte symbols, from even and odd places); the
+   suffixes are sorted and its transform taken (over four-byte symbols, one sequence from each of four places); the
    shards' transforms are merged by iterative interleave refinement: round h puts the interleave in order
    of the first h symbols, by one stable pass over the merged transform, and marks where neighbours
-   begin to differ. After ``length / 2`` rounds the unmarked runs are the intervals of suffixes with a
+   begin to differ. After ``length / 4`` rounds the unmarked runs are the intervals of suffixes with a
    common prefix of ``length`` bytes; merging never compares or sorts suffixes again. In every interval
    all but the earliest string are repeats.
 4. Repeats become byte runs per document, joined with the texts: by broadcast if there are few documents
@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from reelscope.llm.common import scramble, signed, stored
 
 GRAM = 32
+STEP = 4
 NO_ID = -(1 << 63)
 
 
@@ -109,33 +110,39 @@ def _files(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInPandas(run, "file long, name long, doc long, first long, n long, again boolean")
 
 
+def symbols_of(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(symbol at every byte, first byte of every context, number of symbols): a symbol stands for four
+    bytes and keeps their order."""
+    raw = np.frombuffer(b"".join(contexts) + b"\0" * 3, np.uint8).astype(np.uint32)
+    four = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
+    names, symbol = np.unique(four, return_inverse=True)
+    size = np.array([len(c) for c in contexts])
+    return symbol, np.concatenate([[0], np.cumsum(size)[:-1]]), len(names)
+
+
 class Shard:
-    """The transform of some contexts: sequences of two-byte symbols from even and odd places."""
-
-    def __init__(self, contexts: list[bytes], number: np.ndarray):
-        raw = np.frombuffer(b"".join(contexts) + b"\0\0", np.uint8).astype(np.uint16)
-        size = np.array([len(c) for c in contexts])
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        phase = np.tile([0, 1], len(contexts))
-        m = (np.repeat(size, 2) - phase) // 2
+    """The transform of some contexts: sequences of four-byte symbols from each of four places."""
+
+    def __init__(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray, kind: type):
+        phase = np.tile(np.arange(STEP), len(start))
+        m = np.maximum((np.repeat(size, STEP) - phase) // STEP, 0)
         total = int((m + 1).sum())
         seq = np.repeat(np.arange(len(m)), m + 1)
         place = np.arange(total) - np.repeat(np.concatenate([[0], np.cumsum(m + 1)[:-1]]), m + 1)
         left = m[seq] - place  # symbols up to the end
-        byte = phase[seq] + 2 * place
-        at = np.minimum(np.repeat(start, 2)[seq] + byte, len(raw) - 2)
-        symbol = (raw[at] << 8 | raw[at + 1]).astype(np.int64)
+        byte = phase[seq] + STEP * place
+        symbol = symbols[np.minimum(np.repeat(start, STEP)[seq] + byte, len(symbols) - 1)]
         rank = np.where(left > 0, symbol + 1, 0)
-        order = self._suffixes(rank, left)
+        order = self._suffixes(rank, left, int(symbols.max()) + 2)
         self.ends = len(m)
         self.starts = place[order] == 0  # no symbol before: the end mark
         before = np.where(self.starts, 0, order - 1)
-        self.bwt = symbol[before].astype(np.uint16)
-        self.context = np.asarray(number)[seq[order] // 2]
+        self.bwt = symbol[before].astype(kind)
+        self.context = np.asarray(number)[seq[order] // STEP]
         self.byte = byte[order]
 
     @staticmethod
-    def _suffixes(rank: np.ndarray, left: np.ndarray) -> np.ndarray:
+    def _suffixes(rank: np.ndarray, left: np.ndarray, many: int) -> np.ndarray:
         def ahead(x: np.ndarray, w: int) -> np.ndarray:
             out = np.zeros(len(x), np.int64)
             out[:-w or None] = x[w:]
@@ -144,7 +151,9 @@ class Shard:
 
         if not len(rank):
             return np.empty(0, np.int64)
-        key, width = rank << 34 | ahead(rank, 1) << 17 | ahead(rank, 2), 3
+        key, width = rank * many + ahead(rank, 1), 2
+        if many < 1 << 21:
+            key, width = key * many + ahead(rank, 2), 3
         while True:
             order = np.argsort(key, kind="stable")
             sorted_key = key[order]
@@ -166,7 +175,7 @@ def merged_intervals(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.n
     ends = np.concatenate([np.full(s.ends, i, kind) for i, s in enumerate(shards)])
     bwt, starts = np.concatenate([s.bwt for s in shards]), np.concatenate([s.starts for s in shards])
     block, k = np.zeros(len(z), np.int32), len(ends)
-    symbol, inner = np.empty(len(z), np.uint16), np.empty(len(z), bool)
+    symbol, inner = np.empty(len(z), bwt.dtype), np.empty(len(z), bool)
     blocks = 1
     for _ in range(rounds):
         where = np.argsort(z, kind="stable")
@@ -189,14 +198,12 @@ def merged_intervals(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.n
 def repeated_strings(contexts: list[bytes], doc: np.ndarray, first: np.ndarray, n: np.ndarray, length: int,
                      shard_bytes: int = 262_144) -> tuple[np.ndarray, np.ndarray]:
     """(context, place) of every string that also starts earlier in these contexts."""
-    shards, own, size = [], [], 0
-    for i, c in enumerate(contexts):
-        own.append(i)
-        size += len(c)
-        if size >= shard_bytes or i + 1 == len(contexts):
-            shards.append(Shard([contexts[j] for j in own], np.array(own)))
-            own, size = [], 0
-    block, context, byte = merged_intervals(shards, length // 2)
+    symbols, start, many = symbols_of(contexts)
+    size = np.array([len(c) for c in contexts])
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(size) // shard_bytes)) + 1, [len(contexts)]])
+    kind = np.uint16 if many < 65536 else np.uint32
+    shards = [Shard(symbols, start[p:q], size[p:q], np.arange(p, q), kind) for p, q in zip(cut, cut[1:], strict=False) if q > p]
+    block, context, byte = merged_intervals(shards, length // STEP)
     many = np.bincount(block)[block] > 1
     many &= byte < n[context]
     block, context, byte = block[many], context[many], byte[many]
@@ -247,8 +254,8 @@ def _with_texts(docs: DataFrame, per_doc: DataFrame, how: str, most_broadcast: i
 
 def remove_repeats(docs: DataFrame, length: int = 100, chunk_bytes: int = 2_000_000, most_broadcast: int = 500_000) -> DataFrame:
     """``doc_id, runs`` (merged removed byte runs: pairs of 64-bit numbers), ``text`` for every row."""
-    if length % 2 or length < 2 * GRAM:
-        raise ValueError(f"length must be even and at least {2 * GRAM}")
+    if length % STEP or length < 2 * GRAM:
+        raise ValueError(f"length must be a multiple of {STEP} and at least {2 * GRAM}")
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
     here = Window.partitionBy("file").orderBy("name", "doc", "first")
     whole = here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
