@@ -7,12 +7,10 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark import StorageLevel  # noqa: F401  (kept for callers that persist)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_CACHE = 200_000
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,19 +41,21 @@ def stored(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    return out
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash; forgets all beyond ``WORD_CACHE`` words, so memory is bounded."""
+_PATHS: dict[int, str] = {}
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that nothing reads any more, and let the JVM release the
+    shuffle files of finished steps."""
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(id(df)))
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_batches(texts: Iterable[str | None], limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -83,12 +83,42 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_batch(raws: list[bytes], n: int, words: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all ``n``-word shingles in order (A-Z lower-cased, words split at ASCII white space),
-    and the offsets of each text's part. A text of fewer words gives its whole sequence; none gives none."""
-    split = [raw.lower().split() for raw in raws]
-    counts = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter((h for ws in split for h in map(words.__getitem__, ws)), np.uint64, int(counts.sum()))
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = scramble(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, kept up to the longest batch seen."""
+    if len(_POWERS.get("up", ())) < n:
+        size = max(n, BATCH_BYTES + BATCH_BYTES // 4)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _POWERS[name] = np.cumprod(p, dtype=np.uint64)
+    return _POWERS["up"][:n], _POWERS["down"]
+
+
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (A-Z lower-cased, split at ASCII white space) and the number of each text's."""
+    joined = b"\n".join(raws).lower()
+    a = np.frombuffer(joined, np.uint8)
+    inside = np.concatenate([[0], (~_SPACE[a]).view(np.int8), [0]])
+    edge = np.diff(inside)
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _powers(len(a))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[a] * up, dtype=np.uint64)])
+    flat = scramble((total[last] - total[first]) * down[first])
+    ends = np.cumsum(np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws)))
+    return flat, np.diff(np.concatenate([[0], np.searchsorted(first, ends)]))
+
+
+def shingle_batch(raws: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all ``n``-word shingles in order and the offsets of each text's part. A text of fewer
+    words gives its whole sequence; none gives none."""
+    flat, counts = word_hashes(raws)
     ends = np.cumsum(counts)
     made = np.maximum(counts - (n - 1), np.minimum(counts, 1))
     offsets = np.concatenate([[0], np.cumsum(made)])
@@ -100,8 +130,7 @@ def shingle_batch(raws: list[bytes], n: int, words: WordHashes) -> tuple[np.ndar
         acc += (padded[j:j + len(flat)] ^ _MIX[(j + 3) % 8]) * _MIX[j % 8]
     acc = scramble(acc)
     starts = ends - counts
-    take = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], made)
-    out = acc[take]
+    out = acc[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], made)]
     for i in np.flatnonzero((counts > 0) & (counts < n)):  # the whole sequence as one
         own = flat[starts[i]:ends[i]]
         value = (own ^ _MIX[7]) * _MIX[:len(own)]

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import WordHashes, shingle_batch, stored, text_batches
+from reelscope.llm.common import shingle_batch, stored, text_batches
 
 BINS, BASE = 64, 32
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -47,11 +47,10 @@ def signature(tokens: np.ndarray) -> np.ndarray:
 
 def item_sets(items: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
             out = []
             for _, raws in text_batches(batch["text"]):
-                flat, offsets = shingle_batch(raws, words, hashes)
+                flat, offsets = shingle_batch(raws, words)
                 out += [np.unique(flat[offsets[i]:offsets[i + 1]]).tobytes() for i in range(len(raws))]
             yield pd.DataFrame({"item_id": batch["item_id"].astype("Int64"), "tokens": out})
 
@@ -122,11 +121,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = 5, num: int = 80,
         sent = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index, hashes = ItemIndex(sent.value), WordHashes()
+            index = ItemIndex(sent.value)
             for batch in batches:
                 found, ids = [], batch["doc_id"].astype("Int64").tolist()
                 for first, raws in text_batches(batch["text"]):
-                    flat, offsets = shingle_batch(raws, words, hashes)
+                    flat, offsets = shingle_batch(raws, words)
                     for d, k in sorted(index.candidates(flat, offsets)):
                         own = index.sets[k]
                         inter = int(np.isin(own, flat[offsets[d]:offsets[d + 1]]).sum())

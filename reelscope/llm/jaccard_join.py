@@ -16,10 +16,15 @@ decides the work, never the result. Linked sets of size s share a shingle in the
   shingles cost in keys and expected list rows (from the counted list lengths). Small sets that may meet
   a set beyond the boundary write both.
 
-Within a key, sets are ordered by size. Neighbours are checked first (linear in the list), with size and
-position bounds; the checked links give components. Then only lists that still hold several components
-are joined with themselves across components, and those pairs are checked, so no link between different
-texts is lost while a group of near copies costs no pairs. The check is exact on whole shingle sets.
+Candidates. Within a key, sets are ordered by a MinHash value, so like sets are neighbours; neighbours
+are candidates first (linear in the list), twice more in the order of other MinHash values among sets
+that are not connected yet, in a few lists of each set. Only then are the lists that still hold several
+components compared in full, across components, block by block in the tasks by the bound below; only
+pairs that pass it are written. So no link between different texts is lost, while a group of near
+copies costs few rows.
+
+Check. A parity bitmap of about two bits a shingle bounds the difference of two sets from below and
+drops most false candidates; the rest are checked exactly on whole shingle sets.
 
 Null text is empty; empty sets link with nothing; rows with null doc_id have null component; repeated
 rows are rows of one node. Extra columns are ignored; empty input gives an empty result.
@@ -37,9 +42,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import WordHashes, components, scramble, shingle_batch, signed, stored, text_batches
+from reelscope.llm.common import components, discard, scramble, shingle_batch, signed, stored, text_batches
 
 QUARTER = np.uint64(1 << 62)
+MINHASH = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)]
 
 
 @dataclass(frozen=True)
@@ -55,12 +61,11 @@ class Likeness:
         return s - self.own_overlap(s) + 1
 
 
-def document_sets(batches: Iterator[pd.DataFrame], like: Likeness) -> Iterator[tuple[int, np.ndarray]]:
-    """For each batch in turn: (row number in the batch, sorted distinct shingles); ends a batch with (-1, ...)."""
-    words = WordHashes()
+def document_sets(batches: Iterator[pd.DataFrame], like: Likeness) -> Iterator[tuple]:
+    """(batch, row number, sorted distinct shingles) of each text; (batch, -1, None) ends a batch."""
     for batch in batches:
         for first, raws in text_batches(batch["text"]):
-            flat, offsets = shingle_batch(raws, like.words, words)
+            flat, offsets = shingle_batch(raws, like.words)
             for i in range(len(raws)):
                 yield batch, first + i, np.unique(flat[offsets[i]:offsets[i + 1]])
         yield batch, -1, None
@@ -73,37 +78,31 @@ def set_name(tokens: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _meta(docs: DataFrame, like: Likeness) -> DataFrame:
+def _sets_and_counts(docs: DataFrame, like: Likeness) -> DataFrame:
+    """Two kinds of rows from one pass: ``doc_id, size, node`` of every document (token null), and counts
+    ``n`` of the ``token``s of the first quarter of the hash space, summed per batch."""
+    names = ["doc_id", "size", "node", "token", "n"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
+        meta, parts, size = [], [], 0
         for batch, i, tokens in document_sets(batches, like):
             if i >= 0:
-                out.append((len(tokens), set_name(tokens) if len(tokens) else None))
+                meta.append((len(tokens), set_name(tokens) if len(tokens) else None))
+                parts.append(tokens[:np.searchsorted(tokens, QUARTER)])
+                size += len(parts[-1])
             elif len(batch):
-                frame = pd.DataFrame(out, columns=["size", "node"])
+                frame = pd.DataFrame(meta, columns=["size", "node"])
                 frame["node"] = frame["node"].astype("Int64")
-                frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+                frame["doc_id"] = batch["doc_id"].astype("Int64").to_numpy()
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield frame
-                out = []
-
-    return docs.mapInPandas(run, "doc_id long, size long, node long")
-
-
-def _quarter_counts(docs: DataFrame, like: Likeness) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, n = [], 0
-        for _, i, tokens in document_sets(batches, like):
-            if i >= 0:
-                own = tokens[:np.searchsorted(tokens, QUARTER)]
-                parts.append(own)
-                n += len(own)
-            if n > 1_000_000 or i < 0 and n:
+                yield frame.reindex(columns=names).astype("Int64")
+                meta = []
+            if size > 1_000_000 or i < 0 and size:
                 values, counts = np.unique(np.concatenate(parts), return_counts=True)
-                yield pd.DataFrame({"token": signed(values), "n": counts})
-                parts, n = [], 0
+                yield pd.DataFrame({"token": signed(values), "n": counts}).reindex(columns=names).astype("Int64")
+                parts, size = [], 0
 
-    return docs.mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.mapInPandas(run, "doc_id long, size long, node long, token long, n long")
 
 
 def boundary(like: Likeness, mean_list: float, most: int = 10_000) -> int:
@@ -117,13 +116,13 @@ def boundary(like: Likeness, mean_list: float, most: int = 10_000) -> int:
 
 
 def _keys(docs: DataFrame, like: Likeness, frequent: np.ndarray, small: int) -> DataFrame:
-    """``key, size, node, pos``: the keys of every set."""
+    """``key, x (node, size, pos), m0, m1, m2``: the keys of every set, and three MinHash values of it."""
     lowest = next(s for s in range(1, 10_000) if like.own_overlap(s) >= 2)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = shared.value
-        keys, sizes, nodes, places, n = [], [], [], [], 0
+        keys, places, sets, n = [], [], [], 0
         for _, i, tokens in document_sets(batches, like):
             s = len(tokens) if i >= 0 else 0
             if s:
@@ -141,32 +140,55 @@ def _keys(docs: DataFrame, like: Likeness, frequent: np.ndarray, small: int) ->
                     made.append((scramble(order[pairs[:, 0]] * np.uint64(3) ^ scramble(order[pairs[:, 1]])), pairs[:, 1] - 1))
                 if s > small or s * like.den >= like.num * (small + 1) or s * like.num <= like.den * (lowest - 1):
                     made.append((order[:p], np.arange(p)))
-                name = set_name(tokens)
-                for k, pos in made:
-                    keys.append(k)
-                    places.append(pos)
-                    sizes.append(np.full(len(k), s))
-                    nodes.append(np.full(len(k), name))
-                    n += len(k)
+                low = [int((tokens * m).min() >> np.uint64(34)) for m in MINHASH]
+                mine = sum(len(k) for k, _ in made)
+                sets.append((mine, set_name(tokens), s, *low))
+                keys += [k for k, _ in made]
+                places += [pos for _, pos in made]
+                n += mine
             if n > 200_000 or i < 0 and n:
-                yield pd.DataFrame({"key": signed(np.concatenate(keys)), "size": np.concatenate(sizes).astype(np.int32),
-                                    "node": np.concatenate(nodes), "pos": np.concatenate(places).astype(np.int32)})
-                keys, sizes, nodes, places, n = [], [], [], [], 0
+                rows = np.array(sets, np.int64)
+                rows = np.repeat(rows[:, 1:], rows[:, 0], axis=0)
+                yield pd.DataFrame({"key": signed(np.concatenate(keys)), "node": rows[:, 0], "size": rows[:, 1].astype(np.int32),
+                                    "pos": np.concatenate(places).astype(np.int32), "m0": rows[:, 2].astype(np.int32),
+                                    "m1": rows[:, 3].astype(np.int32), "m2": rows[:, 4].astype(np.int32)})
+                keys, places, sets, n = [], [], [], 0
 
-    return docs.select("text").mapInPandas(run, "key long, size int, node long, pos int")
+    return docs.select("text").mapInPandas(run, "key long, node long, size int, pos int, m0 int, m1 int, m2 int")
 
 
 def _may_link(like: Likeness, a: str, b: str) -> Column:
-    """Size and position bounds for sets ``a`` and ``b`` that share a key, sizes ascending."""
+    """Size and position bounds for sets ``a`` and ``b`` (structs) that share a key."""
     sa, sb = F.col(f"{a}.size").cast("long"), F.col(f"{b}.size").cast("long")
     left = F.least(sa - F.col(f"{a}.pos"), sb - F.col(f"{b}.pos"))
-    return (sa * like.den >= sb * like.num) & (left * (like.num + like.den) >= (sa + sb) * like.num)
-
-
-def _check(pairs: DataFrame, docs: DataFrame, meta: DataFrame, like: Likeness, most_broadcast: int = 2_000_000) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b: nodes), by their whole sets."""
-    need = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    reps = stored(meta.where("doc_id is not null").join(need, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sizes = F.least(sa, sb) * like.den >= F.greatest(sa, sb) * like.num
+    return sizes & (left * (like.num + like.den) >= (sa + sb) * like.num)
+
+
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """A bitmap of a power of two of bits, about two a shingle; a bit is the parity of its shingles."""
+    width = max(256, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens >> np.uint64(3)).astype(np.int64) & (width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def difference_bound(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of the symmetric difference; the longer bitmap is folded."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    for long, short in ((a, b), (b, a)):
+        width = len(long) * 8
+        while width > len(short) * 8:
+            width //= 2
+            if long is a:
+                x = (x >> width) ^ (x & ((1 << width) - 1))
+            else:
+                y = (y >> width) ^ (y & ((1 << width) - 1))
+    return (x ^ y).bit_count()
+
+
+def _stored_sets(nodes: DataFrame, docs: DataFrame, meta: DataFrame, like: Likeness, most_broadcast: int) -> DataFrame:
+    """``node, size, bits, tokens`` of the given nodes, from one document each."""
+    reps = stored(meta.where("doc_id is not null").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
                   .select("doc_id").distinct())
     small = F.broadcast(reps) if reps.count() <= most_broadcast else reps
 
@@ -174,15 +196,23 @@ def _check(pairs: DataFrame, docs: DataFrame, meta: DataFrame, like: Likeness, m
         out, n = [], 0
         for _, i, tokens in document_sets(batches, like):
             if i >= 0 and len(tokens):
-                out.append((set_name(tokens), tokens.tobytes()))
-                n += 8 * len(tokens)
-            if n > 4_000_000 or i < 0 and out:
-                yield pd.DataFrame(out, columns=["node", "tokens"])
+                out.append((set_name(tokens), len(tokens), parity_bits(tokens), tokens.tobytes()))
+                n += len(tokens)
+            if n > 500_000 or i < 0 and out:
+                yield pd.DataFrame(out, columns=["node", "size", "bits", "tokens"])
                 out, n = [], 0
 
-    sets = docs.join(small, "doc_id", "left_semi").select("text").mapInPandas(run, "node long, tokens binary")
-    sets = sets.dropDuplicates(["node"])
-    both = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    return stored(docs.join(small, "doc_id", "left_semi").select("text").mapInPandas(
+        run, "node long, size long, bits binary, tokens binary"))
+
+
+def _check(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """The linked ones of ``pairs`` (a, b: nodes)."""
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [difference_bound(x, y) * (like.num + like.den) <= (s + t) * (like.den - like.num)
+                    for x, y, s, t in zip(batch["xb"], batch["yb"], batch["xs"], batch["ys"], strict=True)]
+            yield batch.loc[keep, ["a", "b"]]
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,15 +224,129 @@ def _check(pairs: DataFrame, docs: DataFrame, meta: DataFrame, like: Likeness, m
                 keep.append(like.den * inter >= like.num * (len(x) + len(y) - inter))
             yield batch.loc[keep, ["a", "b"]]
 
-    return both.mapInPandas(exact, "a long, b long")
-
+    # rows that repeat a doc_id may give a node twice
+    bits = sets.select("node", "size", "bits").dropDuplicates(["node"])
+    both = pairs.join(bits.toDF("a", "xs", "xb"), "a").join(bits.toDF("b", "ys", "yb"), "b")
+    rest = stored(both.mapInPandas(possible, "a long, b long"))
+    tokens = sets.select("node", "tokens")
+    both = rest.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    return both.mapInPandas(exact, "a long, b long").distinct()
+
+
+def _labelled(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the lists that still hold several components, with their component."""
+    named = member.join(roots.toDF("r_node", "root"), F.col("x.node") == F.col("r_node"), "left").drop("r_node")
+    named = named.withColumn("root", F.coalesce("root", "x.node"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return named.join(mixed, "key", "left_semi")
+
+
+def _folded(bits: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps of ``words`` or twice as many 64-bit words, folded to ``words``."""
+    x = np.stack([np.frombuffer(b, "<u8") for b in bits])
+    return x if x.shape[1] == words else x[:, :words] ^ x[:, words:]
+
+
+def block_pairs(one: pd.DataFrame, other: pd.DataFrame, like: Likeness, most_words: int = 2_000_000) -> Iterator[tuple]:
+    """Node arrays (a, b) of the pairs of two blocks of a list that may be linked: components differ, and
+    sizes and bitmaps allow it. Sets that may be linked have bitmaps of equal or of double length."""
+    by_width = [{w: g for w, g in x.groupby(x["bits"].map(len) // 8)} for x in (one, other)]
+    for w, g in by_width[0].items():
+        for v in (w // 2, w, 2 * w):
+            h = by_width[1].get(v)
+            if h is None:
+                continue
+            words = min(v, w)
+            x, y = _folded(g["bits"], words), _folded(h["bits"], words)
+            gs, gr, gn = (g[c].to_numpy() for c in ("size", "root", "node"))
+            hs, hr, hn = (h[c].to_numpy() for c in ("size", "root", "node"))
+            step = max(1, most_words // (len(h) * words))
+            for at in range(0, len(g), step):
+                s = gs[at:at + step, None]
+                ok = (np.minimum(s, hs) * like.den >= np.maximum(s, hs) * like.num) & (gr[at:at + step, None] != hr)
+                if not ok.any():
+                    continue
+                far = np.bitwise_count(x[at:at + step, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                i, k = np.nonzero(ok & (far * (like.num + like.den) <= (s + hs) * (like.den - like.num)))
+                if len(i):
+                    yield gn[at:at + step][i], hn[k]
+
+
+def _across(mixed: DataFrame, sets: DataFrame, like: Likeness, block: int) -> DataFrame:
+    """The possible pairs (a, b) across components of every list. A list is cut into blocks; two blocks meet
+    in one task, and only pairs that pass the bitmap bound are written."""
+    lengths = mixed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = mixed.join(lengths, "key").join(sets.select("node", "bits").dropDuplicates(["node"]), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node",
+                       F.col("size").cast("long").alias("size"), "root", "bits")
 
-def jaccard_components(docs: DataFrame, like: Likeness, most_frequent: int = 4_000_000) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, found = ["key", "lo", "hi"], []
+
+        def meet(group: pd.DataFrame) -> Iterator[tuple]:
+            lo = group["own"].to_numpy() == group["lo"].iloc[0]
+            one, other = (group, group) if group["lo"].iloc[0] == group["hi"].iloc[0] else (group[lo], group[~lo])
+            yield from block_pairs(one, other, like)
+
+        def short(rows: pd.DataFrame) -> None:
+            """All pairs of many short lists of one block each, by distance in the list."""
+            key, s, root, node, bits = (rows[c].to_numpy() for c in ("key", "size", "root", "node", "bits"))
+            d = 1
+            while True:
+                same = np.flatnonzero(key[d:] == key[:-d])
+                if not len(same):
+                    return
+                x, y = same, same + d
+                ok = (root[x] != root[y]) & (np.minimum(s[x], s[y]) * like.den >= np.maximum(s[x], s[y]) * like.num)
+                for i, k in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                    if difference_bound(bits[i], bits[k]) * (like.num + like.den) <= (s[i] + s[k]) * (like.den - like.num):
+                        found.append((min(node[i], node[k]), max(node[i], node[k])))
+                d += 1
+
+        def told() -> pd.DataFrame:
+            out = pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+            found.clear()
+            return out
+
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            rows = pd.concat([*held, batch]) if held else batch
+            values = rows[name].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1, [len(rows)]])
+            length = np.diff(cuts)
+            held = [rows.iloc[cuts[-2]:]]
+            few = (length <= 64) & (values[cuts[:-1], 1] == values[cuts[:-1], 2])
+            few[-1] = False
+            short(rows[np.repeat(few, length)])
+            for i in np.flatnonzero(~few[:-1]):
+                for a, b in meet(rows.iloc[cuts[i]:cuts[i + 1]]):
+                    found.extend(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+            yield told()
+        if held:
+            for a, b in meet(held[0]):
+                found.extend(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+            yield told()
+
+    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInPandas(run, "a long, b long").distinct()
+
+
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(f"{a}.node", f"{b}.node").alias("a"), F.greatest(f"{a}.node", f"{b}.node").alias("b")).distinct()
+
+
+def jaccard_components(docs: DataFrame, like: Likeness, most_frequent: int = 4_000_000, most_broadcast: int = 2_000_000,
+                       tries: int = 24, block: int = 1024) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row. ``tries`` bounds the early candidates of a set
+    (see above); whatever they leave open is joined in full afterwards."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    meta = stored(_meta(docs, like))
+    first = stored(_sets_and_counts(docs, like))
+    meta = stored(first.where("size is not null").select("doc_id", "size", "node"))
     total = meta.agg(F.count("*").alias("n"), F.sum("size").alias("s")).first()
-    counts = stored(_quarter_counts(docs, like).where("n > 1"))
+    counts = stored(first.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"))
+    discard(first)
     by_length = counts.groupBy("n").agg(F.count("*").alias("lists")).collect()  # one row per list length
     often = max(32, math.isqrt(total["n"]) + 1)
     while sum(r["lists"] for r in by_length if r["n"] >= often) > most_frequent:
@@ -213,29 +357,36 @@ def jaccard_components(docs: DataFrame, like: Likeness, most_frequent: int = 4_0
     mean_list = (single + sum(n * n * k for n, k in rare)) / (single + sum(n * k for n, k in rare))
     small = boundary(like, mean_list)
 
-    me = F.struct("size", "node", "pos")
-    lists = _keys(docs, like, frequent, small).select("key", me.alias("x"))
-    here = Window.partitionBy("key").orderBy("x")
-    lists = lists.select("key", "x", F.lag("x", 1).over(here).alias("p"), F.lag("x", 2).over(here).isNotNull().alias("p2"),
+    here = Window.partitionBy("key").orderBy("m0", "x")
+    lists = _keys(docs, like, frequent, small).select("key", F.struct("node", "size", "pos").alias("x"), "m0", "m1", "m2")
+    lists = lists.select("*", F.lag("x", 1).over(here).alias("p"), F.lag("x", 2).over(here).isNotNull().alias("p2"),
                          F.lead("x", 1).over(here).isNotNull().alias("n1"), F.lead("x", 2).over(here).isNotNull().alias("n2"))
-    lists = stored(lists.where("p is not null or n1").select("key", "x", "p", (
+    lists = stored(lists.where("p is not null or n1").select("key", "x", "m1", "m2", "p", (
         F.col("p2") | F.col("n2") | (F.col("p").isNotNull() & F.col("n1"))).alias("long")))
-
-    def pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-        ok = rows.where(F.col(f"{a}.node") != F.col(f"{b}.node")).where(_may_link(like, a, b))
-        return ok.select(F.least(f"{a}.node", f"{b}.node").alias("a"), F.greatest(f"{a}.node", f"{b}.node").alias("b")).distinct()
-
-    near = stored(pairs(lists.where("p is not null"), "p", "x"))
-    links = stored(_check(near, docs, meta, like))
+    near = lists.where("p is not null and p.node <> x.node").where(_may_link(like, "p", "x"))
+    seen = stored(_pairs(near, "p", "x"))
+    # every list of two different sets is checked by now; longer ones go on
+    member = stored(lists.where("long").select("key", "x", "m1", "m2").distinct())
+    discard(lists)
+    nodes = seen.select(F.explode(F.array("a", "b")).alias("node")).unionByName(member.select("x.node")).distinct()
+    sets = _stored_sets(nodes, docs, meta, like, most_broadcast)
+    links = stored(_check(seen, sets, like))
     roots = components(links)
-    member = lists.where("long").select("key", "x").distinct().join(roots.toDF("r_node", "root"), F.col("x.node") == F.col("r_node"), "left")
-    member = stored(member.select("key", "x", F.coalesce("root", "x.node").alias("root")))
-    mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    member = member.join(mixed, "key", "left_semi")
-    across = member.select("key", F.col("x").alias("y"), F.col("root").alias("y_root"))
-    across = member.join(across, "key").where("x < y and root <> y_root")
-    rest = stored(pairs(across, "x", "y").join(near, ["a", "b"], "left_anti"))
-    more = stored(_check(rest, docs, meta, like))
+    for order in ("m1", "m2"):
+        mixed = stored(_labelled(member, roots))
+        # ties (near copies) in another order in each list, and a few lists for each set
+        here = Window.partitionBy("key").orderBy(order, F.xxhash64("x.node", "key", F.lit(order)))
+        near = mixed.select("key", "x", "root", F.lag("x").over(here).alias("p"), F.lag("root").over(here).alias("p_root"))
+        some = Window.partitionBy("x.node").orderBy(F.xxhash64("key", F.lit(order)))
+        near = near.where("p_root <> root").where(_may_link(like, "p", "x"))
+        near = near.withColumn("k", F.row_number().over(some)).where(F.col("k") <= tries)
+        new = stored(_pairs(near, "p", "x").join(seen, ["a", "b"], "left_anti"))
+        links = stored(links.unionByName(_check(new, sets, like)))
+        seen = seen.unionByName(new)
+        roots = components(links)
+    mixed = stored(_labelled(member, roots).select("key", "x.node", "x.size", "root"))
+    new = stored(_across(mixed, sets, like, block).join(seen, ["a", "b"], "left_anti"))
+    more = stored(_check(new, sets, like))
     if more.count():
         roots = components(links.unionByName(more))
 
