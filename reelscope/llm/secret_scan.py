@@ -113,17 +113,17 @@ def linked_weak_spans(docs: DataFrame, scope: int = 300) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, scope: int = 300) -> DataFrame:
-    """``docs`` with ``secret_spans``: all spans by start, then kind."""
+    """``docs`` with ``secret_spans`` (replaced if there): all spans by start, then kind."""
     weak = stored(linked_weak_spans(docs, scope))
     text = F.coalesce("text", F.lit(""))
-    names = docs.columns
-    strong = strong_spans(text)
-    rows = docs.select("*", *_key(docs), F.concat(*strong.values()).alias("__strong"))
+    docs = docs.drop("secret_spans")
+    strong = F.concat(*strong_spans(text).values())
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), *_key(docs), strong.alias("__strong"))
     weak = weak.toDF("w_id", "w_hash", "w_len", "w_spans")
     rows = rows.join(weak, rows["__id"].eqNullSafe(weak["w_id"]) & (rows["__hash"] == weak["w_hash"])
                      & (rows["__len"] == weak["w_len"]), "left")
     spans = F.array_sort(F.concat("__strong", F.coalesce(F.col("w_spans").cast(SPANS), _none())))
-    return rows.select(*names, spans.alias("secret_spans"))
+    return rows.select("__doc.*", spans.alias("secret_spans"))
 
 
 def told(spans: Column) -> Column:
