@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 1_000_000
@@ -138,6 +138,18 @@ def shingle_batch(raws: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
+#: Stands for a null id inside Python steps: pandas would turn a column with nulls into doubles.
+NO_ID = -(1 << 63)
+
+
+def no_null(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID)).alias(column)
+
+
+def null_again(column: str) -> Column:
+    return F.nullif(F.col(column), F.lit(NO_ID)).alias(column)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

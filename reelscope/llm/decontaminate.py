@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import shingle_batch, stored, text_batches
+from reelscope.llm.common import no_null, null_again, shingle_batch, stored, text_batches
 
 BINS, BASE = 64, 32
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -52,9 +52,9 @@ def item_sets(items: DataFrame, words: int) -> DataFrame:
             for _, raws in text_batches(batch["text"]):
                 flat, offsets = shingle_batch(raws, words)
                 out += [np.unique(flat[offsets[i]:offsets[i + 1]]).tobytes() for i in range(len(raws))]
-            yield pd.DataFrame({"item_id": batch["item_id"].astype("Int64"), "tokens": out})
+            yield pd.DataFrame({"item_id": batch["item_id"], "tokens": out})
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInPandas(run, "item_id long, tokens binary")
+    return items.select(no_null("item_id"), "text").mapInPandas(run, "item_id long, tokens binary")
 
 
 class ItemIndex:
@@ -113,7 +113,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = 5, num: int = 80,
     sets = stored(item_sets(items, words))
     size = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(no_null("doc_id"), "text")
     out = None
     for b in range(blocks):
         part = sets.where(F.pmod(F.xxhash64("item_id", "tokens"), F.lit(blocks)) == b).distinct()
@@ -123,7 +123,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = 5, num: int = 80,
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             index = ItemIndex(sent.value)
             for batch in batches:
-                found, ids = [], batch["doc_id"].astype("Int64").tolist()
+                found, ids = [], batch["doc_id"].tolist()
                 for first, raws in text_batches(batch["text"]):
                     flat, offsets = shingle_batch(raws, words)
                     for d, k in sorted(index.candidates(flat, offsets)):
@@ -131,11 +131,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = 5, num: int = 80,
                         inter = int(np.isin(own, flat[offsets[d]:offsets[d + 1]]).sum())
                         if den * inter >= num * len(own):
                             found.append((ids[first + d], index.ids[k], len(own), inter, inter / len(own)))
-                frame = pd.DataFrame(found, columns=["doc_id", "item_id", "n_item", "n_shared", "containment"])
-                for c in ("doc_id", "item_id"):
-                    frame[c] = frame[c].astype(object).where(frame[c].notna(), None).astype("Int64")
-                yield frame
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
         hits = docs.mapInPandas(run, "doc_id long, item_id long, n_item long, n_shared long, containment double")
         out = hits if out is None else out.unionByName(hits)
-    return out.distinct()
+    return out.distinct().withColumns({c: null_again(c) for c in ("doc_id", "item_id")})

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import components, discard, scramble, shingle_batch, signed, stored, text_batches
+from reelscope.llm.common import components, discard, no_null, null_again, scramble, shingle_batch, signed, stored, text_batches
 
 QUARTER = np.uint64(1 << 62)
 MINHASH = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)]
@@ -91,18 +91,17 @@ def _sets_and_counts(docs: DataFrame, like: Likeness) -> DataFrame:
                 parts.append(tokens[:np.searchsorted(tokens, QUARTER)])
                 size += len(parts[-1])
             elif len(batch):
-                frame = pd.DataFrame(meta, columns=["size", "node"])
-                frame["node"] = frame["node"].astype("Int64")
-                frame["doc_id"] = batch["doc_id"].astype("Int64").to_numpy()
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield frame.reindex(columns=names).astype("Int64")
+                frame = pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "size": [m[0] for m in meta],
+                                      "node": pd.array([m[1] for m in meta], dtype="Int64")})
+                yield frame.astype("Int64").reindex(columns=names).astype("Int64")
                 meta = []
             if size > 1_000_000 or i < 0 and size:
                 values, counts = np.unique(np.concatenate(parts), return_counts=True)
                 yield pd.DataFrame({"token": signed(values), "n": counts}).reindex(columns=names).astype("Int64")
                 parts, size = [], 0
 
-    return docs.mapInPandas(run, "doc_id long, size long, node long, token long, n long")
+    out = docs.select(no_null("doc_id"), "text").mapInPandas(run, "doc_id long, size long, node long, token long, n long")
+    return out.withColumn("doc_id", null_again("doc_id"))
 
 
 def boundary(like: Likeness, mean_list: float, most: int = 10_000) -> int:

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelscope.llm.common import no_null, null_again
+
 WORD_CACHE = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -78,11 +80,10 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int
                 for k, at in enumerate(range(0, len(raw), step)):
                     cut = raw[at:at + step]
                     out.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES)
+    out = docs.select(no_null("doc_id"), "text").mapInPandas(run, PIECES)
+    return out.withColumn("doc_id", null_again("doc_id"))
 
 
 class OpenBins:
@@ -129,14 +130,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, open_bins: int = 4096)
         own, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 36
         for batch in batches:
             placed = [own.place(n) for n in batch["length"].tolist()]
-            batch["doc_id"] = batch["doc_id"].astype("Int64")
             batch["sequence_id"] = [base + p[0] for p in placed]
             batch["offset"] = [p[1] for p in placed]
             yield batch
 
-    dealt = pieces.select(*names).hint("rebalance")
+    dealt = pieces.select(no_null("doc_id"), *names[1:]).hint("rebalance")
     order = [F.col("length").desc(), *[F.col(c) for c in names if c != "length"]]
-    return dealt.sortWithinPartitions(*order).mapInPandas(run, PIECES + ", sequence_id long, offset long")
+    out = dealt.sortWithinPartitions(*order).mapInPandas(run, PIECES + ", sequence_id long, offset long")
+    return out.withColumn("doc_id", null_again("doc_id"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = 4096,

@@ -38,11 +38,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import scramble, signed, stored
+from reelscope.llm.common import NO_ID, no_null, null_again, scramble, signed, stored
 
 GRAM = 32
 STEP = 4
-NO_ID = -(1 << 63)
 
 
 def gram_hashes(raw: bytes) -> np.ndarray:
@@ -330,8 +329,9 @@ def digests(removed: DataFrame) -> DataFrame:
                 size, cut, kept = kept_bytes(text, runs)
                 out.append((size, size - len(kept), len(cut), hashlib.sha256(kept).hexdigest()))
             frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
+            frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield frame
 
-    return removed.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = removed.select(no_null("doc_id"), "runs", "text").mapInPandas(
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.withColumn("doc_id", null_again("doc_id"))
