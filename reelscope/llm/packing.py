@@ -23,9 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import no_null, null_again
+from reelscope.llm.common import no_null, null_again, text_batches
 
-WORD_CACHE = 200_000
+WORD_CACHE = 400_000
+LONG = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -36,6 +37,10 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = tokenizer
 
+    def __missing__(self, word: bytes) -> bytes:
+        self.learn({word})
+        return self[word]
+
     def learn(self, words: set[bytes]) -> None:
         import numpy as np
 
@@ -69,17 +74,20 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int
         tail, step = int(end_id).to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = text.encode().split() if isinstance(text, str) else []
-                part = []
-                for at in range(0, len(words), 100_000):  # a long text may have more words than the cache
-                    some = words[at:at + 100_000]
-                    ids.learn(set(some))
-                    part.append(b"".join(map(ids.__getitem__, some)))
-                raw = b"".join(part) + tail
-                for k, at in enumerate(range(0, len(raw), step)):
-                    cut = raw[at:at + step]
-                    out.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
+            for first, raws in text_batches(batch["text"]):
+                split = [raw.split() for raw in raws]
+                ids.learn({w for words in split if len(words) <= LONG for w in words})
+                for doc_id, words in zip(batch["doc_id"].iloc[first:first + len(raws)], split, strict=True):
+                    part = []
+                    for at in range(0, len(words), LONG):  # a long text may have more words than the cache
+                        some = words[at:at + LONG]
+                        if len(words) > LONG:
+                            ids.learn(set(some))
+                        part.append(b"".join(map(ids.__getitem__, some)))
+                    raw = b"".join(part) + tail
+                    for k, at in enumerate(range(0, len(raw), step)):
+                        cut = raw[at:at + step]
+                        out.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     out = docs.select(no_null("doc_id"), "text").mapInPandas(run, PIECES)
