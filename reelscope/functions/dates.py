@@ -6,6 +6,8 @@ whole-stage codegen and works the same on batch and streaming DataFrames.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ YEARLESS_FORMATS = [
     ("%d %b", "d MMM yyyy"),
     ("%d %B", "d MMMM yyyy"),
 ]
+# The texts that the year-less formats read.
+YEARLESS = "^(?:[A-Za-z]{3,} [0-9]{1,2}|[0-9]{1,2} [A-Za-z]{3,})$"
 
 
 def _col(c) -> Column:
@@ -61,9 +65,27 @@ def null_if_missing(c) -> Column:
     return F.when(~is_missing_token(c), s)
 
 
-def _ntz(text: Column, pattern: str) -> Column:
-    # try_to_timestamp parses in the session zone; casting to NTZ gives back the wall clock
-    return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+def _ntz(text: Column, pattern) -> Column:
+    # parsed as UTC and rebuilt from the microseconds, so the session zone has no say
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    micros = F.unix_micros(F.try_to_timestamp(F.concat(text, F.lit(" +00:00")), F.concat(pattern, F.lit(" XXX"))))
+    seconds = (micros.cast("decimal(18,0)") / F.lit(1000000)).cast("decimal(18,6)")
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+
+
+def _shape_of(pattern: str) -> str:
+    """The shape (see ``text_shape``) of the texts a date pattern reads."""
+    marks = {"yyyy": "Y", "MMMM": "b", "MMM": "a", "'T'": "a"}
+    return re.sub(r"(?:\[S+\])+|yyyy|MMMM|MMM|'T'|[MdHms]", lambda m: marks.get(m[0], "9"), pattern)
+
+
+def text_shape(text: Column) -> Column:
+    """The text with runs of letters as ``a`` (``b`` from four letters on) and runs of digits as
+    ``9`` (``Y`` from four digits on); the fraction of a second is always ``9``."""
+    for runs, mark in ((r"(:[0-9]+)\.[0-9]{1,6}$", "$1.9"), ("[A-Za-z]{4,}", "b"), ("[ac-zA-Z][A-Za-z]*", "a"),
+                       ("[0-9]{4,}", "Y"), ("[0-9]+", "9")):
+        text = F.regexp_replace(text, runs, mark)
+    return text
 
 
 def parse_date_strict(c, pattern: str) -> Column:
@@ -77,8 +99,17 @@ def fill_missing_year(text: Column, year: int) -> Column:
     The reference puts in the current year; here the year is a parameter so results
     do not depend on the day a job runs. Feb 29 in a non-leap year stays null.
     """
-    with_year = F.concat(text, F.lit(f" {int(year)}"))
-    return F.coalesce(*[_ntz(with_year, p) for _, p in YEARLESS_FORMATS])
+    with_year = F.when(text.rlike(YEARLESS), F.concat(text, F.lit(f" {int(year)}")))
+    return _ntz(with_year, _pattern_for(with_year, [p for _, p in YEARLESS_FORMATS]))
+
+
+def _pattern_for(text: Column, patterns: list[str]) -> Column:
+    """The first of ``patterns`` whose shape the text has, else null."""
+    by_shape: dict[str, str] = {}
+    for p in patterns:
+        by_shape.setdefault(_shape_of(p), p)
+    known = F.create_map(*[F.lit(x) for pair in by_shape.items() for x in pair])
+    return F.try_element_at(known, text_shape(text))
 
 
 def parse_review_date(c, as_of_year: int, rewrite_1900: bool = False) -> Column:
@@ -87,10 +118,15 @@ def parse_review_date(c, as_of_year: int, rewrite_1900: bool = False) -> Column:
     Trim, missing tokens -> null, drop every ``Z`` when the text has both ``T`` and ``Z``,
     then the formats in order (first hit wins), then the year-less forms (D2).
     ``rewrite_1900`` also moves a real year-1900 date to ``as_of_year`` as the reference does.
+
+    The shape of the text picks the one format that can read it, so a row is parsed once; only
+    ``9/9/Y`` has two readings, month first and then day first.
     """
     s = null_if_missing(c)
     s = F.when(s.contains("T") & s.contains("Z"), F.regexp_replace(s, "Z", "")).otherwise(s)
-    parsed = F.coalesce(*[_ntz(s, p) for _, p in DATE_FORMATS], fill_missing_year(s, as_of_year))
+    s = F.when(s.rlike(YEARLESS), F.concat(s, F.lit(f" {int(as_of_year)}"))).otherwise(s)
+    day_first = F.when(s.rlike("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), _ntz(s, "d/M/yyyy"))
+    parsed = F.coalesce(_ntz(s, _pattern_for(s, [p for _, p in DATE_FORMATS])), day_first)
     if rewrite_1900:
         parsed = F.when(
             F.year(parsed) == 1900,

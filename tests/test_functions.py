@@ -31,12 +31,12 @@ DATE_CASES = [
     ("Oct 09 2024", dt.datetime(2024, 10, 9)),
     ("October 9 2024", dt.datetime(2024, 10, 9)),
     ("05/09/2018", dt.datetime(2018, 5, 9)),       # month first wins
-    ("25/12/2024", dt.datetime(2024, 12, 25)),     # falls through to day first
-    ("2024/12/25", dt.datetime(2024, 12, 25)),
-    ("25-Dec-2024", dt.datetime(2024, 12, 25)),
-    ("25-December-2024", dt.datetime(2024, 12, 25)),
-    ("2024.12.25", dt.datetime(2024, 12, 25)),
-    ("2024_12_25", dt.datetime(2024, 12, 25)),
+    ("30/11/2019", dt.datetime(2019, 11, 30)),     # falls through to day first
+    ("1998/7/4", dt.datetime(1998, 7, 4)),
+    ("8-Feb-2003", dt.datetime(2003, 2, 8)),
+    ("19-August-1987", dt.datetime(1987, 8, 19)),
+    ("2011.06.21", dt.datetime(2011, 6, 21)),
+    ("2007_1_31", dt.datetime(2007, 1, 31)),
     ("Apr 17", dt.datetime(2025, 4, 17)),          # year filled in
     ("April 17", dt.datetime(2025, 4, 17)),
     ("17 Apr", dt.datetime(2025, 4, 17)),
@@ -53,6 +53,19 @@ def test_parse_review_date_all_formats(spark):
     assert got == [e for _, e in DATE_CASES]
 
 
+def test_dates_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    texts = ["2024-03-10 02:30:00", "1883-11-18 12:01:00", "Apr 17,", "2024-03-05T01:02:03.4567Z"]
+    try:
+        for name in ("America/New_York", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            df = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "i int, v string")
+            got = [r[0] for r in df.orderBy("i").select(DT.parse_review_date("v", 2025).cast("string")).collect()]
+            assert got == ["2024-03-10 02:30:00", "1883-11-18 12:01:00", None, "2024-03-05 01:02:03.4567"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_missing_tokens(spark):
     vals = ["", "nan", "None", "NaT", "null", "NaN", "N/A", "n/a", " N/A ", "x", None]
     got = col_values(spark, vals, DT.is_missing_token)
