@@ -8,7 +8,10 @@ with doubled quotes (as pandas writes it) and is read back with ``multiLine``.
 
 from __future__ import annotations
 
+import csv
+import fnmatch
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,21 +83,32 @@ def movie_from_path(c) -> Column:
 def read_scored(spark: SparkSession, folder: str, names: Sequence[str] = (),
                 pattern: str = "*sentiment*.csv") -> DataFrame:
     """The scored-sentence CSVs of a folder: every file matching ``pattern`` plus the
-    listed ``names`` (those that exist), in one scan; ``movie`` from the file name (S3).
-    Columns are read as strings by header name (all files of one job share a layout)."""
+    listed ``names`` (those that exist); ``movie`` from the file name (S3).
+
+    Columns are strings, matched by header name: only the header line of each file is read on
+    the driver, files with the same header are one scan with that schema, and the scans are
+    merged by name (a column that a file lacks is null). Empty files give no row; a folder
+    without any file gives an empty table with the column ``movie``."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     base = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = base.getFileSystem(conf)
-    import fnmatch
-    extra = [f"{folder.rstrip('/')}/{n}" for n in names
-             if not fnmatch.fnmatch(n, pattern) and fs.exists(jvm.org.apache.hadoop.fs.Path(base, n))]
-    reader = _csv(spark)
-    main = reader.option("pathGlobFilter", pattern).csv(folder)
-    out = main
-    if extra:
-        out = out.unionByName(_csv(spark).csv(extra), allowMissingColumns=True)
-    return out.withColumn("movie", movie_from_path(F.col("_metadata.file_name")))
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(base) if s.isFile()
+             and (fnmatch.fnmatch(s.getPath().getName(), pattern) or s.getPath().getName() in set(names))]
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for path in sorted(found, key=lambda p: p.getName()):
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(path), "UTF-8"))
+        head = lines.readLine()
+        lines.close()
+        if head:
+            layouts.setdefault(tuple(next(csv.reader([head.lstrip("﻿")]))), []).append(path.toString())
+    parts = []
+    for columns, paths in layouts.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        parts.append(_csv(spark, schema).csv(paths)
+                     .withColumn("movie", movie_from_path(F.url_decode("_metadata.file_name"))))
+    if not parts:
+        return spark.createDataFrame([], "movie string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def has_sentiment(df: DataFrame, columns: Sequence[str] = SENTIMENT_COLUMNS) -> bool:

@@ -106,6 +106,18 @@ def test_read_scored_and_movie_names(spark, tmp_path):
     assert SRC.has_sentiment(scored) and not SRC.has_sentiment(spark.range(1))
 
 
+def test_read_scored_matches_columns_by_header_name(spark, tmp_path):
+    (tmp_path / "one_sentiment.csv").write_text("sentence,sentiment\nfine,positive\n")
+    (tmp_path / "two_sentiment.csv").write_text("\ufeffsentiment,sentence,extra\nnegative,bad,x\n", encoding="utf-8")
+    (tmp_path / "more.csv").write_text("sentence,sentiment\nso so,neutral\n")
+    (tmp_path / "none_sentiment.csv").write_text("")
+    got = SRC.read_scored(spark, str(tmp_path), names=["more.csv", "absent.csv"])
+    rows = sorted((r.movie, r.sentence, r.sentiment, r.extra) for r in got.collect())
+    assert rows == [("More", "so so", "neutral", None), ("One Sentiment", "fine", "positive", None),
+                    ("Two Sentiment", "bad", "negative", "x")]
+    assert SRC.read_scored(spark, str(tmp_path), pattern="*nothing*").count() == 0
+
+
 def test_topic_model_round_trip(spark, tmp_path):
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
