@@ -87,7 +87,7 @@ def split_boundary(c, min_len: int = 10) -> Column:
     gives one piece, split on runs of ``.!?``; trim; keep pieces of ``min_len`` or more
     characters; add ``.`` when a piece has no end mark."""
     text = strip_ws(_col(c))
-    first = F.split(text, "(?<=[.!?])\\s+(?=[A-Z])")
+    first = F.split(text, f"(?<=[.!?]){_WS}+(?=[A-Z])")
     pieces = F.when(F.size(first) <= 1, F.split(text, "[.!?]+")).otherwise(first)
     kept = F.filter(F.transform(pieces, lambda p: strip_ws(p)), lambda p: F.length(p) >= min_len)
     return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelscope.functions.text import strip_ws
-from reelscope.operators.reshape import cap_per_group, dedup_keep_first, review_fingerprint
+from reelscope.operators.reshape import cap_per_group, unique_reviews
 
 # The defaults the reference writes when a field is not found, and the
 # text of a page that has no reviews.
@@ -90,20 +90,20 @@ def skip_empty_pages(df: DataFrame, html: str = "html", pattern: str = EMPTY_STA
 
 
 def collect_reviews(pages: DataFrame, item_patterns: Sequence[str], rules: dict, review_type: Column,
-                    source_filter: Column, cap: int = 80,
+                    source_filter: Column, cap: int | None = None,
                     decode: Sequence[str] = ("Review Content", "Name")) -> DataFrame:
-    """X5 -> X2 -> X1 -> ``Type`` / ``Source Filter`` tags -> U7 keep-first on the
-    fingerprint -> U8 cap per filter. Order is (page, item position). The ``decode``
-    fields are shown as text (character references decoded) before the fingerprint."""
+    """X5 -> X2 -> X1 -> ``Type`` / ``Source Filter`` tags -> U7 keep-first per review
+    -> U8 cap per filter where the caller asks for one. Order is (page, item position). The
+    ``decode`` fields are shown as text (character references decoded) before the comparison."""
     p = skip_empty_pages(pages).withColumns({"Type": review_type, "Source Filter": source_filter})
     items = explode_items(p.select("page_id", "Type", "Source Filter", "html"), "html", item_patterns)
     fields = extract_fields(items, "item_html", rules).drop("item_html")
     fields = fields.withColumns({c: unescape_html(c) for c in decode if c in rules})
-    fp = review_fingerprint("Source Filter", "Name", "Date", "Review Content")
-    ordered = fields.withColumns({"_rid": fp, "_order": F.struct("page_id", "item_index")})
-    unique = dedup_keep_first(ordered, ["_rid"], "_order")
-    capped = cap_per_group(unique, ["Source Filter"], cap, [F.col("page_id"), F.col("item_index")])
-    return capped.drop("_rid", "_order")
+    unique = unique_reviews(fields, "Source Filter", "Name", "Date", "Review Content",
+                            F.struct("page_id", "item_index"))
+    if cap is None:
+        return unique
+    return cap_per_group(unique, ["Source Filter"], cap, [F.col("page_id"), F.col("item_index")])
 
 
 def type_counts(reviews: DataFrame, col: str = "Type") -> DataFrame:

@@ -156,11 +156,11 @@ def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: str | Column) ->
     return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*df.columns)
 
 
-def review_fingerprint(filter_col: str, name: str, date: str, text: str) -> Column:
-    """Id from filter, name, date and a hash of the first 100 characters of text."""
-    return F.concat_ws("_", F.col(filter_col).cast("string"), F.col(name).cast("string"),
-                       F.col(date).cast("string"),
-                       F.xxhash64(F.substring(F.col(text), 1, 100)).cast("string"))
+def unique_reviews(df: DataFrame, filter_col: str, name: str, date: str, text: str,
+                   order: str | Column) -> DataFrame:
+    """The first row of each review. Two rows are the same review when filter, name, date
+    and the whole text are equal (nulls count as equal)."""
+    return dedup_keep_first(df, [filter_col, name, date, text], order)
 
 
 def cap_per_group(df: DataFrame, group: Sequence[str], n: int, order: Sequence) -> DataFrame:

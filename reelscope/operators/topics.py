@@ -16,9 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelscope.session import cut_lineage
-
-from reelscope.functions.numbers import dominant_sentiment, pct, round_half_even, topic_params
+from reelscope.functions.numbers import dominant_sentiment, pct, round_half_even
 from reelscope.functions.text import bigrams_of, format_pct, keyword_string, tokens, with_ngrams
 
 OUTLIER = -1
@@ -108,44 +106,34 @@ def rank_topics(df: DataFrame, keys: Sequence[str], topic: str = "topic", out: s
 # ------------------------------------------------------------------ M4, M5, M6: terms and keywords
 
 def topic_terms(df: DataFrame, text: str, keys: Sequence[str], stopwords: Sequence[str],
-                topic: str = "topic", min_df: Column | int | None = None, max_df: Column | int | None = None,
-                n_docs: bool = True, materialize: bool = False) -> DataFrame:
+                topic: str = "topic", min_df: int = 1, max_df: int | None = None) -> DataFrame:
     """M4: n-gram counts per (group, topic, term) after stop words; terms kept when the
     number of *topics* containing them (each topic is one text in class-based TF-IDF) is
-    within [min_df, max_df]. By default the limits come from N19 on the group's number
-    of documents.
-
-    ``materialize=True`` writes the counts once to the checkpoint folder (eagerly), for
-    flows that read them many times; it is off by default because it forces the
-    tokenisation even when a later step needs no term at all (measured: the topic
-    overview went from 5 s to 12-18 s with it, the keyword query gained ~12 %)."""
+    within [min_df, max_df]. The defaults keep every term at every size; the limits never
+    depend on the number of documents."""
     keys = list(keys)
     grams = with_ngrams(df.select(*keys, topic, text), text, list(stopwords), out="_g")
     terms = grams.select(*keys, topic, F.explode("_g").alias("term"))
     counts = terms.groupBy(*keys, topic, "term").agg(F.count(F.lit(1)).alias("n"))
-    if materialize:
-        counts = cut_lineage(counts)
-    dfreq = counts.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_df"))
-    if min_df is None or max_df is None:
-        p = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs"))
-        p = p.select(*keys, *[v.alias(f"_{k}") for k, v in topic_params(F.col("_docs")).items()])
-        dfreq = dfreq.join(p, keys)  # one row per group
-        lo, hi = F.col("_min_df"), F.col("_max_df")
-    else:
-        lo, hi = F.lit(min_df), F.lit(max_df)
-    kept = dfreq.filter((F.col("_df") >= lo) & (F.col("_df") <= hi)).select(*keys, "term")
-    return counts.join(kept, [*keys, "term"], "left_semi")
+    if min_df <= 1 and max_df is None:
+        return counts
+    per_term = Window.partitionBy(*keys, "term")  # at most one row per topic
+    found = F.count(F.lit(1)).over(per_term)
+    kept = (found >= min_df) if max_df is None else found.between(min_df, max_df)
+    return counts.withColumn("_kept", kept).filter("_kept").drop("_kept")
 
 
 def topic_keywords(terms: DataFrame, keys: Sequence[str], k: int = 5, topic: str = "topic") -> DataFrame:
     """M5: class-based TF-IDF, ``n/z * ln(1 + a/f)`` with n the term count in the topic,
     z the topic's total count, f the term's count over all topics and a the mean z of the
-    group; the top ``k`` terms per topic (score rounded to 6 digits, ties by term)."""
+    group; the top ``k`` terms per topic (score rounded to 6 digits, ties by term). ``f`` is a
+    window sum over (group, term), which holds at most one row per topic; ``z`` and ``a`` are
+    one row per topic. Both read the same exchange of term counts, so texts are tokenised once."""
     keys = list(keys)
     z = terms.groupBy(*keys, topic).agg(F.sum("n").alias("_z"))
-    a = z.groupBy(*keys).agg(F.avg("_z").alias("_a"))
-    f = terms.groupBy(*keys, "term").agg(F.sum("n").alias("_f"))
-    s = (terms.join(z, [*keys, topic]).join(a, keys).join(f, [*keys, "term"])
+    z = z.withColumn("_a", F.avg("_z").over(Window.partitionBy(*keys)))
+    f = F.sum("n").over(Window.partitionBy(*keys, "term"))
+    s = (terms.withColumn("_f", f).join(z, [*keys, topic])
               .withColumn("score", F.round(F.col("n") / F.col("_z") * F.log(1 + F.col("_a") / F.col("_f"))
                                            * F.lit(1e6)) / F.lit(1e6)))
     w = Window.partitionBy(*keys, topic).orderBy(F.col("score").desc(), F.col("term"))

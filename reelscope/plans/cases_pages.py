@@ -89,11 +89,9 @@ X6_SQL = f"""WITH tagged AS (
   items AS ({sql_items('tagged', 'page_id, "Type", "Source Filter"')}),
   fields AS (SELECT page_id, item_index, "Type", "Source Filter", {sql_fields('item_html', ITEM_RULES)} FROM items),
   uniq AS (SELECT * FROM (SELECT *, row_number() OVER (
-      PARTITION BY "Source Filter", "Name", "Date", substr("Review Content", 1, 100)
-      ORDER BY page_id, item_index) AS rn FROM fields) WHERE rn = 1),
-  capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "Source Filter" ORDER BY page_id, item_index)
-      AS rn2 FROM uniq) WHERE rn2 <= 80)
-  SELECT page_id, item_index, "Type", "Source Filter", "Review Content", "Name", "Date", "Rating" FROM capped"""
+      PARTITION BY "Source Filter", "Name", "Date", "Review Content"
+      ORDER BY page_id, item_index) AS rn FROM fields) WHERE rn = 1)
+  SELECT page_id, item_index, "Type", "Source Filter", "Review Content", "Name", "Date", "Rating" FROM uniq"""
 
 
 @register("X1_extract_fields", oracle(
@@ -123,7 +121,7 @@ def x3(spark, sf):
     return p.withColumn("rating", X.audience_rating("score"))
 
 
-X4_NAME = "<h1>([^<]{0,12})</h1>"
+X4_NAME = "<h1>([^<]*)</h1>"
 X4_LINK = "^https?://([^/]+)/"
 
 
@@ -144,13 +142,13 @@ def x5(spark, sf):
 
 
 def collected(spark, sf):
-    return X.collect_reviews(V.v_page(spark, sf), ITEMS, ITEM_RULES, _review_type(), _source_filter(), cap=80,
+    return X.collect_reviews(V.v_page(spark, sf), ITEMS, ITEM_RULES, _review_type(), _source_filter(),
                              decode=[n for n in ITEM_RULES if n in TEXT_FIELDS])
 
 
 @register("X6_collect_reviews", oracle(X6_SQL, PAGE))
 def x6(spark, sf):
-    """Items -> fields -> tags -> keep first per fingerprint -> at most 80 per filter."""
+    """Items -> fields -> tags -> keep first per review."""
     return collected(spark, sf).select("page_id", "item_index", "Type", "Source Filter", "Review Content",
                                        "Name", "Date", "Rating")
 

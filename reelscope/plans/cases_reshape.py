@@ -150,16 +150,12 @@ def u6(spark, sf):
 
 @register("U7_review_fingerprint", oracle(
     "SELECT " + ", ".join(REV_COLS) + " FROM (SELECT *, row_number() OVER (PARTITION BY source, username, date, "
-    "substr(review_text, 1, 100) ORDER BY review_id) AS rn FROM v_rev) WHERE rn = 1",
+    "review_text ORDER BY review_id) AS rn FROM v_rev) WHERE rn = 1",
     REV, doubles=("rating",), stamps=("date",)))
 def u7(spark, sf):
-    """Id from source, name, date and a hash of the text's first 100 characters;
-    first wins; the id is dropped after."""
+    """First row of each (source, name, date, whole text)."""
     r = V.v_rev(spark, sf).select(*REV_COLS)
-    fp = F.concat_ws("|", F.col("source"), F.col("username"),
-                     F.coalesce(F.col("date").cast("string"), F.lit("-")),
-                     F.coalesce(F.xxhash64(F.substring("review_text", 1, 100)).cast("string"), F.lit("-")))
-    return R.dedup_keep_first(r.withColumn("review_key", fp), ["review_key"], "review_id").drop("review_key")
+    return R.unique_reviews(r, "source", "username", "date", "review_text", "review_id")
 
 
 @register("U8_cap_per_group", oracle(

@@ -74,16 +74,7 @@ def _term_ctes(keys: str = "movie_name", src: str = "v_topic") -> str:
     return f"""
 tm_kt AS (SELECT {keys}, topic, {k} AS k FROM {src}),
 tm_grams AS (SELECT {keys}, topic, unnest({Q.ngrams_of('k')}) AS term FROM tm_kt),
-tm_counts AS (SELECT {keys}, topic, term, count(*) AS n FROM tm_grams GROUP BY ALL),
-tm_df AS (SELECT {keys}, term, count(*) AS df FROM tm_counts GROUP BY ALL),
-tm_docs AS (SELECT {keys}, count(*) AS n_docs,
-                   CASE WHEN count(*) < 200 THEN 3 WHEN count(*) < 1000 THEN 10 ELSE 20 END AS min_size
-            FROM {src} GROUP BY ALL),
-tm_params AS (SELECT {keys}, least(greatest(1, floor(n_docs * 0.001)), greatest(1, floor(min_size * 0.5))) AS min_df,
-                     greatest(least(greatest(1, floor(n_docs * 0.001)), greatest(1, floor(min_size * 0.5))) + 1,
-                              floor(n_docs * 0.8)) AS max_df FROM tm_docs),
-tm_kept AS (SELECT d.* FROM tm_df d JOIN tm_params p USING ({keys}) WHERE d.df >= p.min_df AND d.df <= p.max_df),
-terms AS (SELECT c.* FROM tm_counts c JOIN tm_kept k USING ({keys}, term))"""
+terms AS (SELECT {keys}, topic, term, count(*) AS n FROM tm_grams GROUP BY ALL)"""
 
 
 def _kw_ctes(k: int, keys: str = "movie_name", name: str = "kw") -> str:
@@ -181,7 +172,7 @@ def m3(spark, sf):
 
 @register("M4_topic_terms", _topic_sql("SELECT movie_name, topic, term, n FROM terms", _term_ctes()))
 def m4(spark, sf):
-    """M4: n-gram counts per (movie, topic, term) within the document-frequency limits."""
+    """M4: n-gram counts per (movie, topic, term), every term kept."""
     return _terms(spark, sf)
 
 

@@ -56,7 +56,7 @@ def split_punct(e: str) -> str:
 
 def split_boundary(e: str, min_len: int = 10) -> str:
     t = strip(e)
-    marked = f"regexp_split_to_array(regexp_replace({t}, '([.!?])\\s+([A-Z])', '\\1\x1e\\2', 'g'), '\x1e')"
+    marked = f"regexp_split_to_array(regexp_replace({t}, '([.!?]){WS}+([A-Z])', '\\1\x1e\\2', 'g'), '\x1e')"
     pieces = f"(CASE WHEN len({marked}) <= 1 THEN regexp_split_to_array({t}, '[.!?]+') ELSE {marked} END)"
     kept = f"list_filter(list_transform({pieces}, lambda p: {strip('p')}), lambda p: length(p) >= {min_len})"
     done = f"list_transform({kept}, lambda p: CASE WHEN regexp_matches(p, '[.!?]$') THEN p ELSE p || '.' END)"

@@ -158,12 +158,10 @@ SQL_V_SENT = """v_sent AS (
 
 def v_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence metadata (the cleaning step's sentence table) from ``events``: numbered
-    from 1 in event order, then the ``click`` pieces dropped with their numbers kept, as the
-    sentence splitter drops one-word pieces. Positions therefore disagree with ``v_sent``
-    for some rows, which is what the position join (J2) has to live with."""
+    from 1 in event order, every event kept."""
     e = table(spark, sf_dir, "events")
     numbered = ordered_index(e, ["user_id"], ["event_id"], out="_pos")
-    return numbered.filter(F.col("event_type") != "click").select(
+    return numbered.select(
         F.col("user_id").alias("review_id"),
         (F.col("_pos") + 1).alias("sentence_num"),
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("username"),
@@ -181,9 +179,8 @@ SQL_V_META = """v_meta AS (
            'user_' || CAST(user_id AS VARCHAR) AS username,
            ts AS date,
            CAST(CASE WHEN event_type <> 'error' THEN floor(value) % 101 END AS DOUBLE) AS rating,
-           CASE WHEN value < 100 THEN 'imdb' WHEN value < 250 THEN 'ltbx' ELSE 'rt' END AS source,
-           event_type
-    FROM events) WHERE event_type <> 'click')"""
+           CASE WHEN value < 100 THEN 'imdb' WHEN value < 250 THEN 'ltbx' ELSE 'rt' END AS source
+    FROM events))"""
 
 
 # ------------------------------------------------------------------ V_DOC, V_EMB, V_PAGE, V_TURN
@@ -276,15 +273,16 @@ SQL_V_LABEL = """v_label AS (
 # ------------------------------------------------------------------ V_TOPIC (texts with a ready topic)
 
 def v_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have an embedding, with its label as a ready topic id (-1 for the
-    outliers of ``v_emb``); the language plays the movie."""
+    """Every document with a ready topic id: the label of its embedding (-1 for the outliers
+    of ``v_emb``), or ``doc_id`` modulo 10 where it has none; the language plays the movie."""
     d = v_doc(spark, sf_dir)
     e = v_emb(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "topic")
-    return d.join(e, "doc_id").select("doc_id", F.col("lang").alias("movie_name"),
-                                      F.col("text").alias("review_text"), "topic")
+    return d.join(e, "doc_id", "left").select(
+        "doc_id", F.col("lang").alias("movie_name"), F.col("text").alias("review_text"),
+        F.coalesce("topic", (F.col("doc_id") % 10).cast("long")).alias("topic"))
 
 
 SQL_V_TOPIC = """v_topic AS (
   SELECT d.doc_id, d.lang AS movie_name, d.text AS review_text,
-         CAST(CASE WHEN e.vec_id % 11 = 0 THEN -1 ELSE e.label END AS BIGINT) AS topic
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
+         CAST(coalesce(CASE WHEN e.vec_id % 11 = 0 THEN -1 ELSE e.label END, d.doc_id % 10) AS BIGINT) AS topic
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""

@@ -102,6 +102,22 @@ def test_topic_keywords_formula(spark):
     assert math.isclose(got[(1, "bad")], round(2 / 4 * math.log(1 + a / 2), 6), abs_tol=1e-9)
 
 
+def test_topic_terms_do_not_depend_on_the_number_of_documents(spark):
+    def terms(n):
+        docs = spark.range(n).select(F.lit("m").alias("movie_name"), (F.col("id") % 9).alias("topic"),
+                                     F.concat(F.lit("common word"), (F.col("id") % 9).cast("string")).alias("text"))
+        return {(r.topic, r.term) for r in M.topic_terms(docs, "text", ["movie_name"], []).collect()}
+    assert terms(180) == terms(20_000) != set()
+
+
+def test_unique_reviews_compares_whole_columns(spark):
+    long = "x" * 150
+    rows = [("f", "a_b", "c", long + "1", 1), ("f", "a_b", "c", long + "2", 2), ("f", "a", "b_c", long + "1", 3),
+            ("f", None, "c", "t", 4), ("f", None, "c", "t", 5), ("f", "c", None, "t", 6)]
+    df = spark.createDataFrame(rows, "flt string, name string, date string, text string, n int")
+    assert sorted(r.n for r in R.unique_reviews(df, "flt", "name", "date", "text", "n").collect()) == [1, 2, 3, 4, 6]
+
+
 PAGES = [
     (1, "https://x.example.com/en/1?ref=a",
      '<html lang="en"><body><article><h1>T1</h1><p><b>Ann, great.<br><p>Loved it &amp; more</p>'
