@@ -51,13 +51,15 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a scratch folder set."""
+    Only a local session without one (tests) gets a scratch folder; on a cluster it is an error."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="reelscope-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
