@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
 Tokenising: the vocabulary drops white space and never merges across it, so a text is cut at ASCII
-white space and every distinct word is tokenised once per worker (cache of ``WORD_CACHE`` words); the
-ids are joined as little-endian 32-bit bytes. Each document ends with ``end_id``. Documents longer than
-``capacity`` are cut into pieces of ``capacity`` ids; the last piece may be shorter.
+white space and its words are looked up in a bounded cache that a worker process keeps from task to task;
+ASCII words that are new are put together from cached parts. The ids are joined as little-endian 32-bit
+bytes. Each document ends with ``end_id``. Documents longer than ``capacity`` are cut into pieces of
+``capacity`` ids; the last piece may be shorter.
 
 Packing: the pieces (a few numbers each, no ids) are dealt out evenly, sorted by falling length in each
 task, and placed online by best fit: a bitset keyed by free space gives the open bin with the least
@@ -16,9 +17,14 @@ result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,33 +32,94 @@ from pyspark.sql import functions as F
 from reelscope.llm.common import no_null, null_again, text_batches
 
 WORD_CACHE = 400_000
+PART_CACHE = 500_000
 LONG = 100_000
+WORD_END = "</w>"
+SPECIAL = b"<|"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds(dict):
-    """word (bytes) -> its ids as bytes."""
+    """word (bytes) -> its ids as bytes. A plain ASCII word is put together from its parts, the pieces the
+    vocabulary's own pattern cuts it into, which recur far more often than whole words; any other word is
+    tokenised whole. Words and parts are dropped when there are more than ``WORD_CACHE`` or ``PART_CACHE``."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        self.parts: dict[bytes, bytes] = {}
+        self.pattern = ascii_pattern(json.loads(tokenizer.to_str()))
+        ends = [i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)]
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.ends[ends] = True
 
     def __missing__(self, word: bytes) -> bytes:
         self.learn({word})
         return self[word]
 
-    def learn(self, words: set[bytes]) -> None:
-        import numpy as np
+    def _whole(self, words: list[bytes]) -> Iterator[bytes]:
+        for at in range(0, len(words), 10_000):
+            some = [w.decode() for w in words[at:at + 10_000]]
+            for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+                yield np.asarray(e.ids, "<u4").tobytes()
+
+    def _learn_parts(self, new: list[bytes]) -> None:
+        """Many parts are tokenised as one text; a part's ids end at the first that ends a word."""
+        for at in range(0, len(new), 500):
+            some = new[at:at + 500]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some) or cuts[-1] != len(ids):
+                self.parts.update(zip(some, self._whole(some), strict=True))
+                continue
+            raw, last = ids.tobytes(), 0
+            for part, cut in zip(some, (4 * cuts).tolist(), strict=True):
+                self.parts[part] = raw[last:cut]
+                last = cut
 
+    def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > WORD_CACHE:
             self.clear()
-            new = list(words)
-        for part in range(0, len(new), 10_000):
-            some = new[part:part + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False),
-                            strict=True):
-                self[w] = np.asarray(e.ids, "<u4").tobytes()
+            new = words
+        plain, other = [], []
+        for w in new:
+            (plain if self.pattern and w.isascii() and SPECIAL not in w else other).append(w)
+        self.update(zip(other, self._whole(other), strict=True))
+        if not plain:
+            return
+        cut = [self.pattern.findall(w.lower()) for w in plain]
+        if len(self.parts) > PART_CACHE:
+            self.parts.clear()
+        self._learn_parts([p for p in set().union(*cut) if p not in self.parts])
+        get = self.parts.__getitem__
+        for w, parts in zip(plain, cut, strict=True):
+            self[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+
+
+def ascii_pattern(definition: dict) -> re.Pattern | None:
+    """The pattern that cuts a lower-cased ASCII word into the parts the vocabulary never merges across, or
+    None if the vocabulary is not of that kind (lower case; matches of one pattern, then bytes; word ends)."""
+    try:
+        normal = [n["type"] for n in definition["normalizer"]["normalizers"]]
+        cut, then = definition["pre_tokenizer"]["pretokenizers"]
+        ours = (normal == ["NFC", "Replace", "Lowercase"] and cut["type"] == "Split" and cut["invert"]
+                and cut["behavior"] == "Removed" and then["type"] == "ByteLevel" and not then["add_prefix_space"]
+                and not then["use_regex"] and definition["model"]["end_of_word_suffix"] == WORD_END
+                and all(t["content"].startswith(SPECIAL.decode()) for t in definition["added_tokens"]))
+        pattern = cut["pattern"]["Regex"].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9")
+        return re.compile(pattern.encode()) if ours and r"\p" not in pattern else None
+    except (KeyError, TypeError, ValueError):
+        return None
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per worker process, kept from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return WordIds(Tokenizer.from_file(path))
 
 
 def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = 4096) -> DataFrame:
@@ -60,23 +127,18 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int
     read; None takes the installed public one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         path = vocabulary
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        ids = WordIds(Tokenizer.from_file(path))
+        ids = word_ids(path)
         tail, step = int(end_id).to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             out = []
             for first, raws in text_batches(batch["text"]):
                 split = [raw.split() for raw in raws]
-                ids.learn({w for words in split if len(words) <= LONG for w in words})
+                ids.learn(set().union(*(words for words in split if len(words) <= LONG)))
                 for doc_id, words in zip(batch["doc_id"].iloc[first:first + len(raws)], split, strict=True):
                     part = []
                     for at in range(0, len(words), LONG):  # a long text may have more words than the cache
