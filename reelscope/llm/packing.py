@@ -2,7 +2,7 @@
 
 Tokenising: the vocabulary drops white space and never merges across it, so a text is cut at ASCII
 white space and its words are looked up in a bounded cache that a worker process keeps from task to task;
-ASCII words that are new are put together from cached parts. The ids are joined as little-endian 32-bit
+new words of ASCII and Latin letters are put together from cached parts. The ids are joined as little-endian 32-bit
 bytes. Each document ends with ``end_id``. Documents longer than ``capacity`` are cut into pieces of
 ``capacity`` ids; the last piece may be shorter.
 
@@ -26,6 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +35,18 @@ from reelscope.llm.common import no_null, null_again, text_batches
 
 WORD_CACHE = 400_000
 PART_CACHE = 500_000
-LONG = 100_000
+LONG = 500_000
+TEXT_BYTES = 4_000_000
 WORD_END = "</w>"
 SPECIAL = b"<|"
+#: Letters of one code point each whose lower case is one too: Latin-1 and Latin Extended-A but for U+0130.
+LATIN_LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f"
+LATIN = re.compile(f"[\\x00-\\x7f{LATIN_LETTERS}]+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds(dict):
-    """word (bytes) -> its ids as bytes. A plain ASCII word is put together from its parts, the pieces the
+    """word (bytes) -> its ids as bytes. A word of ASCII and plain Latin letters is put together from its parts, the pieces the
     vocabulary's own pattern cuts it into, which recur far more often than whole words; any other word is
     tokenised whole. Words and parts are dropped when there are more than ``WORD_CACHE`` or ``PART_CACHE``."""
 
@@ -48,13 +54,15 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = tokenizer
         self.parts: dict[bytes, bytes] = {}
-        self.pattern = ascii_pattern(json.loads(tokenizer.to_str()))
+        pattern = parts_pattern(json.loads(tokenizer.to_str()))
+        self.pattern = pattern and re.compile(pattern.format(latin="").encode())
+        self.latin_pattern = pattern and re.compile(pattern.format(latin=LATIN_LETTERS), re.ASCII)
         ends = [i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)]
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
         self.ends[ends] = True
 
     def __missing__(self, word: bytes) -> bytes:
-        self.learn({word})
+        self.learn([word])
         return self[word]
 
     def _whole(self, words: list[bytes]) -> Iterator[bytes]:
@@ -77,18 +85,25 @@ class WordIds(dict):
                 self.parts[part] = raw[last:cut]
                 last = cut
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > WORD_CACHE:
             self.clear()
             new = words
-        plain, other = [], []
+        plain, cut, other = [], [], []
         for w in new:
-            (plain if self.pattern and w.isascii() and SPECIAL not in w else other).append(w)
+            if self.pattern and SPECIAL not in w:
+                if w.isascii():
+                    plain.append(w)
+                    cut.append(self.pattern.findall(w.lower()))
+                    continue
+                text = w.decode()
+                if LATIN.fullmatch(text):
+                    plain.append(w)
+                    cut.append([p.encode() for p in self.latin_pattern.findall(text.lower())])
+                    continue
+            other.append(w)
         self.update(zip(other, self._whole(other), strict=True))
-        if not plain:
-            return
-        cut = [self.pattern.findall(w.lower()) for w in plain]
         if len(self.parts) > PART_CACHE:
             self.parts.clear()
         self._learn_parts([p for p in set().union(*cut) if p not in self.parts])
@@ -96,10 +111,32 @@ class WordIds(dict):
         for w, parts in zip(plain, cut, strict=True):
             self[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
 
-
-def ascii_pattern(definition: dict) -> re.Pattern | None:
-    """The pattern that cuts a lower-cased ASCII word into the parts the vocabulary never merges across, or
-    None if the vocabulary is not of that kind (lower case; matches of one pattern, then bytes; word ends)."""
+    def texts(self, raws: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text. Words are numbered by Arrow, ``LONG`` at a time, and only distinct ones looked up."""
+        split = pc.ascii_split_whitespace(pa.array(raws, pa.large_binary()).cast(pa.large_string()))
+        flat, made, counts = split.flatten(), [], []
+        for at in range(0, len(flat), LONG):
+            coded = flat.slice(at, LONG).dictionary_encode()
+            words, index = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy()
+            self.learn(words)
+            own = [self[w] for w in words]
+            length = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+            count = length[index]
+            ends = np.cumsum(count)
+            take = np.repeat((np.cumsum(length) - length)[index] - (ends - count), count)
+            take += np.arange(len(take))
+            made.append(np.frombuffer(b"".join(own), "<u4")[take])
+            counts.append(count)
+        ids = np.concatenate(made) if made else np.empty(0, "<u4")
+        ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *counts]))[split.offsets.to_numpy()]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield ids[a:b].tobytes()
+
+
+def parts_pattern(definition: dict) -> str | None:
+    """The pattern that cuts a lower-cased word into the parts the vocabulary never merges across, with
+    ``{latin}`` for letters beyond ASCII; None if the vocabulary is not of that kind (lower case; matches
+    of one pattern, then bytes; word ends)."""
     try:
         normal = [n["type"] for n in definition["normalizer"]["normalizers"]]
         cut, then = definition["pre_tokenizer"]["pretokenizers"]
@@ -107,8 +144,10 @@ def ascii_pattern(definition: dict) -> re.Pattern | None:
                 and cut["behavior"] == "Removed" and then["type"] == "ByteLevel" and not then["add_prefix_space"]
                 and not then["use_regex"] and definition["model"]["end_of_word_suffix"] == WORD_END
                 and all(t["content"].startswith(SPECIAL.decode()) for t in definition["added_tokens"]))
-        pattern = cut["pattern"]["Regex"].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9")
-        return re.compile(pattern.encode()) if ours and r"\p" not in pattern else None
+        pattern = cut["pattern"]["Regex"]
+        if not ours or "{" in pattern.replace(r"\p{L}", "").replace(r"\p{N}", ""):
+            return None
+        return pattern.replace(r"\p{L}", "a-zA-Z{latin}").replace(r"\p{N}", "0-9")
     except (KeyError, TypeError, ValueError):
         return None
 
@@ -136,17 +175,9 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int
         tail, step = int(end_id).to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             out = []
-            for first, raws in text_batches(batch["text"]):
-                split = [raw.split() for raw in raws]
-                ids.learn(set().union(*(words for words in split if len(words) <= LONG)))
-                for doc_id, words in zip(batch["doc_id"].iloc[first:first + len(raws)], split, strict=True):
-                    part = []
-                    for at in range(0, len(words), LONG):  # a long text may have more words than the cache
-                        some = words[at:at + LONG]
-                        if len(words) > LONG:
-                            ids.learn(set(some))
-                        part.append(b"".join(map(ids.__getitem__, some)))
-                    raw = b"".join(part) + tail
+            for first, raws in text_batches(batch["text"], TEXT_BYTES):
+                for doc_id, raw in zip(batch["doc_id"].iloc[first:first + len(raws)], ids.texts(raws), strict=True):
+                    raw += tail
                     for k, at in enumerate(range(0, len(raw), step)):
                         cut = raw[at:at + step]
                         out.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))

@@ -236,6 +236,26 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_packing_ids_equal_plain_tokenising(monkeypatch):
+    import random
+
+    import public_tokenizers
+
+    ids = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    assert ids.pattern and ids.latin_pattern
+    draw = random.Random(5)
+    signs = "aB'stTre vVmMlLdD09.,<|>/w$%&#\"\u00e9 \u00c9\u00df\u0130J\u030c\u0301 \u0149\u017f\u0152\u00d7\u00f7\u00aa\u4e2d12\t\x1c\x7f\x0b\x0c\r\x85\n_-"
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 30))) for _ in range(800)]
+    texts += [chr(c) + end for c in range(0xC0, 0x180) for end in ("s", "'", "\u0301", " a")]
+    texts += ["a<|endoftext|>b </w> don't I'LL ''s 'S", "", " ", "\n"]
+    want = [e.ids for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(packing, "WORD_CACHE", 300)
+    monkeypatch.setattr(packing, "PART_CACHE", 200)
+    monkeypatch.setattr(packing, "LONG", 77)
+    got = [np.frombuffer(raw, "<u4").tolist() for raw in ids.texts([t.encode() for t in texts])]
+    assert got == want
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
     import public_tokenizers
