@@ -2,11 +2,12 @@
 
 Items (short test texts) and documents are sets of ``words``-word shingles. Items are partitioned by
 size into classes 32, 64, 128 ...: class m holds items of more than m/2 and up to m shingles (the first:
-up to 32). A long document would drown a short item in one signature, so for class m its shingle
+of more than ``DIRECT``). A long document would drown a short item in one signature, so for class m its shingle
 sequence is read in windows of 2m that advance by m. A signature has ``BINS`` bins by the top bits of the
 shingle hash, each with the least hash in it (MinHash by one permutation). An item and a document are a
 candidate when some bin of the item's signature equals that bin of one of the document's windows in the
-item's class; an item with 0.8 of its shingles inside one window misses with probability below 1e-5.
+item's class. Items of up to ``DIRECT`` shingles have too few bins for that: they are indexed by every shingle,
+and all that share enough shingles with the whole document are candidates, so none of them is missed.
 Candidates are checked by exact containment in the whole document: ``den * shared >= num * item size``.
 
 The items' signatures and sets go to the tasks; they are cut into blocks of ``block_bytes`` at most, and
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from reelscope.llm.common import no_null, null_again, shingle_batch, stored, text_batches
 
-BINS, BASE = 64, 32
+BINS, BASE, DIRECT = 64, 32, 16
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -58,23 +59,54 @@ def item_sets(items: DataFrame, words: int) -> DataFrame:
 
 
 class ItemIndex:
-    """The items of one block, by size class: the values of their signatures and who has them."""
+    """The items of one block: short ones by all their shingles, others by size class with the values of
+    their signatures."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]]):
+    def __init__(self, items: list[tuple[int | None, bytes]], num: int, den: int):
+        self.num, self.den = num, den
         self.ids = [i for i, _ in items]
         self.sets = [np.frombuffer(t, np.uint64) for _, t in items]
         found: dict[int, list[tuple[int, int]]] = {}
+        short = []
         for k, tokens in enumerate(self.sets):
-            if len(tokens):
+            if 0 < len(tokens) <= DIRECT:
+                short.extend((int(v), k) for v in tokens)
+            elif len(tokens):
                 sig = signature(tokens)
                 found.setdefault(size_class(len(tokens)), []).extend((int(v), k) for v in sig[sig != EMPTY])
-        self.classes = {}
-        for c, rows in found.items():
-            rows.sort()
-            values = np.array([r[0] for r in rows], np.uint64)
-            seen = np.zeros(1 << 20, bool)
-            seen[(values >> np.uint64(44)).astype(np.int64)] = True
-            self.classes[c] = (values, np.array([r[1] for r in rows]), seen)
+        self.classes = {c: self._sorted(rows) for c, rows in found.items()}
+        self.short = self._sorted(short)
+        self.sizes = np.array([len(t) for t in self.sets], np.int64)
+
+    @staticmethod
+    def _sorted(rows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values in order, whose they are, and which leading bits occur."""
+        rows.sort()
+        values = np.array([r[0] for r in rows], np.uint64)
+        seen = np.zeros(1 << 20, bool)
+        seen[(values >> np.uint64(44)).astype(np.int64)] = True
+        return values, np.array([r[1] for r in rows], np.int64), seen
+
+    def short_ones(self, flat: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item) pairs of short items with enough shared shingles, one document at a time."""
+        values, items, seen = self.short
+        found = set()
+        if not len(values):
+            return found
+        at = np.flatnonzero(seen[(flat >> np.uint64(44)).astype(np.int64)])
+        lo, hi = np.searchsorted(values, flat[at], "left"), np.searchsorted(values, flat[at], "right")
+        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+        doc = np.searchsorted(offsets, at, "right") - 1
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
+        for p, q in zip(cut[:-1], cut[1:], strict=True):
+            if q == p:
+                continue
+            first, one = np.unique(lo[p:q], return_index=True)  # each shingle once
+            size = hi[p:q][one] - first
+            place = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            own, shared = np.unique(items[place], return_counts=True)
+            found.update((int(doc[p]), int(k)) for k in own[self.den * shared >= self.num * self.sizes[own]])
+        return found
 
     def candidates(self, flat: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) pairs for the documents of one batch."""
@@ -88,7 +120,7 @@ class ItemIndex:
         table = table.reshape(-1, BINS)
         owner = np.repeat(np.arange(len(counts)), blocks)
         place = np.arange(len(owner)) - starts[owner]
-        found = set()
+        found = self.short_ones(flat, offsets)
         for c in range(max(self.classes, default=-1) + 1):
             if c:
                 first = np.flatnonzero(place % 2 == 0)
@@ -121,7 +153,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = 5, num: int = 80,
         sent = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(sent.value)
+            index = ItemIndex(sent.value, num, den)
             for batch in batches:
                 found, ids = [], batch["doc_id"].tolist()
                 for first, raws in text_batches(batch["text"]):
