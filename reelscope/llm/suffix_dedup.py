@@ -20,8 +20,10 @@ the same document) is removed.
 4. Repeats become byte runs per document, joined with the texts: by broadcast if there are few documents
    with repeats, else by a shuffled join.
 
-A chunk holds whole files, so the distinct contexts of one file are in one task; equal contexts
-are merged before, which leaves different surroundings of one short passage.
+A chunk holds whole files. A file whose distinct contexts have more than ``chunk_bytes / 8`` bytes (different
+surroundings of one short passage) is hot and never in one task: its contexts are cut into their strings, and each
+string is filed under a hash of all its bytes, so that only equal strings meet, by a partial
+aggregate that finds the earliest. So a task of step 3 holds less than 1.2 ``chunk_bytes`` of contexts.
 
 Null text is empty; texts shorter than ``length`` lose nothing; rows that repeat a doc_id are that document
 again (they should have its text; runs beyond a shorter text are ignored); a null doc_id comes first in
@@ -246,6 +248,48 @@ def _closer(asked: DataFrame, length: int, chunk_bytes: int) -> DataFrame:
     return asked.repartition("file").sortWithinPartitions("file", "doc", "first").mapInPandas(run, "doc long, a long, b long")
 
 
+def hot_files(asks: DataFrame, length: int, most: int) -> DataFrame:
+    """``file`` of the files whose contexts (``file, n``) have more than ``most`` bytes."""
+    return asks.groupBy("file").agg(F.sum(F.col("n") + length - 1).alias("bytes")).where(F.col("bytes") > most).select("file")
+
+
+def string_hashes(raw: bytes, length: int) -> np.ndarray:
+    """A hash of all bytes of every ``length``-byte string, from those of its parts."""
+    h, n = gram_hashes(raw), len(raw) - length + 1
+    out = np.zeros(n, np.uint64)
+    for at in (*range(0, length - GRAM, GRAM), length - GRAM):
+        out = scramble(out * np.uint64(0x9E3779B97F4A7C15) + (h[at:at + n] ^ (h[at:at + n] >> np.uint64(29))))
+    return out
+
+
+def _hot_repeats(asked: DataFrame, length: int) -> DataFrame:
+    """``doc, a, b``: byte runs of repeats among ``file, doc, first, n, raw``, string by string."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in range(0, len(batch), 1024):
+                part = batch.iloc[x:x + 1024]
+                names = [string_hashes(raw, length) for raw in part["raw"]]
+                n = np.array([len(name) for name in names])
+                file, doc, at = (np.repeat(part[c].to_numpy(), n) for c in ("file", "doc", "first"))
+                place = at + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pd.DataFrame({"file": file, "name": signed(np.concatenate(names)), "doc": doc, "at": at, "place": place})
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, places in zip(batch["doc"].tolist(), batch["places"], strict=True):
+                places = np.asarray(places)
+                edge = np.flatnonzero(np.diff(places) > 1)
+                out += [(doc, int(a), int(b) + length) for a, b in zip(places[[0, *(edge + 1)]], places[[*edge, -1]], strict=True)]
+            yield pd.DataFrame(out, columns=["doc", "a", "b"])
+
+    strings = stored(asked.mapInPandas(cut, "file long, name long, doc long, at long, place long"))
+    lead = strings.groupBy("file", "name").agg(F.min(F.struct("doc", "place")).alias("lead"), F.count("*").alias("many"))
+    later = strings.join(lead.where("many > 1"), ["file", "name"]).where(F.col("lead") != F.struct("doc", "place"))
+    places = later.groupBy("doc", "at").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    return places.mapInPandas(joined, "doc long, a long, b long")
+
+
 def _with_texts(docs: DataFrame, per_doc: DataFrame, how: str, most_broadcast: int) -> DataFrame:
     small = F.broadcast(per_doc) if per_doc.count() <= most_broadcast else per_doc
     return docs.join(small, "doc", how)
@@ -266,7 +310,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, chunk_bytes: int = 2_000_
     filed = filed.where(F.col("copy") | F.col("mixed") | F.col("again"))
     filed = stored(filed.select("file", "doc", "first", "n", "copy"))
 
-    asks = stored(filed.where("not copy").distinct().groupBy("doc").agg(F.collect_list(F.struct("file", "first", "n")).alias("asks")))
+    each = filed.where("not copy").select("file", "doc", "first", "n").distinct()
+    hot = stored(hot_files(each, length, chunk_bytes // 8))
+    n_hot = hot.count()
+    sent = F.broadcast(hot) if n_hot <= most_broadcast else hot
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -285,9 +332,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, chunk_bytes: int = 2_000_
             yield pd.DataFrame(out, columns=["file", "doc", "first", "n", "raw"])
 
     texts = docs.where("text is not null").select("doc", "text")
-    bytes_asked = _with_texts(texts, asks, "inner", most_broadcast).mapInPandas(
-        fetch, "file long, doc long, first long, n long, raw binary")
-    closer = _closer(bytes_asked, length, chunk_bytes)
+
+    def bytes_of(asked: DataFrame) -> DataFrame:
+        asks = stored(asked.groupBy("doc").agg(F.collect_list(F.struct("file", "first", "n")).alias("asks")))
+        return _with_texts(texts, asks, "inner", most_broadcast).mapInPandas(
+            fetch, "file long, doc long, first long, n long, raw binary")
+
+    closer = _closer(bytes_of(each.join(sent, "file", "left_anti") if n_hot else each), length, chunk_bytes)
+    if n_hot:
+        closer = closer.unionByName(_hot_repeats(bytes_of(each.join(sent, "file", "left_semi")), length))
     copies = filed.where("copy").select("doc", F.col("first").alias("a"), (F.col("first") + F.col("n") + length - 1).alias("b"))
     runs = copies.unionByName(closer).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
 
