@@ -71,10 +71,10 @@ def contexts_of(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     h = gram_hashes(raw)
     least = sliding(np.minimum, h, w)
     first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    # parts that are the least of some string; equal ones close together mean text with a short period
+    # parts that are the least of some string; equal ones at most w apart (in one context) mean text with a short period
     edge = np.zeros(w - 1, np.uint64)
     part = np.flatnonzero(h == sliding(np.maximum, np.concatenate([edge, least, edge]), w))
-    twice = np.flatnonzero((np.diff(part) < w) & (h[part[1:]] == h[part[:-1]]))
+    twice = np.flatnonzero((np.diff(part) <= w) & (h[part[1:]] == h[part[:-1]]))
     again = np.zeros(len(first) + 1, np.int64)
     if len(twice):
         np.add.at(again, np.searchsorted(first, np.maximum(part[twice] - w + 1, 0), "right") - 1, 1)
