@@ -10,8 +10,8 @@ Weak candidates are reported only when complementary parts co-occur: ``key_id``
 identifier assignment), ``secret`` (a long mixed token) and ``endpoint`` (a URL). Identifiers (weak ones
 and ``access``) and secrets (weak ones, ``assign`` and ``hex``) are interval-joined within a scope of
 ``scope`` characters of one text; weak parts of a linked pair are reported, and endpoints within the
-scope of a linked part. The join runs on (text, scope cell), so work per cell is bounded by what fits into
-three cells; a text full of credentials makes many cells, not one large group.
+scope of a linked part. The join runs on (text, scope cell) with a part in every cell it covers, so work per cell
+is bounded by what fits into three cells; a text full of credentials makes many cells, not one large group.
 
 Null text is empty. Equal rows (id and text) are linked once and get the same spans. Null ids are
 matched null-safely. Empty tables give empty results; all columns of ``docs`` are kept.
@@ -94,13 +94,18 @@ def linked_weak_spans(docs: DataFrame, scope: int = 300) -> DataFrame:
     rows = stored(some.select(*key, F.explode(F.concat(*parts)).alias("p")).select(*key, "p.*"))
 
     def near(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs of one text whose gap is at most ``scope``; the cells are those of the left starts."""
-        a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns], F.floor(F.col("start") / scope).alias("cell"))
-        cells = F.sequence(F.floor((F.col("start") - scope) / scope) - 1, F.floor((F.col("end") + scope) / scope))
-        b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns], F.explode(cells).alias("cell"))
+        """Pairs of one text whose gap is at most ``scope``. Left parts are filed under the cells they cover, right
+        parts under those they cover with the scope on both sides; a pair is kept in its first common cell."""
+        def filed(rows: DataFrame, s: str, by: int) -> DataFrame:
+            first, last = F.floor((F.col("start") - by) / scope), F.floor((F.col("end") + by) / scope)
+            named = rows.select(*[F.col(c).alias(f"{s}_{c}") for c in rows.columns], first.alias(f"{s}_first"), last.alias(f"{s}_last"))
+            return named.withColumn("cell", F.explode(F.sequence(f"{s}_first", f"{s}_last")))
+
+        a, b = filed(left, "a", 0), filed(right, "b", scope)
         same = reduce(lambda x, y: x & y, [F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in key])
         gap = F.greatest("a_start", "b_start") - F.least("a_end", "b_end")
-        return a.join(b, same & (a["cell"] == b["cell"])).where(gap <= scope)
+        met = a.join(b, same & (a["cell"] == b["cell"]) & (a["cell"] == F.greatest("a_first", "b_first")))
+        return met.where(gap <= scope)
 
     def side(pairs: DataFrame, s: str) -> DataFrame:
         return pairs.select(*[F.col(f"{s}_{c}").alias(c) for c in rows.columns])
