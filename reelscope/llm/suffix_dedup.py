@@ -20,10 +20,10 @@ the same document) is removed.
 4. Repeats become byte runs per document, joined with the texts: by broadcast if there are few documents
    with repeats, else by a shuffled join.
 
-A chunk holds whole files. A file whose distinct contexts have more than ``chunk_bytes / 8`` bytes (different
+A chunk holds whole files. A file whose distinct contexts have more than ``chunk_bytes`` bytes (different
 surroundings of one short passage) is hot and never in one task: its contexts are cut into their strings, and each
 string is filed under a hash of all its bytes, so that only equal strings meet, by a partial
-aggregate that finds the earliest. So a task of step 3 holds less than 1.2 ``chunk_bytes`` of contexts.
+aggregate that finds the earliest. So a task of step 3 holds less than two ``chunk_bytes`` of contexts.
 
 Null text is empty; texts shorter than ``length`` lose nothing; rows that repeat a doc_id are that document
 again (they should have its text; runs beyond a shorter text are ignored); a null doc_id comes first in
@@ -311,7 +311,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, chunk_bytes: int = 2_000_
     filed = stored(filed.select("file", "doc", "first", "n", "copy"))
 
     each = filed.where("not copy").select("file", "doc", "first", "n").distinct()
-    hot = stored(hot_files(each, length, chunk_bytes // 8))
+    hot = stored(hot_files(each, length, chunk_bytes))
     n_hot = hot.count()
     sent = F.broadcast(hot) if n_hot <= most_broadcast else hot
 

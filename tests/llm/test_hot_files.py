@@ -41,7 +41,7 @@ def surroundings():
 
 def test_many_contexts_of_one_file(spark):
     texts = surroundings()
-    check(spark, texts, chunk_bytes=16_000)  # hot from 2,000 bytes on
+    check(spark, texts, chunk_bytes=2_000)
     check(spark, texts)
 
 
@@ -49,6 +49,6 @@ def test_a_task_holds_no_hot_file(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(suffix_dedup, "_closer", lambda df, *a, f=suffix_dedup._closer: (asked.append(df), f(df, *a))[1])
     docs = spark.createDataFrame(list(surroundings().items()), "doc_id long, text string")
-    suffix_dedup.remove_repeats(docs, chunk_bytes=16_000).count()
+    suffix_dedup.remove_repeats(docs, chunk_bytes=2_000).count()
     sizes = asked[0].groupBy("file").agg(F.sum(F.octet_length("raw")).alias("bytes")).collect()
     assert max((r["bytes"] for r in sizes), default=0) <= 2_000
