@@ -102,10 +102,10 @@ def _he(e, d):
 
 @register("M1_embed")
 def m1(spark, sf):
-    """M1: the built-in TF-IDF encoder (HashingTF + IDF + L2) over whole documents."""
+    """M1: the built-in TF-IDF encoder (HashingTF + IDF + L2) over whole documents, one row per weight
+    that is not zero."""
     e = M.embed(V.v_doc(spark, sf).select("doc_id", "text"), "text")
-    return e.select("doc_id", F.size("embedding").alias("dims"),
-                    F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"))
+    return e.select("doc_id", F.posexplode("embedding").alias("index", "weight")).where("weight <> 0")
 
 
 @register("M2_assign_topics")
