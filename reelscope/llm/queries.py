@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelscope.llm import (chat_format, decontaminate, embedding_dedup, jaccard_join, packing, quality, secret_scan,
-                           shard, suffix_dedup, url_filter)
+from reelscope.llm import (chat_format, decontaminate, embedding_dedup, jaccard_join, merkle, packing, quality,
+                           secret_scan, shard, suffix_dedup, url_filter)
 from reelscope.llm.common import read_table
 
 URL_RULES = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"),
@@ -75,9 +75,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), jaccard_join.Likeness(4, 85, 100))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    hit = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    bent = [F.replace("text", F.lit("\n"), F.lit("")) if f == "text" else F.col(f) for f in merkle.FIELDS]
+    out = merkle.manifest(docs, carry={"tampered": F.when(hit, merkle.leaf_digest(bent))})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = out.withColumn("folded_root", folded)
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"),
+                      "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_url_filter, op2_decontaminate, op3_chat_format, op4_shards, op5_quality, op6_secrets,
-           op7_suffix_dedup, op8_embedding_dedup, op9_packing, op10_jaccard_join]
+           op7_suffix_dedup, op8_embedding_dedup, op9_packing, op10_jaccard_join, op13_merkle]
     return {f.__name__: f for f in own}
 
 
@@ -155,6 +166,43 @@ FROM documents d LEFT JOIN documents_n n ON n.doc_id = d.doc_id LEFT JOIN low ON
 """
 
 
+def _crc32(number: str) -> str:
+    """CRC-32 of a number's decimal digits, bit by bit."""
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: {step})"
+    digits = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda c, b: {byte}), 4294967295)"
+
+
+_LEAF = "sha256(" + " || ".join(
+    f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+SQL_OP13 = f"""
+WITH RECURSIVE raw AS (SELECT row_number() OVER () AS rid, *, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g FROM documents),
+leaves AS (SELECT rid, doc_id, g, {_LEAF.format("text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_crc32("doc_id")} % 2 = 0
+  THEN {_LEAF.format("replace(text, chr(10), '')")} END AS tampered FROM raw),
+base AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+node(g, lvl, pos, h, n) AS (SELECT g, 0, pos, leaf, n FROM base UNION ALL
+  SELECT g, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM node WHERE n > 1 GROUP BY g, lvl, pos // 3, n),
+sub AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1),
+top(lvl, pos, h, n) AS (SELECT 0, pos, subroot, n FROM sub UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, pos // 3, n),
+run AS (SELECT g, lvl, pos // 3 AS k, list(h ORDER BY pos) AS hs FROM node WHERE n > 1 GROUP BY ALL),
+toprun AS (SELECT lvl, pos // 3 AS k, list(h ORDER BY pos) AS hs FROM top WHERE n > 1 GROUP BY ALL),
+up(rid, g, lvl, pos, acc, proof, n) AS (SELECT rid, g, 0, pos, coalesce(tampered, leaf), '', n FROM base UNION ALL
+  SELECT rid, up.g, up.lvl + 1, pos // 3, sha256(array_to_string(hs[1:pos % 3], '') || acc || array_to_string(hs[pos % 3 + 2:], '')),
+  proof || array_to_string(hs[1:pos % 3], '') || array_to_string(hs[pos % 3 + 2:], ''), (n + 2) // 3
+  FROM up JOIN run ON run.g = up.g AND run.lvl = up.lvl AND run.k = pos // 3 WHERE n > 1),
+over(rid, lvl, pos, acc, proof, n) AS (SELECT rid, 0, sub.pos, acc, proof, sub.n FROM up JOIN sub ON sub.g = up.g WHERE up.n = 1 UNION ALL
+  SELECT rid, over.lvl + 1, pos // 3, sha256(array_to_string(hs[1:pos % 3], '') || acc || array_to_string(hs[pos % 3 + 2:], '')),
+  proof || array_to_string(hs[1:pos % 3], '') || array_to_string(hs[pos % 3 + 2:], ''), (n + 2) // 3
+  FROM over JOIN toprun ON toprun.lvl = over.lvl AND toprun.k = pos // 3 WHERE n > 1)
+SELECT doc_id, leaf, subroot, top.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = top.h AS verified
+FROM over JOIN base ON base.rid = over.rid JOIN sub ON sub.g = base.g JOIN top ON top.n = 1 WHERE over.n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_url_filter": SQL_OP1, "op2_decontaminate": SQL_OP2, "op3_chat_format": SQL_OP3,
-            "op8_embedding_dedup": SQL_OP8, "op10_jaccard_join": SQL_OP10}
+            "op8_embedding_dedup": SQL_OP8, "op10_jaccard_join": SQL_OP10, "op13_merkle": SQL_OP13}
