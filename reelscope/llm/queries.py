@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelscope.llm import (chat_format, decontaminate, embedding_dedup, jaccard_join, merkle, packing, quality,
+from reelscope.llm import (byte_bpe, chat_format, conversation_trie, decontaminate, embedding_dedup, jaccard_join, merkle, packing, quality,
                            secret_scan, shard, suffix_dedup, url_filter)
 from reelscope.llm.common import read_table
 
@@ -75,6 +75,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), jaccard_join.Likeness(4, 85, 100))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encode, decode = byte_bpe.encoder(spark, ranks, public_tokenizers.PATTERN), byte_bpe.decoder(spark, ranks)
+    out = read_table(spark, sf_dir, "documents").select("doc_id", encode("text").alias("ids"))
+    out = out.select("doc_id", "ids", decode("ids").alias("decoded"))
+    return out.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_trie.trie_nodes(conversation_trie.forked_paths(turns))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     hit = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
@@ -88,7 +104,8 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_url_filter, op2_decontaminate, op3_chat_format, op4_shards, op5_quality, op6_secrets,
-           op7_suffix_dedup, op8_embedding_dedup, op9_packing, op10_jaccard_join, op13_merkle]
+           op7_suffix_dedup, op8_embedding_dedup, op9_packing, op10_jaccard_join,
+           op11_byte_bpe, op12_conversation_trie, op13_merkle]
     return {f.__name__: f for f in own}
 
 
@@ -178,6 +195,29 @@ _LEAF = "sha256(" + " || ".join(
     f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
     for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
 
+SQL_OP12 = f"""
+WITH own AS (SELECT c, k, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS p FROM (
+  SELECT conv_id AS c, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL)),
+cs AS (SELECT DISTINCT c, {_crc32("c")} % 4 AS h, c - c % 20 AS b FROM own),
+turns AS (SELECT c, k, w, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d FROM (
+  SELECT cs.c, 0 AS part, p, k, w FROM cs JOIN own ON own.c = cs.b AND p <= h
+  UNION ALL SELECT cs.c, 1, p, k, w FROM cs JOIN own ON own.c = cs.c AND p > h)),
+member AS (SELECT c, 0 AS d, [] AS path, 0 AS w FROM cs UNION ALL
+  SELECT c, d, list(k) OVER (PARTITION BY c ORDER BY d), w FROM turns),
+ending AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS last FROM member),
+node AS (SELECT path, d, min(c) AS conv_id, count(*) AS n, any_value(w) AS w,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM ending GROUP BY path, d),
+kids AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids ON kids.path = node.path),
+below AS (SELECT path[1:j] AS path, sum((n_children = 0)::INT) AS n_leaves, sum((n - 1) * w) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM full_node) GROUP BY ALL)
+SELECT x.conv_id, x.d::BIGINT AS depth, up.conv_id AS parent_conv_id, x.n AS n_convs, x.n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, x.ends_sha256
+FROM full_node x JOIN below ON below.path = x.path LEFT JOIN node up ON x.d > 0 AND up.path = x.path[1:x.d - 1]
+"""
+
+
 SQL_OP13 = f"""
 WITH RECURSIVE raw AS (SELECT row_number() OVER () AS rid, *, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g FROM documents),
 leaves AS (SELECT rid, doc_id, g, {_LEAF.format("text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_crc32("doc_id")} % 2 = 0
@@ -205,4 +245,5 @@ FROM over JOIN base ON base.rid = over.rid JOIN sub ON sub.g = base.g JOIN top O
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_url_filter": SQL_OP1, "op2_decontaminate": SQL_OP2, "op3_chat_format": SQL_OP3,
-            "op8_embedding_dedup": SQL_OP8, "op10_jaccard_join": SQL_OP10, "op13_merkle": SQL_OP13}
+            "op8_embedding_dedup": SQL_OP8, "op10_jaccard_join": SQL_OP10, "op12_conversation_trie": SQL_OP12,
+            "op13_merkle": SQL_OP13}
