@@ -11,8 +11,8 @@ many tokens. That is a proof: a token sequence is the encoding of its bytes if a
 of their own bytes, for a merge across a boundary would be the first one in the encoding of the two tokens beside it as well.
 Neighbours outside the window were neighbours in ``a`` or ``b``, those inside are in the window's own encoding.
 
-Encodings of whole matches, leaves and small windows are kept in a task's cache of at most ``CACHE_BYTES`` and end with the
-task. Ids are little-endian unsigned 32-bit integers in one binary value, so a longer text's ids are the concatenation of its
+Encodings of whole matches are kept in a task's cache of at most ``CACHE_BYTES``, those of leaves and small windows in one of
+``SHORT_ENTRIES``; both end with the task. Ids are little-endian unsigned 32-bit integers in one binary value, so a longer text's ids are the concatenation of its
 parts' ids; decoding concatenates the tokens' bytes. Long texts are worked through in pieces of ``PIECE`` characters or
 more that end before white space, where no match of the pattern goes across.
 
@@ -28,12 +28,13 @@ import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_BYTES = 64_000_000
-ENTRY_BYTES = 150  # about what a cached string and its ids take besides their bytes
+CACHE_BYTES = 48_000_000
+ENTRY_BYTES = 150  # about what a cached match and its ids take besides their bytes
+SHORT_ENTRIES = 60_000
 LEAF = 8
 SMALL = 48
 NEVER = 1 << 32
@@ -98,8 +99,9 @@ class Tree:
         if found is None:
             found = self.merged(raw)
             if len(raw) <= LEAF:
+                if len(self.short) >= SHORT_ENTRIES:
+                    self.short.clear()
                 self.short[raw] = found
-                self.kept += ENTRY_BYTES
         return found
 
     def joined(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
@@ -129,7 +131,6 @@ class Tree:
     def text_ids(self, matches: list[str]) -> bytes:
         """The ids of neighbouring matches."""
         if self.kept > CACHE_BYTES:
-            self.short.clear()
             self.words.clear()
             self.kept = 0
         own, long = self.words, {}
@@ -161,14 +162,14 @@ def encoder(spark: SparkSession, vocabulary: str, pattern: str) -> Callable[[Col
     with open(vocabulary, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
 
-    @F.pandas_udf("binary")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
 
         tree, cut, place = Tree(read_ranks(sent.value)), regex.compile(pattern), regex.compile(r"(?<=\S)(?=\s)")
         for some in texts:
-            yield pd.Series([b"".join(tree.text_ids(cut.findall(p)) for p in _pieces(t, place)) if t else b""
-                             for t in some], index=some.index, dtype=object)
+            yield pa.array((b"".join(tree.text_ids(cut.findall(p)) for p in _pieces(t.as_py() or "", place)) for t in some),
+                           pa.binary(), size=len(some))
 
     return encode
 
@@ -178,11 +179,11 @@ def decoder(spark: SparkSession, vocabulary: str) -> Callable[[Column | str], Co
     with open(vocabulary, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
 
-    @F.pandas_udf("binary")
-    def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = {i: token for token, i in read_ranks(sent.value).items()}.__getitem__
         for some in ids:
-            yield pd.Series([b"".join(map(tokens, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in some],
-                            index=some.index, dtype=object)
+            yield pa.array((b"".join(map(tokens, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in some),
+                           pa.binary(), size=len(some))
 
     return decode
