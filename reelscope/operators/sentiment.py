@@ -107,11 +107,11 @@ def sort_summary(summary: DataFrame) -> DataFrame:
 
 
 def unique_reviews(df: DataFrame, keys: list[str], rating: str, score: str, order: str) -> DataFrame:
-    """A5: per (review, user, day): first rating in sentence order and mean score. Rows with a
-    null key are dropped first, as pandas ``groupby`` does."""
+    """A5: per (review, user, day): first rating in sentence order and mean score (to nine digits, so that the order
+    of the sum does not show). Rows with a null key are dropped first, as pandas ``groupby`` does."""
     return (df.dropna(subset=keys).groupBy(*keys)
               .agg(F.min_by(F.col(rating), F.when(F.col(rating).isNotNull(), F.col(order))).alias("rating"),
-                   F.avg(score).alias("mean_score"), F.count(F.lit(1)).alias("n_rows")))
+                   F.round(F.avg(score), 9).alias("mean_score"), F.count(F.lit(1)).alias("n_rows")))
 
 
 def score_histogram(sentences: DataFrame, score: str = "sentiment_score", label: str = "sentiment_label",

@@ -1,8 +1,8 @@
 """Topic modelling around a pluggable encoder (M1-M9, A28-A32, O3, O4, W6 of the survey).
 
 The reference calls a library (encoder -> reduction -> density clustering -> class-based
-TF-IDF). Here the dataflow is Spark: vectors come from a user encoder or a built-in
-TF-IDF pipeline (M1), clusters from Spark ML k-means (M2), and everything after the topic
+TF-IDF). Here the dataflow is Spark: vectors come from a user encoder or from TF-IDF weights
+(M1), clusters from ``density_topics`` or from seeded k-means (M2), and everything after the topic
 ids is exact relational work: term counts per (group, topic, term) with partial
 aggregation, class-based TF-IDF by joins on the term and topic keys, and top-k per topic
 with ``row_number() <= k`` (planned as a partial WindowGroupLimit, so a topic holding a
@@ -20,6 +20,7 @@ from reelscope.functions.numbers import dominant_sentiment, pct, round_half_even
 from reelscope.functions.text import bigrams_of, format_pct, keyword_string, tokens, with_ngrams
 
 OUTLIER = -1
+SALTS = 64
 DOMINANT_CLASSES = ["POSITIVE", "NEGATIVE", "NEUTRAL", "MIXED", "MOSTLY_POSITIVE", "MOSTLY_NEGATIVE"]
 
 
@@ -47,6 +48,24 @@ def embed(df: DataFrame, text: str, out: str = "embedding", make_encoder: Callab
     return model.transform(toks).withColumn(out, vector_to_array("_vec", "float32")).drop("_toks", "_tf", "_idf", "_vec")
 
 
+def tfidf_weights(df: DataFrame, key: str, text: str, toks: Column | None = None) -> DataFrame:
+    """M1, sparse: ``key, term, weight`` for every term of every text, over the true vocabulary.
+
+    The weight is the term's count in the text times ln((1 + N) / (1 + d)), with N the number of rows and d the
+    number of rows that hold the term; each row's weights are then scaled to length 1. Terms that every row holds
+    weigh 0 and are left out, as are rows without terms (the zero vector). Counts per (row, term) are complete in
+    their scan task, so the first shuffle holds one row per distinct term of a text; the list of a frequent term is never
+    collected, it is joined with its count (AQE splits it where it is skewed). ``key`` identifies a row; null is one key."""
+    terms = df.select(key, F.explode(tokens(F.col(text)) if toks is None else toks).alias("term"))
+    counts = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("_n"))
+    held = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_d"))
+    total = df.agg(F.count(F.lit(1)).alias("_rows"))
+    idf = held.crossJoin(F.broadcast(total)).select("term", F.log((1 + F.col("_rows")) / (1 + F.col("_d"))).alias("_idf"))  # one row
+    raw = counts.join(idf.where("_idf > 0"), "term").select(key, "term", (F.col("_n") * F.col("_idf")).alias("_w"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))  # a text's distinct terms
+    return raw.select(key, "term", (F.col("_w") / norm).alias("weight"))
+
+
 def assign_topics(df: DataFrame, vec: str = "embedding", k: int = 10, seed: int = 7, min_size: int = 3,
                   outlier_quantile: float | None = 0.95, out: str = "topic", max_iter: int = 20) -> DataFrame:
     """M2: topic id per row from k-means on the vectors (seeded, so repeatable); clusters
@@ -74,22 +93,29 @@ def assign_topics(df: DataFrame, vec: str = "embedding", k: int = 10, seed: int
     return pred.withColumn(out, topic.cast("long")).drop("_v", "_c", "_dist", "_size", "_cut")
 
 
-# Largest centre table (topics x dimensions) taken to the driver as literals.
-MAX_CENTRE_CELLS = 1_000_000
-
-
-def assign_to_centres(df: DataFrame, centres: Sequence[Sequence[float]], vec: str = "embedding",
-                      out: str = "topic") -> DataFrame:
-    """M2, fixed-centre variant: the topic is the centre with the largest cosine
-    similarity (first on ties). The centres are a literal (k x d, bounded by k)."""
-    arr = F.col(vec).cast("array<double>")
-    norm = lambda a: F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    sims = F.array(*[
-        F.try_divide(F.aggregate(F.zip_with(arr, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: a * b),
-                                 F.lit(0.0), lambda s, x: s + x),
-                     norm(arr) * F.lit(sum(float(x) ** 2 for x in c) ** 0.5))
-        for c in centres])
-    return df.withColumn(out, (F.array_position(sims, F.array_max(sims)) - 1).cast("long"))
+def topic_centres(df: DataFrame, topic: str = "topic", vec: str = "embedding") -> DataFrame:
+    """The mean vector of every topic but -1: ``topic, centre``."""
+    cells = df.filter(F.col(topic) != OUTLIER).select(F.col(topic).alias("topic"), F.posexplode(vec).alias("_i", "_x"))
+    means = cells.groupBy("topic", "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    rows = means.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_c"))
+    return rows.select("topic", F.transform("_c", lambda c: c["_m"]).alias("centre"))
+
+
+def assign_to_centres(df: DataFrame, centres: DataFrame, key: str, vec: str = "embedding", out: str = "topic") -> DataFrame:
+    """M2, fixed-centre variant: per ``key`` the topic of the centre with the largest cosine similarity (the
+    smallest topic on ties; null without a comparable centre). The centres stay a table. Each row meets every centre of
+    its length; the join is salted, so neither one length nor one topic is one task, and only the best (similarity, topic) per
+    row and task goes on."""
+    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+    c = centres.select(F.col("topic").cast("long").alias("_t"), F.col("centre").alias("_c"), norm(F.col("centre")).alias("_cn"),
+                       F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    rows = df.select(key, F.col(vec).cast("array<double>").alias("_v"))
+    rows = rows.withColumns({"_vn": norm(F.col("_v")), "_salt": F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")})
+    met = rows.join(c.withColumnRenamed("_salt", "_slot"), (F.col("_salt") == F.col("_slot")) & (F.size("_v") == F.size("_c")))
+    dot = F.aggregate(F.zip_with("_v", "_c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    sim = F.try_divide(dot, F.col("_vn") * F.col("_cn"))
+    best = met.select(key, "_t", sim.alias("_s")).groupBy(key).agg(F.max_by("_t", F.struct("_s", -F.col("_t"))).alias(out))
+    return df.select(key).join(best, key, "left")
 
 
 def rank_topics(df: DataFrame, keys: Sequence[str], topic: str = "topic", out: str = "topic") -> DataFrame:

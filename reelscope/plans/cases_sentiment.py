@@ -262,7 +262,7 @@ def a5(spark, sf):
 def _a5_sql():
     return oracle("""SELECT review_index, username, day,
                             arg_min(rating, sentence_index) FILTER (WHERE rating IS NOT NULL) AS rating,
-                            avg(sentiment_score) AS mean_score, count(*) AS n_rows
+                            round(avg(sentiment_score), 9) AS mean_score, count(*) AS n_rows
                      FROM (SELECT s.review_index, s.sentence_index, s.sentiment_score, m.username, m.rating,
                                   CAST(m.date AS DATE) AS day
                            FROM v_sent s JOIN v_meta m

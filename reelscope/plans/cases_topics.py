@@ -1,6 +1,5 @@
 """Checked queries for topic work (M1-M9, A28-A32, O4, W6, Z4). Topics come ready from the
-embedding labels (``v_topic``) so that everything after the clustering is exact; the
-clustering itself (M1, M2) is checked by row count."""
+embedding labels (``v_topic``); M1 and M2 are checked by themselves."""
 
 from __future__ import annotations
 
@@ -11,6 +10,7 @@ from reelscope.operators import reshape as R
 from reelscope.operators import scoring as SC
 from reelscope.operators import sentences as S
 from reelscope.operators import topics as M
+from reelscope.operators.density import density_topics
 from reelscope.plans import sqlfrag as Q
 from reelscope.plans import views as V
 from reelscope.plans.catalog import REGISTRY, oracle, register
@@ -98,47 +98,44 @@ def _he(e, d):
     return Q.half_even(e, d)
 
 
-# ------------------------------------------------------------------ M1, M2 (rows), fixed centres (SQL)
+# ------------------------------------------------------------------ M1, M2
 
-@register("M1_embed")
+@register("M1_embed", oracle(f"""
+WITH t AS (SELECT doc_id, unnest({Q.tokens('text')}) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL),
+d AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) AS idf FROM c GROUP BY term),
+w AS (SELECT doc_id, term, n * idf AS w FROM c JOIN d USING (term) WHERE idf > 0)
+SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w""", [], doubles=("weight",)))
 def m1(spark, sf):
-    """M1: the built-in TF-IDF encoder (HashingTF + IDF + L2) over whole documents, one row per weight
-    that is not zero."""
-    e = M.embed(V.v_doc(spark, sf).select("doc_id", "text"), "text")
-    return e.select("doc_id", F.posexplode("embedding").alias("index", "weight")).where("weight <> 0")
+    """M1: TF-IDF weights of every term of every document, true vocabulary, unit length."""
+    return M.tfidf_weights(V.v_doc(spark, sf).select("doc_id", "text"), "doc_id", "text")
 
 
-@register("M2_assign_topics")
+M2_SIMILARITY, M2_POINTS = 0.3, 5
+
+
+@register("M2_assign_topics", oracle(f"""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM e a JOIN e b ON len(a.v) = len(b.v)),
+near AS (SELECT * FROM s WHERE sim >= {M2_SIMILARITY} OR a = b),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {M2_POINTS}),
+link AS (SELECT a, b FROM near SEMI JOIN core x ON x.id = a SEMI JOIN core y ON y.id = b),
+reach(a, b) AS (SELECT id, id FROM core UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+root AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a),
+edge AS (SELECT a AS id, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) AS k
+  FROM near SEMI JOIN core ON core.id = b ANTI JOIN core c ON c.id = a) WHERE k = 1)
+SELECT vec_id, CAST(coalesce(root.root, far.root, -1) AS BIGINT) AS topic, root.id IS NOT NULL AS is_core
+FROM e LEFT JOIN root ON root.id = vec_id LEFT JOIN edge ON edge.id = vec_id LEFT JOIN root far ON far.id = edge.b""", []))
 def m2(spark, sf):
-    """M2: k-means topics (seeded) on the embedding vectors, far points and small clusters -1."""
-    e = V.v_emb(spark, sf).select("vec_id", "embedding")
-    return M.assign_topics(e, k=10, seed=7, min_size=3).select("vec_id", "topic")
-
-
-def _centres(spark, sf):
-    e = V.v_emb(spark, sf).filter(F.col("topic") != M.OUTLIER)
-    per = (e.select("topic", F.posexplode("embedding").alias("i", "x"))
-             .groupBy("topic", "i").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    # k x d numbers (topics x dimensions), bounded by the topic count, not by the data;
-    # checked before they are brought to the driver as literal centres
-    cells = per.count()
-    if cells > M.MAX_CENTRE_CELLS:
-        raise ValueError(f"{cells} centre cells exceed {M.MAX_CENTRE_CELLS}; use assign_topics instead")
-    rows = per.orderBy("topic", "i").collect()
-    centres: dict[int, list[float]] = {}
-    for r in rows:
-        centres.setdefault(r["topic"], []).append(r["m"])
-    return [centres[t] for t in sorted(centres)], sorted(centres)
+    """M2: density topics of the embedding vectors, noise -1."""
+    return density_topics(V.v_emb(spark, sf), "vec_id", "embedding", M2_SIMILARITY, M2_POINTS)
 
 
 @register("M2_assign_to_centres")
 def m2c(spark, sf):
-    """M2 (fixed centres): nearest label centroid by cosine, first on ties."""
-    centres, ids = _centres(spark, sf)
-    e = V.v_emb(spark, sf).select("vec_id", "embedding")
-    out = M.assign_to_centres(e, centres)
-    lookup = F.array(*[F.lit(int(i)) for i in ids])
-    return out.select("vec_id", F.element_at(lookup, (F.col("topic") + 1).cast("int")).cast("long").alias("topic"))
+    """M2 (fixed centres): nearest label centroid by cosine, the smallest topic on ties."""
+    e = V.v_emb(spark, sf)
+    return M.assign_to_centres(e, M.topic_centres(e), "vec_id")
 
 
 REGISTRY["M2_assign_to_centres"].sql = oracle("""

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import math
+import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -22,14 +24,41 @@ def test_dedup_keep_first_nulls_equal(spark):
     assert got == [("a", "y"), ("b", "z")]
 
 
-def test_ordered_index_matches_row_number_on_skew(spark):
-    # one key holds most of the rows
-    rows = [("hot" if i % 10 else f"k{i % 7}", i) for i in range(3000)]
-    df = spark.createDataFrame(rows, "k string, o long")
-    got = ordered_index(df, ["k"], ["o"], out="idx", num_partitions=6)
-    want = df.withColumn("idx", F.row_number().over(Window.partitionBy("k").orderBy("o")) - 1)
-    assert sorted(map(tuple, got.select("k", "o", "idx").collect())) == \
-        sorted(map(tuple, want.select("k", "o", "idx").collect()))
+def _row_numbers(df, keys, order):
+    return df.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+@pytest.mark.parametrize("order", ["o", "t", "d", "s"])
+def test_ordered_index_matches_row_number_on_skew(spark, order):
+    # one key, which may be null, holds most of the rows; values dense, sparse, negative and null
+    rnd = random.Random(1)
+    rows = [(None if i % 10 else f"k{i % 7}", rnd.choice([i, i << 40, -i, -(i << 50), 5, None]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, o long, u long").withColumns({
+        "t": F.timestamp_micros(F.col("o") % 10**15), "d": F.date_add(F.lit("2020-01-01"), (F.col("o") % 9999).cast("int")),
+        "s": F.when(F.col("o") % 3 != 0, F.concat(F.lit("é"), F.col("o").cast("string")))})
+    got = ordered_index(df, ["k"], [order, "u"], out="idx", bucket_bits=4)
+    want = _row_numbers(df, ["k"], [order, "u"])
+    assert sorted(map(tuple, got.select("u", "idx").collect())) == sorted(map(tuple, want.select("u", "idx").collect()))
+
+
+def test_ordered_index_of_one_key_spans_tasks_and_starts_no_job(spark):
+    df = spark.range(40_000).select((F.col("id") * 0).alias("k"), "id")
+    spark.sparkContext.setJobGroup("numbering", "build")
+    got = ordered_index(df, ["k"], ["id"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("numbering")
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {c: spark.conf.get(c) for c in small}
+    try:
+        for c, value in small.items():
+            spark.conf.set(c, value)
+        rows = got.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert len(rows) > 3 and max(r["count"] for r in rows) < 30_000
+    assert got.where("idx <> id").count() == 0
+    with pytest.raises(TypeError):
+        ordered_index(df.withColumn("x", F.lit(0.5)), ["k"], ["x"])
 
 
 def test_cap_per_group_exact(spark):
