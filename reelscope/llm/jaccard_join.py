@@ -23,8 +23,9 @@ components compared in full, across components, block by block in the tasks by t
 pairs that pass it are written. So no link between different texts is lost, while a group of near
 copies costs few rows.
 
-Check. A parity bitmap of about two bits a shingle bounds the difference of two sets from below and
-drops most false candidates; the rest are checked exactly on whole shingle sets.
+Check. A parity bitmap of about two bits a shingle, made in the first pass, bounds the difference of two sets from below and
+drops most false candidates; only for the rest are whole shingle sets made, from one document each, and intersected. Both
+run in the JVM.
 
 Null text is empty; empty sets link with nothing; rows with null doc_id have null component; repeated
 rows are rows of one node. Extra columns are ignored; empty input gives an empty result.
@@ -79,28 +80,31 @@ def set_name(tokens: np.ndarray) -> int:
 
 
 def _sets_and_counts(docs: DataFrame, like: Likeness) -> DataFrame:
-    """Two kinds of rows from one pass: ``doc_id, size, node`` of every document (token null), and counts
+    """Two kinds of rows from one pass: ``doc_id, size, node, bits`` of every document (token null), and counts
     ``n`` of the ``token``s of the first quarter of the hash space, summed per batch."""
-    names = ["doc_id", "size", "node", "token", "n"]
+    names = ["doc_id", "size", "node", "token", "n", "bits"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         meta, parts, size = [], [], 0
         for batch, i, tokens in document_sets(batches, like):
             if i >= 0:
-                meta.append((len(tokens), set_name(tokens) if len(tokens) else None))
+                meta.append((len(tokens), set_name(tokens), parity_bits(tokens)) if len(tokens) else (0, None, None))
                 parts.append(tokens[:np.searchsorted(tokens, QUARTER)])
                 size += len(parts[-1])
             elif len(batch):
                 frame = pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "size": [m[0] for m in meta],
                                       "node": pd.array([m[1] for m in meta], dtype="Int64")})
-                yield frame.astype("Int64").reindex(columns=names).astype("Int64")
+                frame = frame.astype("Int64").reindex(columns=names[:-1]).astype("Int64")
+                yield frame.assign(bits=pd.Series([m[2] for m in meta], dtype=object))
                 meta = []
             if size > 1_000_000 or i < 0 and size:
                 values, counts = np.unique(np.concatenate(parts), return_counts=True)
-                yield pd.DataFrame({"token": signed(values), "n": counts}).reindex(columns=names).astype("Int64")
+                frame = pd.DataFrame({"token": signed(values), "n": counts}).reindex(columns=names[:-1]).astype("Int64")
+                yield frame.assign(bits=None)
                 parts, size = [], 0
 
-    out = docs.select(no_null("doc_id"), "text").mapInPandas(run, "doc_id long, size long, node long, token long, n long")
+    out = docs.select(no_null("doc_id"), "text").mapInPandas(
+        run, "doc_id long, size long, node long, token long, n long, bits array<long>")
     return out.withColumn("doc_id", null_again("doc_id"))
 
 
@@ -156,6 +160,46 @@ def _keys(docs: DataFrame, like: Likeness, frequent: np.ndarray, small: int) ->
     return docs.select("text").mapInPandas(run, "key long, node long, size int, pos int, m0 int, m1 int, m2 int")
 
 
+def _neighbours(keys: DataFrame) -> DataFrame:
+    """The rows of ``_keys`` whose list has others: ``key, x, m1, m2``, ``p`` (the set before, in the order of ``m0``) and
+    ``long`` (the list has three rows or more). A task streams through its sorted lists with two rows of each side at hand."""
+    names = ["key", "node", "size", "pos", "m1", "m2"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told(rows: pd.DataFrame, first: int, last: int) -> pd.DataFrame:
+            key = rows["key"].to_numpy()
+            at = np.arange(first, last)
+
+            def like_key(step: int) -> np.ndarray:
+                to = at + step
+                inside = (to >= 0) & (to < len(key))
+                return inside & (key[np.clip(to, 0, len(key) - 1)] == key[at])
+
+            p1, p2, n1, n2 = (like_key(k) for k in (-1, -2, 1, 2))
+            keep = p1 | n1
+            out = rows.iloc[at[keep]].reset_index(drop=True)
+            before = rows.iloc[np.maximum(at[keep] - 1, 0)].reset_index(drop=True)
+            return out.assign(after=p1[keep], p_node=before["node"], p_size=before["size"], p_pos=before["pos"],
+                              long=(p2 | n2 | (p1 & n1))[keep])
+
+        past, rows = 0, None
+        for batch in batches:
+            rows = pd.concat([rows, batch[names]], ignore_index=True) if rows is not None else batch[names]
+            last = max(past, len(rows) - 2)
+            if last > past:
+                yield told(rows, past, last)
+            first = max(0, last - 2)
+            rows, past = rows.iloc[first:], last - first
+        if rows is not None and len(rows) > past:
+            yield told(rows, past, len(rows))
+
+    schema = "key long, node long, size int, pos int, m1 int, m2 int, after boolean, p_node long, p_size int, p_pos int, long boolean"
+    dealt = keys.repartition("key").sortWithinPartitions("key", "m0", "node", "pos")
+    p = F.struct(F.col("p_node").alias("node"), F.col("p_size").alias("size"), F.col("p_pos").alias("pos"))
+    return dealt.mapInPandas(run, schema).select("key", F.struct("node", "size", "pos").alias("x"), "m1", "m2",
+                                                 F.when(F.col("after"), p).alias("p"), "long")
+
+
 def _may_link(like: Likeness, a: str, b: str) -> Column:
     """Size and position bounds for sets ``a`` and ``b`` (structs) that share a key."""
     sa, sb = F.col(f"{a}.size").cast("long"), F.col(f"{b}.size").cast("long")
@@ -164,11 +208,11 @@ def _may_link(like: Likeness, a: str, b: str) -> Column:
     return sizes & (left * (like.num + like.den) >= (sa + sb) * like.num)
 
 
-def parity_bits(tokens: np.ndarray) -> bytes:
-    """A bitmap of a power of two of bits, about two a shingle; a bit is the parity of its shingles."""
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of a power of two of bits, about two a shingle, as 64-bit words; a bit is the parity of its shingles."""
     width = max(256, 1 << (2 * len(tokens) - 1).bit_length())
     odd = np.bincount((tokens >> np.uint64(3)).astype(np.int64) & (width - 1), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def difference_bound(a: bytes, b: bytes) -> int:
@@ -185,51 +229,54 @@ def difference_bound(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-def _stored_sets(nodes: DataFrame, docs: DataFrame, meta: DataFrame, like: Likeness, most_broadcast: int) -> DataFrame:
-    """``node, size, bits, tokens`` of the given nodes, from one document each."""
-    reps = stored(meta.where("doc_id is not null").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-                  .select("doc_id").distinct())
-    small = F.broadcast(reps) if reps.count() <= most_broadcast else reps
+def _difference(x: Column, y: Column) -> Column:
+    """``difference_bound`` of two bitmap columns; 0 where one is more than twice as long as the other."""
+    n = F.least(F.size(x), F.size(y))
+
+    def folded(c: Column) -> Column:
+        halves = F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(c) > n, halves).otherwise(c)
+
+    counted = F.zip_with(folded(x), folded(y), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    found = F.aggregate(counted, F.lit(0), lambda total, k: total + F.coalesce(k, F.lit(0)))
+    return F.when(F.greatest(F.size(x), F.size(y)) <= 2 * n, found).otherwise(0)
+
+
+def _whole_sets(nodes: DataFrame, docs: DataFrame, meta: DataFrame, like: Likeness, most_broadcast: int) -> DataFrame:
+    """``node, tokens`` of the given nodes, from one document each; from those without id where there is no other."""
+    reps = stored(meta.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    few = reps.count() <= most_broadcast
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, n = [], 0
         for _, i, tokens in document_sets(batches, like):
             if i >= 0 and len(tokens):
-                out.append((set_name(tokens), len(tokens), parity_bits(tokens), tokens.tobytes()))
+                out.append((set_name(tokens), signed(tokens)))
                 n += len(tokens)
-            if n > 500_000 or i < 0 and out:
-                yield pd.DataFrame(out, columns=["node", "size", "bits", "tokens"])
+            if n > 300_000 or i < 0 and out:
+                yield pd.DataFrame(out, columns=["node", "tokens"])
                 out, n = [], 0
 
-    return stored(docs.join(small, "doc_id", "left_semi").select("text").mapInPandas(
-        run, "node long, size long, bits binary, tokens binary"))
-
+    ids = reps.where("doc_id is not null").select("doc_id").distinct()
+    chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
+    found = chosen.mapInPandas(run, "node long, tokens array<long>")
+    if reps.where("doc_id is null").head(1):
+        nameless = docs.where("doc_id is null").select("text").mapInPandas(run, "node long, tokens array<long>")
+        found = found.unionByName(nameless.join(reps.where("doc_id is null").select("node"), "node", "left_semi"))
+    # rows that repeat a doc_id or have none may give a node twice
+    return stored(found.dropDuplicates(["node"]))
 
-def _check(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b: nodes)."""
-    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = [difference_bound(x, y) * (like.num + like.den) <= (s + t) * (like.den - like.num)
-                    for x, y, s, t in zip(batch["xb"], batch["yb"], batch["xs"], batch["ys"], strict=True)]
-            yield batch.loc[keep, ["a", "b"]]
 
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for ta, tb in zip(batch["ta"], batch["tb"], strict=True):
-                x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
-                at = np.searchsorted(x, y)
-                inter = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(like.den * inter >= like.num * (len(x) + len(y) - inter))
-            yield batch.loc[keep, ["a", "b"]]
-
-    # rows that repeat a doc_id may give a node twice
-    bits = sets.select("node", "size", "bits").dropDuplicates(["node"])
+def _check(pairs: DataFrame, bits: DataFrame, whole, like: Likeness) -> DataFrame:
+    """The linked ones of ``pairs`` (a, b: nodes). ``whole`` gives the sets of nodes."""
     both = pairs.join(bits.toDF("a", "xs", "xb"), "a").join(bits.toDF("b", "ys", "yb"), "b")
-    rest = stored(both.mapInPandas(possible, "a long, b long"))
-    tokens = sets.select("node", "tokens")
-    both = rest.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    return both.mapInPandas(exact, "a long, b long").distinct()
+    possible = _difference(F.col("xb"), F.col("yb")) * (like.num + like.den) <= (F.col("xs") + F.col("ys")) * (like.den - like.num)
+    rest = stored(both.where(possible).select("a", "b"))
+    sets = whole(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    both = rest.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    linked = shared * like.den >= (F.size("ta") + F.size("tb") - shared) * like.num
+    return both.where(linked).select("a", "b")
 
 
 def _labelled(member: DataFrame, roots: DataFrame) -> DataFrame:
@@ -271,11 +318,11 @@ def block_pairs(one: pd.DataFrame, other: pd.DataFrame, like: Likeness, most_wor
                     yield gn[at:at + step][i], hn[k]
 
 
-def _across(mixed: DataFrame, sets: DataFrame, like: Likeness, block: int) -> DataFrame:
+def _across(mixed: DataFrame, bits: DataFrame, like: Likeness, block: int) -> DataFrame:
     """The possible pairs (a, b) across components of every list. A list is cut into blocks; two blocks meet
     in one task, and only pairs that pass the bitmap bound are written."""
     lengths = mixed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = mixed.join(lengths, "key").join(sets.select("node", "bits").dropDuplicates(["node"]), "node")
+    rows = mixed.join(lengths, "key").join(bits.select("node", "bits"), "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node",
@@ -311,6 +358,7 @@ def _across(mixed: DataFrame, sets: DataFrame, like: Likeness, block: int) -> Da
 
         held: list[pd.DataFrame] = []
         for batch in batches:
+            batch["bits"] = [x.tobytes() for x in batch["bits"]]
             rows = pd.concat([*held, batch]) if held else batch
             values = rows[name].to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1, [len(rows)]])
@@ -332,6 +380,18 @@ def _across(mixed: DataFrame, sets: DataFrame, like: Likeness, block: int) -> Da
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more links: components of the roots only."""
+    if not links.head(1):
+        return roots
+    a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+    met = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    upper = components(met).toDF("root", "top")
+    moved = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    own = upper.join(roots.select(F.col("node").alias("root")), "root", "left_anti").toDF("node", "root")
+    return stored(moved.unionByName(own))
+
+
 def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.least(f"{a}.node", f"{b}.node").alias("a"), F.greatest(f"{a}.node", f"{b}.node").alias("b")).distinct()
 
@@ -343,6 +403,7 @@ def jaccard_components(docs: DataFrame, like: Likeness, most_frequent: int = 4_0
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     first = stored(_sets_and_counts(docs, like))
     meta = stored(first.where("size is not null").select("doc_id", "size", "node"))
+    bits = stored(first.where("node is not null").select("node", "size", "bits").dropDuplicates(["node"]))
     total = meta.agg(F.count("*").alias("n"), F.sum("size").alias("s")).first()
     counts = stored(first.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"))
     discard(first)
@@ -356,21 +417,17 @@ def jaccard_components(docs: DataFrame, like: Likeness, most_frequent: int = 4_0
     mean_list = (single + sum(n * n * k for n, k in rare)) / (single + sum(n * k for n, k in rare))
     small = boundary(like, mean_list)
 
-    here = Window.partitionBy("key").orderBy("m0", "x")
-    lists = _keys(docs, like, frequent, small).select("key", F.struct("node", "size", "pos").alias("x"), "m0", "m1", "m2")
-    lists = lists.select("*", F.lag("x", 1).over(here).alias("p"), F.lag("x", 2).over(here).isNotNull().alias("p2"),
-                         F.lead("x", 1).over(here).isNotNull().alias("n1"), F.lead("x", 2).over(here).isNotNull().alias("n2"))
-    lists = stored(lists.where("p is not null or n1").select("key", "x", "m1", "m2", "p", (
-        F.col("p2") | F.col("n2") | (F.col("p").isNotNull() & F.col("n1"))).alias("long")))
+    lists = stored(_neighbours(_keys(docs, like, frequent, small)))
     near = lists.where("p is not null and p.node <> x.node").where(_may_link(like, "p", "x"))
     seen = stored(_pairs(near, "p", "x"))
     # every list of two different sets is checked by now; longer ones go on
     member = stored(lists.where("long").select("key", "x", "m1", "m2").distinct())
     discard(lists)
-    nodes = seen.select(F.explode(F.array("a", "b")).alias("node")).unionByName(member.select("x.node")).distinct()
-    sets = _stored_sets(nodes, docs, meta, like, most_broadcast)
-    links = stored(_check(seen, sets, like))
-    roots = components(links)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return stored(_check(pairs, bits, lambda nodes: _whole_sets(nodes, docs, meta, like, most_broadcast), like))
+
+    roots = components(check(seen))
     for order in ("m1", "m2"):
         mixed = stored(_labelled(member, roots))
         # ties (near copies) in another order in each list, and a few lists for each set
@@ -380,16 +437,14 @@ def jaccard_components(docs: DataFrame, like: Likeness, most_frequent: int = 4_0
         near = near.where("p_root <> root").where(_may_link(like, "p", "x"))
         near = near.withColumn("k", F.row_number().over(some)).where(F.col("k") <= tries)
         new = stored(_pairs(near, "p", "x").join(seen, ["a", "b"], "left_anti"))
-        links = stored(links.unionByName(_check(new, sets, like)))
         seen = seen.unionByName(new)
-        roots = components(links)
+        roots = _merged(roots, check(new))
+        discard(mixed)
     mixed = stored(_labelled(member, roots).select("key", "x.node", "x.size", "root"))
-    new = stored(_across(mixed, sets, like, block).join(seen, ["a", "b"], "left_anti"))
-    more = stored(_check(new, sets, like))
-    if more.count():
-        roots = components(links.unionByName(more))
+    new = stored(_across(mixed, bits, like, block).join(seen, ["a", "b"], "left_anti"))
+    roots = _merged(roots, check(new))
 
-    named = meta.join(roots.toDF("node", "root"), "node", "left").withColumn("g", F.coalesce("root", "node"))
+    named = meta.join(roots, "node", "left").withColumn("g", F.coalesce("root", "node"))
     named = named.select("doc_id", "size", "g")
     least = named.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "g", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(
