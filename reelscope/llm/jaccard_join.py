@@ -319,8 +319,11 @@ def block_pairs(one: pd.DataFrame, other: pd.DataFrame, like: Likeness, most_wor
 
 
 def _across(mixed: DataFrame, bits: DataFrame, like: Likeness, block: int) -> DataFrame:
-    """The possible pairs (a, b) across components of every list. A list is cut into blocks; two blocks meet
-    in one task, and only pairs that pass the bitmap bound are written."""
+    """The possible pairs (a, b) across components of every list. Lists of the same least set (by hash), such as those of one
+    passage's shingles, hold mostly the same sets and are compared as one, so a pair is not found once per list. A list is cut
+    into blocks; two blocks meet in one task, and only pairs that pass the bitmap bound are written."""
+    least = mixed.groupBy("key").agg(F.min(F.xxhash64("node")).alias("home"))
+    mixed = stored(mixed.join(least, "key").select(F.col("home").alias("key"), "node", "size", "root").distinct())
     lengths = mixed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = mixed.join(lengths, "key").join(bits.select("node", "bits"), "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
