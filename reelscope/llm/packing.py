@@ -1,9 +1,8 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
 Tokenising: the vocabulary drops white space and never merges across it, so a text is cut at ASCII
-white space and its words are looked up in a bounded cache that a worker process keeps from task to task;
-new words of ASCII and Latin letters are put together from cached parts. The ids are joined as little-endian 32-bit
-bytes. Each document ends with ``end_id``. Documents longer than ``capacity`` are cut into pieces of
+white space; the distinct words of a piece of text are put together from cached parts (ASCII and Latin letters) or
+tokenised whole, in bounded caches that end with the task. The ids are joined as little-endian 32-bit bytes. Each document ends with ``end_id``. Documents longer than ``capacity`` are cut into pieces of
 ``capacity`` ids; the last piece may be shorter.
 
 Packing: the pieces (a few numbers each, no ids) are dealt out evenly, sorted by falling length in each
@@ -17,10 +16,10 @@ result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,83 +32,82 @@ from pyspark.sql import functions as F
 
 from reelscope.llm.common import no_null, null_again, text_batches
 
-WORD_CACHE = 400_000
-PART_CACHE = 500_000
-LONG = 500_000
-TEXT_BYTES = 4_000_000
+WORD_CACHE = 100_000
+PART_CACHE = 250_000
+LONG = 1_000_000
+TEXT_BYTES = 8_000_000
+BETWEEN = (1 << 32) - 1
 WORD_END = "</w>"
-SPECIAL = b"<|"
+SPECIAL = "<|"
 #: Letters of one code point each whose lower case is one too: Latin-1 and Latin Extended-A but for U+0130.
 LATIN_LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f"
-LATIN = re.compile(f"[\\x00-\\x7f{LATIN_LETTERS}]+")
+LATIN = f"[\\x00-\\x7f{LATIN_LETTERS}]+"
+#: Byte-level vocabularies write a byte that is no visible letter as the next free letter from U+0100 on.
+LETTERS = dict(zip([b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)], range(0x100, 0x200)))
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """word (bytes) -> its ids as bytes. A word of ASCII and plain Latin letters is put together from its parts, the pieces the
-    vocabulary's own pattern cuts it into, which recur far more often than whole words; any other word is
-    tokenised whole. Words and parts are dropped when there are more than ``WORD_CACHE`` or ``PART_CACHE``."""
+class WordIds:
+    """The ids of words. Words of ASCII and plain Latin letters are cut, all of a batch in one pass, into the parts that the
+    vocabulary's own pattern makes, and put together from the parts' ids; any other word is tokenised whole. The ids of
+    parts and of other words are kept until there are more than ``PART_CACHE`` or ``WORD_CACHE``."""
 
     def __init__(self, tokenizer):
-        super().__init__()
         self.tokenizer = tokenizer
-        self.parts: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
         pattern = parts_pattern(json.loads(tokenizer.to_str()))
-        self.pattern = pattern and re.compile(pattern.format(latin="").encode())
-        self.latin_pattern = pattern and re.compile(pattern.format(latin=LATIN_LETTERS), re.ASCII)
-        ends = [i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)]
-        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
-        self.ends[ends] = True
+        self.pattern = pattern and re.compile(pattern.format(latin=LATIN_LETTERS) + r"|\n", re.ASCII)
 
-    def __missing__(self, word: bytes) -> bytes:
-        self.learn([word])
-        return self[word]
-
-    def _whole(self, words: list[bytes]) -> Iterator[bytes]:
+    def _whole(self, words: list[str]) -> Iterator[bytes]:
         for at in range(0, len(words), 10_000):
-            some = [w.decode() for w in words[at:at + 10_000]]
-            for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+            for e in self.tokenizer.encode_batch_fast(words[at:at + 10_000], add_special_tokens=False):
                 yield np.asarray(e.ids, "<u4").tobytes()
 
-    def _learn_parts(self, new: list[bytes]) -> None:
-        """Many parts are tokenised as one text; a part's ids end at the first that ends a word."""
-        for at in range(0, len(new), 500):
-            some = new[at:at + 500]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some) or cuts[-1] != len(ids):
-                self.parts.update(zip(some, self._whole(some), strict=True))
-                continue
-            raw, last = ids.tobytes(), 0
-            for part, cut in zip(some, (4 * cuts).tolist(), strict=True):
-                self.parts[part] = raw[last:cut]
-                last = cut
-
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > WORD_CACHE:
-            self.clear()
-            new = words
-        plain, cut, other = [], [], []
-        for w in new:
-            if self.pattern and SPECIAL not in w:
-                if w.isascii():
-                    plain.append(w)
-                    cut.append(self.pattern.findall(w.lower()))
-                    continue
-                text = w.decode()
-                if LATIN.fullmatch(text):
-                    plain.append(w)
-                    cut.append([p.encode() for p in self.latin_pattern.findall(text.lower())])
-                    continue
-            other.append(w)
-        self.update(zip(other, self._whole(other), strict=True))
+    def _learn_parts(self, new: list[str]) -> None:
+        """A part is what the vocabulary's model itself is given: its bytes, each as one letter."""
+        tokenize = self.tokenizer.model.tokenize
+        for part in new:
+            letters = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(LETTERS)
+            ids = [t.id for t in tokenize(letters)]
+            self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def _by_parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words and the number of each word's; words are told apart by a line end in between."""
+        cut = self.pattern.findall("\n".join(words.to_numpy(zero_copy_only=False)).lower())
         if len(self.parts) > PART_CACHE:
             self.parts.clear()
-        self._learn_parts([p for p in set().union(*cut) if p not in self.parts])
-        get = self.parts.__getitem__
-        for w, parts in zip(plain, cut, strict=True):
-            self[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+        self.parts["\n"] = BETWEEN.to_bytes(4, "little")
+        self._learn_parts(list(set(cut).difference(self.parts)))
+        ids = np.frombuffer(b"".join(map(self.parts.__getitem__, cut)), "<u4")
+        between = ids == BETWEEN
+        return ids[~between], np.diff(np.concatenate([[-1], np.flatnonzero(between), [len(ids)]])) - 1
+
+    def _by_word(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = found.to_pylist()
+        if len(self.others) > WORD_CACHE:
+            self.others.clear()
+        new = [w for w in words if w not in self.others]
+        self.others.update(zip(new, self._whole(new), strict=True))
+        own = [self.others[w] for w in words]
+        return np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) >> 2
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and each word's first place and number there."""
+        plain = np.zeros(len(words), bool)
+        if self.pattern:
+            plain = pc.string_is_ascii(words).to_numpy(zero_copy_only=False).copy()
+            rest = np.flatnonzero(~plain)
+            plain[rest] = pc.match_substring_regex(words.take(pa.array(rest)), f"^{LATIN}$").to_numpy(zero_copy_only=False)
+            plain &= ~pc.match_substring(words, SPECIAL).to_numpy(zero_copy_only=False)
+        flat, first, number, base = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+        for at, how in ((np.flatnonzero(plain), self._by_parts), (np.flatnonzero(~plain), self._by_word)):
+            if len(at):
+                ids, counts = how(words.take(pa.array(at)))
+                number[at], first[at] = counts, base + np.cumsum(counts) - counts
+                flat.append(ids)
+                base += len(ids)
+        return np.concatenate(flat) if flat else np.empty(0, "<u4"), first, number
 
     def texts(self, raws: list[bytes]) -> Iterator[bytes]:
         """The ids of each text. Words are numbered by Arrow, ``LONG`` at a time, and only distinct ones looked up."""
@@ -117,15 +115,12 @@ class WordIds(dict):
         flat, made, counts = split.flatten(), [], []
         for at in range(0, len(flat), LONG):
             coded = flat.slice(at, LONG).dictionary_encode()
-            words, index = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy()
-            self.learn(words)
-            own = [self[w] for w in words]
-            length = np.fromiter(map(len, own), np.int64, len(own)) >> 2
-            count = length[index]
-            ends = np.cumsum(count)
-            take = np.repeat((np.cumsum(length) - length)[index] - (ends - count), count)
+            ids, first, number = self.of(coded.dictionary)
+            index = coded.indices.to_numpy()
+            count = number[index]
+            take = np.repeat(first[index] - (np.cumsum(count) - count), count)
             take += np.arange(len(take))
-            made.append(np.frombuffer(b"".join(own), "<u4")[take])
+            made.append(ids[take])
             counts.append(count)
         ids = np.concatenate(made) if made else np.empty(0, "<u4")
         ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *counts]))[split.offsets.to_numpy()]
@@ -143,7 +138,7 @@ def parts_pattern(definition: dict) -> str | None:
         ours = (normal == ["NFC", "Replace", "Lowercase"] and cut["type"] == "Split" and cut["invert"]
                 and cut["behavior"] == "Removed" and then["type"] == "ByteLevel" and not then["add_prefix_space"]
                 and not then["use_regex"] and definition["model"]["end_of_word_suffix"] == WORD_END
-                and all(t["content"].startswith(SPECIAL.decode()) for t in definition["added_tokens"]))
+                and all(t["content"].startswith(SPECIAL) for t in definition["added_tokens"]))
         pattern = cut["pattern"]["Regex"]
         if not ours or "{" in pattern.replace(r"\p{L}", "").replace(r"\p{N}", ""):
             return None
@@ -152,15 +147,6 @@ def parts_pattern(definition: dict) -> str | None:
         return None
 
 
-@functools.lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    """One per worker process, kept from task to task."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return WordIds(Tokenizer.from_file(path))
-
-
 def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``. ``vocabulary`` is a tokenizer file every worker can
     read; None takes the installed public one."""
@@ -171,7 +157,10 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        ids = word_ids(path)
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        ids = WordIds(Tokenizer.from_file(path))
         tail, step = int(end_id).to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             out = []
