@@ -1,5 +1,5 @@
-"""Training-data operators: URL rules, decontamination, chat formatting, sharding, quality, secrets,
-repeated passages, embedding near-duplicates, packing and n-gram joins.
+"""Training-data operators: URL rules, decontamination, chat formatting, sharding, quality, secrets, repeated
+passages, embedding near-duplicates, packing, n-gram joins, byte-level BPE, conversation tries, Merkle manifests.
 
 Nothing outside this folder imports it; ``queries`` holds the registered queries and their SQL.
 """

@@ -63,13 +63,18 @@ class Likeness:
 
 
 def document_sets(batches: Iterator[pd.DataFrame], like: Likeness) -> Iterator[tuple]:
-    """(batch, row number, sorted distinct shingles) of each text; (batch, -1, None) ends a batch."""
+    """(batch, row number, sorted distinct shingles) of each text; (batch, -1, None) ends a batch. What Arrow holds unused goes
+    back with each batch, so idle workers stay small."""
+    import pyarrow as pa
+
     for batch in batches:
         for first, raws in text_batches(batch["text"]):
             flat, offsets = shingle_batch(raws, like.words)
             for i in range(len(raws)):
                 yield batch, first + i, np.unique(flat[offsets[i]:offsets[i + 1]])
         yield batch, -1, None
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def set_name(tokens: np.ndarray) -> int:
@@ -97,7 +102,7 @@ def _sets_and_counts(docs: DataFrame, like: Likeness) -> DataFrame:
                 frame = frame.astype("Int64").reindex(columns=names[:-1]).astype("Int64")
                 yield frame.assign(bits=pd.Series([m[2] for m in meta], dtype=object))
                 meta = []
-            if size > 1_000_000 or i < 0 and size:
+            if size > 250_000 or i < 0 and size:
                 values, counts = np.unique(np.concatenate(parts), return_counts=True)
                 frame = pd.DataFrame({"token": signed(values), "n": counts}).reindex(columns=names[:-1]).astype("Int64")
                 yield frame.assign(bits=None)

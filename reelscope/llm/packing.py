@@ -171,6 +171,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int
                         cut = raw[at:at + step]
                         out.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            pa.default_memory_pool().release_unused()
 
     out = docs.select(no_null("doc_id"), "text").mapInPandas(run, PIECES)
     return out.withColumn("doc_id", null_again("doc_id"))
