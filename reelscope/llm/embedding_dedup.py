@@ -1,19 +1,19 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Up to ``exact`` distinct vectors are compared all with all, in ``GRID`` x ``GRID`` blocks: every link is found.
+Pivots are a bounded sample of the distinct vectors (square root of their number, ``most_pivots`` at most, chosen by hash).
+Every vector is described by its nearest pivots in order of nearness: ``near`` of them, or half the square root of the number
+of pivots if that is more, so that the share of a cluster's pivots a vector is filed under does not shrink as pivots are added.
+Inverted lists hold, for each pivot, the vectors that have it among their nearest, with its place in their order.
 
-Beyond that, pivots are a bounded sample of the distinct vectors (square root of their number, ``most_pivots`` at
-most, chosen by hash). Every vector is described by its nearest pivots: ``near`` of them, or half the square root of the number of
-pivots if that is more, so that the share of a cluster's pivots a vector is filed under does not shrink as pivots
-are added. Inverted lists hold, for each pivot, the vectors that have it among their nearest. All vectors of a
-list meet, so two vectors that share any pivot are verified by cosine in double precision; two that
-share none are not found. The tests and the README give the share found.
+Two vectors of a list are candidates if their orders share ``shared`` pivots or more; candidates are verified by cosine in
+double precision. A pair is judged once, in the list of the first pivot in the order of its lesser node that both have: so a
+lesser node is looked at only in the lists of its first pivots, those after which ``shared - 1`` more may follow. Pairs that
+share fewer pivots are not found. The index is the same at every number of vectors; the tests and the README give the share found.
 
-Equal vectors are one node with a count, so copies cost nothing. A list is cut into blocks of ``block``
-members, which meet block by block, so a task holds two blocks at most, however many
-vectors share a pivot. No pairs are written: a block gives each vector its number of links and the
-smallest node of its component inside the block; these star edges are joined by ``components``. A pair
-that shares several pivots is counted in the list of the least of them.
+Equal vectors are one node with a count, so copies cost nothing. A list is cut into blocks of about ``block`` members by
+ranges of the node's hash, which meet block by block, so a task holds two blocks at most, however many vectors share a pivot.
+No pairs are written: a block gives each vector its number of links and the smallest node of its component inside the
+block; these star edges are joined by ``components``.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do
 rows with null vec_id (their component is null). Vectors of different length do not link. Rows that
@@ -32,9 +32,6 @@ from pyspark.sql import functions as F
 
 from reelscope.llm.common import components, stored
 
-GRID = 16
-
-
 def _unit(vectors) -> np.ndarray:
     x = np.stack([np.frombuffer(v, "<f8") for v in vectors])
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
@@ -63,13 +60,13 @@ def lists_of(near: int, pivots: int) -> int:
 
 
 def near_pivots(vectors: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
-    """The nearest pivots of unit vectors, ascending by number."""
+    """The nearest pivots of unit vectors, nearest first."""
     m = lists_of(near, len(pivots))
-    return np.sort(np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :m], axis=1).astype("<i4")
+    return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :m].astype("<i4")
 
 
 def _describe(vectors: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
-    """One row per vector and near pivot: ``pivot, node, n, vec, tops``."""
+    """One row per vector and near pivot: ``pivot, place, node, n, vec, tops``."""
     sent = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,40 +77,54 @@ def _describe(vectors: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
                 tops = near_pivots(_unit(part["vec"]), p, near)
                 raw = [t.tobytes() for t in tops]
                 again = np.repeat(np.arange(len(part)), tops.shape[1])
-                yield pd.DataFrame({"pivot": tops.ravel(), "node": part["node"].to_numpy()[again], "n": part["n"].to_numpy()[again],
+                yield pd.DataFrame({"pivot": tops.ravel(), "place": np.tile(np.arange(tops.shape[1], dtype=np.int32), len(part)),
+                                    "node": part["node"].to_numpy()[again], "n": part["n"].to_numpy()[again],
                                     "vec": part["vec"].to_numpy()[again], "tops": [raw[i] for i in again]})
 
-    return vectors.mapInPandas(run, "pivot int, node long, n long, vec binary, tops binary")
+    return vectors.mapInPandas(run, "pivot int, place int, node long, n long, vec binary, tops binary")
 
 
-def _earlier(a: np.ndarray, b: np.ndarray, pivot: int) -> np.ndarray:
-    """Whether a row of ``a`` and a row of ``b`` share a pivot below ``pivot``."""
-    names = np.unique(np.concatenate([a[a < pivot], b[b < pivot]]))
+def shared_after(a: np.ndarray, places: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For orders ``a`` (rows) and ``b`` that share the pivot at ``places`` of ``a``: how many pivots of ``a`` after it
+    ``b`` has too; negative where ``b`` has one before it."""
+    names = np.intersect1d(a, b)
 
-    def flags(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), len(names) + 1), np.float32)
-        out[np.arange(len(x))[:, None], np.where(x < pivot, np.searchsorted(names, x), len(names))] = 1
-        return out[:, :-1]
+    def at(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        column = np.minimum(np.searchsorted(names, x), len(names) - 1)
+        return column, names[column] == x
 
-    return flags(a) @ flags(b).T > 0
+    left, right = np.zeros((len(a), len(names)), np.float32), np.zeros((len(b), len(names)), np.float32)
+    column, known = at(a)
+    step = np.sign(np.arange(a.shape[1]) - places[:, None])
+    weight = np.where(step < 0, -float(a.shape[1]), step)
+    left[np.nonzero(known)[0], column[known]] = weight[known]
+    column, known = at(b)
+    right[np.nonzero(known)[0], column[known]] = 1
+    return left @ right.T
 
 
-def block_links(h: pd.DataFrame, m: pd.DataFrame, num: float, pivot: int, same: bool) -> pd.DataFrame:
-    """``node, links, root`` of rows ``h`` against rows ``m`` (``same``: they are the same rows). Pairs that
-    share a pivot below ``pivot`` belong to another list."""
+def block_links(h: pd.DataFrame, m: pd.DataFrame, num: float, shared: int, same: bool) -> pd.DataFrame:
+    """``node, links, root`` of rows ``h`` against rows ``m`` of a list (``same``: they are the same rows). No node
+    of ``h`` is greater than one of ``m`` unless they are the same rows, then they ascend by node."""
     none = pd.DataFrame({"node": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
     if not len(h) or not len(m):
         return none
-    ok = (_unit(h["vec"]) @ _unit(m["vec"]).T) >= num
+    a, b = (np.stack([np.frombuffer(t, "<i4") for t in r["tops"]]) for r in (h, m))
+    least = min(shared, a.shape[1])
+    x = np.flatnonzero(h["place"].to_numpy() <= a.shape[1] - least)  # else too few pivots follow
+    if not len(x):
+        return none
+    ok = shared_after(a[x], h["place"].to_numpy()[x], b) >= least - 1
     if same:
-        ok = np.triu(ok, 1)
-    if pivot > 0 and ok.any():
-        x, y = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
-        th, tm = (np.stack([np.frombuffer(t, "<i4") for t in r["tops"]]) for r in (h.iloc[x], m.iloc[y]))
-        ok[np.ix_(x, y)] &= ~_earlier(th, tm, pivot)
+        ok &= np.arange(len(m)) > x[:, None]
+    u, v = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))  # the rows that have candidates
+    if not len(u):
+        return none
+    ok[np.ix_(u, v)] &= (_unit(h["vec"].iloc[x[u]]) @ _unit(m["vec"].iloc[v]).T) >= num
     i, j = np.nonzero(ok)
     if not len(i):
         return none
+    i = x[i]
     hn, mn = h["node"].to_numpy(), m["node"].to_numpy()
     names, at = np.unique(np.concatenate([hn, mn]), return_inverse=True)
     a, b = at[:len(hn)][i], at[len(hn):][j]
@@ -135,40 +146,38 @@ def block_links(h: pd.DataFrame, m: pd.DataFrame, num: float, pivot: int, same:
     return pd.DataFrame({"node": names[touched], "links": links[touched], "root": names[root[touched]]})
 
 
-def _met(rows: DataFrame, num: float, block: int) -> DataFrame:
-    """``node, links, root`` rows of all pairs of ``pivot, node, n, vec, tops, blocks`` in one pivot's blocks."""
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+def _met(rows: DataFrame, num: float, shared: int, block: int) -> DataFrame:
+    """``node, links, root`` rows of all pairs of ``pivot, place, node, n, vec, tops, blocks`` in one pivot's blocks."""
+    share = F.floor((F.col("node") / F.lit(2.0 ** 64) + 0.5) * F.col("blocks"))  # ascends with node
+    rows = rows.withColumn("own", F.greatest(F.lit(0), F.least(share, F.col("blocks") - 1)).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"hb": F.least("own", "other"), "mb": F.greatest("own", "other")})
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        pivot, hb, mb = key
+        _, hb, mb = key
+        rows = rows.sort_values("node")
         h, m, out = rows[rows["own"] == hb], rows[rows["own"] == mb], []
         for x in range(0, len(h), block):
             for y in range(x if hb == mb else 0, len(m), block):
-                out.append(block_links(h.iloc[x:x + block], m.iloc[y:y + block], num, pivot, hb == mb and x == y))
-        return pd.concat(out) if out else block_links(h, m.iloc[:0], num, pivot, False)
+                out.append(block_links(h.iloc[x:x + block], m.iloc[y:y + block], num, shared, hb == mb and x == y))
+        return pd.concat(out) if out else block_links(h, m.iloc[:0], num, shared, False)
 
-    return rows.select("pivot", "hb", "mb", "own", "node", "n", "vec", "tops").groupBy("pivot", "hb", "mb").applyInPandas(
+    return rows.select("pivot", "hb", "mb", "own", "place", "node", "n", "vec", "tops").groupBy("pivot", "hb", "mb").applyInPandas(
         run, "node long, links long, root long")
 
 
-def embedding_links(vectors: DataFrame, num: float, near: int, most_pivots: int, block: int, exact: int) -> DataFrame:
+def embedding_links(vectors: DataFrame, num: float, near: int, shared: int, most_pivots: int, block: int) -> DataFrame:
     """``node, links, root`` rows (several per node) for ``node, n, vec`` of one length."""
-    count = vectors.count()
-    if count <= exact:
-        grid = vectors.select(F.lit(0).alias("pivot"), "*", F.lit(None).cast("binary").alias("tops"), F.lit(GRID).alias("blocks"))
-        return _met(grid, num, block)
-    k = min(most_pivots, max(32, math.isqrt(count) + 1))
+    k = min(most_pivots, max(32, math.isqrt(vectors.count()) + 1))
     sample = vectors.orderBy(F.xxhash64("node", F.lit("pivot")), "node").limit(k).select("vec").collect()  # k rows
     lists = stored(_describe(vectors, _unit([r["vec"] for r in sample]), near))
     sizes = lists.groupBy("pivot").count().collect()  # one row per pivot
     blocks = F.create_map(*[F.lit(x) for r in sizes for x in (r["pivot"], -(-r["count"] // block))])
-    return _met(lists.withColumn("blocks", blocks[F.col("pivot")].cast("int")), num, block)
+    return _met(lists.withColumn("blocks", blocks[F.col("pivot")].cast("int")), num, shared, block)
 
 
-def near_duplicates(table: DataFrame, num: float = 0.95, near: int = 8, most_pivots: int = 4096,
-                    block: int = 2048, exact: int = 131_072) -> DataFrame:
+def near_duplicates(table: DataFrame, num: float = 0.95, near: int = 12, shared: int = 2, most_pivots: int = 4096,
+                    block: int = 2048) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vec_id, embedding``."""
     rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.withColumn("node", F.when(valid_vector(F.col("v")) & F.col("vec_id").isNotNull(), F.xxhash64("v")))
@@ -178,8 +187,8 @@ def near_duplicates(table: DataFrame, num: float = 0.95, near: int = 8, most_piv
     vectors = stored(_as_binary(rows.where("node is not null").select("node", "v")).dropDuplicates(["node"]).join(nodes, "node"))
     found = None
     for r in vectors.select("dim").distinct().collect():  # the lengths that occur
-        own = embedding_links(vectors.where(F.col("dim") == r["dim"]).select("node", "n", "vec"), num, near,
-                              most_pivots, block, exact)
+        own = embedding_links(vectors.where(F.col("dim") == r["dim"]).select("node", "n", "vec"), num, near, shared,
+                              most_pivots, block)
         found = own if found is None else found.unionByName(own)
     if found is None:
         found = table.sparkSession.createDataFrame([], "node long, links long, root long")
