@@ -2,8 +2,9 @@
 
 A text is cut into the matches of ``pattern``; each match is encoded by itself, and a match that is one token is
 that token, as the usual library has it. The encodings of byte strings form a monoid: ``joined(a, b)`` is the encoding of
-both strings together. A match is encoded by halves (cut at a power of two, so that repetitive text falls on like
-boundaries) down to leaves of ``LEAF`` bytes, joining on the way up; leaves and windows are merged by the definition.
+both strings together. A match is encoded by halves (cut at a power of two) down to leaves of ``LEAF`` bytes, joining on the
+way up. All new matches of a batch go up their trees together: leaves, and the windows of one level, are merged at once, a merge
+of every string in each numpy step.
 
 Joining re-encodes a window around the boundary, at first one token of each side. It is settled once the window's
 encoding begins and ends with the very tokens the window began and ended with; else the side that changed takes twice as
@@ -11,8 +12,7 @@ many tokens. That is a proof: a token sequence is the encoding of its bytes if a
 of their own bytes, for a merge across a boundary would be the first one in the encoding of the two tokens beside it as well.
 Neighbours outside the window were neighbours in ``a`` or ``b``, those inside are in the window's own encoding.
 
-Encodings of whole matches are kept in a task's cache of at most ``CACHE_BYTES``, those of leaves and small windows in one of
-``SHORT_ENTRIES``; both end with the task. Ids are little-endian unsigned 32-bit integers in one binary value, so a longer text's ids are the concatenation of its
+Encodings of whole matches are kept in a task's cache of at most ``CACHE_BYTES``, which ends with the task. Ids are little-endian unsigned 32-bit integers in one binary value, so a longer text's ids are the concatenation of its
 parts' ids; decoding concatenates the tokens' bytes. Long texts are worked through in pieces of ``PIECE`` characters or
 more that end before white space, where no match of the pattern goes across.
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 import base64
 import heapq
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 
 CACHE_BYTES = 48_000_000
 ENTRY_BYTES = 150  # about what a cached match and its ids take besides their bytes
-SHORT_ENTRIES = 60_000
-LEAF = 8
+LEAF = 16
 SMALL = 48
+FEW = 12  # strings merged one by one, as numpy steps would cost more
 NEVER = 1 << 32
+NO_TOKEN = -1
 PIECE = 200_000
 
 
@@ -46,14 +47,23 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
 
 
+def pair_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Every two tokens that make a token: ``left << 32 | right`` ascending, and the id of what they make."""
+    found = sorted((left << 32 | right, i) for token, i in ranks.items() for cut in range(1, len(token))
+                   if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None)
+    both = np.array(found, np.int64).reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 class Tree:
     """Encoder over the ranks of one vocabulary, with its cache."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], pairs: tuple[np.ndarray, np.ndarray] | None = None):
         self.ranks = ranks
         self.tokens = {i: token for token, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.short: dict[bytes, tuple[int, ...]] = {}
+        self.pairs = pair_ranks(ranks) if pairs is None else pairs
+        self.single = np.array([ranks.get(bytes([i]), NO_TOKEN) for i in range(256)], np.int64)
         self.words: dict[str, bytes] = {}
         self.kept = 0
 
@@ -94,54 +104,127 @@ class Tree:
             i = end[i]
         return tuple(out)
 
-    def _kept(self, raw: bytes) -> tuple[int, ...]:
-        found = self.short.get(raw)
-        if found is None:
-            found = self.merged(raw)
-            if len(raw) <= LEAF:
-                if len(self.short) >= SHORT_ENTRIES:
-                    self.short.clear()
-                self.short[raw] = found
-        return found
-
-    def joined(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
-        """The encoding of two encodings' bytes together."""
-        left = right = 1
-        while True:
-            first, last = max(len(a) - left, 0), min(right, len(b))
-            window = self._kept(b"".join([self.tokens[i] for i in a[first:] + b[:last]]))
-            ahead = first > 0 and window[0] != a[first]
-            behind = last < len(b) and window[-1] != b[last - 1]
-            if not ahead and not behind:
-                return a[:first] + window + b[last:]
-            left, right = left << ahead, right << behind
-
-    def encoded(self, raw: bytes) -> tuple[int, ...]:
-        if len(raw) <= LEAF:
-            return self._kept(raw)
-        cut = 1 << ((len(raw) - 1).bit_length() - 1)
-        return self.joined(self.encoded(raw[:cut]), self.encoded(raw[cut:]))
-
-    def match_ids(self, match: str) -> bytes:
-        raw = match.encode()
-        whole = self.ranks.get(raw)
-        ids = (whole,) if whole is not None else self.encoded(raw)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def text_ids(self, matches: list[str]) -> bytes:
-        """The ids of neighbouring matches."""
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of what two tokens make, ``NEVER`` if nothing."""
+        keys, made = self.pairs
+        if not len(keys):
+            return np.full(left.shape, NEVER)
+        key = (left << 32) + right
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where((keys[at] == key) & (left >= 0) & (right >= 0), made[at], NEVER)
+
+    def _merged_rows(self, raws: list[bytes]) -> list[tuple[int, ...]]:
+        """``merged`` of many short strings, one merge of each in a step."""
+        width = max(map(len, raws))
+        raw = np.frombuffer(b"".join([r.ljust(width, b"\0") for r in raws]), np.uint8).reshape(-1, width)
+        length = np.fromiter(map(len, raws), np.int64, len(raws))
+        ids = np.where(np.arange(width) < length[:, None], self.single[raw], NO_TOKEN)
+        rows, live = np.arange(len(raws)), ids.copy()
+        rank = self._rank(live[:, :-1], live[:, 1:])
+        columns = np.arange(width)
+        while rank.shape[1]:
+            best = rank.argmin(axis=1)
+            least = rank[np.arange(len(rows)), best]
+            going = least < NEVER
+            if not going.all():
+                ids[rows[~going]] = live[~going]
+                rows, live, rank, best, least = rows[going], live[going], rank[going], best[going], least[going]
+            if not len(rows):
+                break
+            n = np.arange(len(rows))
+            follow = np.minimum(columns + (columns > best[:, None]), width - 1)
+            live = np.take_along_axis(live, follow, axis=1)
+            live[n, best], live[:, -1] = least, NO_TOKEN  # a token's id is its rank
+            rank = np.take_along_axis(rank, follow[:, :-1].clip(max=width - 2), axis=1)
+            rank[:, -1] = NEVER
+            rank[n, np.minimum(best, width - 2)] = self._rank(live[n, best], live[n, np.minimum(best + 1, width - 1)])
+            some = best > 0
+            rank[n[some], best[some] - 1] = self._rank(live[n[some], best[some] - 1], live[n[some], best[some]])
+            length[rows] -= 1
+        else:
+            ids[rows] = live
+        flat, ends = ids[columns < length[:, None]].tolist(), np.cumsum(length).tolist()
+        return [tuple(flat[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+
+    def merged_many(self, raws: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
+        """``merged`` of each distinct string."""
+        out, rows = {}, sorted(set(raws), key=len)
+        short = [r for r in rows if len(r) <= SMALL] if len(rows) > FEW else []
+        for r in rows[len(short):]:
+            out[r] = self.merged(r)
+        at = 0
+        for most in (LEAF // 2, LEAF, SMALL):
+            to = at
+            while to < len(short) and len(short[to]) <= most:
+                to += 1
+            if to > at:
+                out.update(zip(short[at:to], self._merged_rows(short[at:to]), strict=True))
+            at = to
+        return out
+
+    def joined_many(self, pairs: list[tuple]) -> list[tuple[int, ...]]:
+        """The encoding of the bytes of each two encodings together."""
+        out: list = [()] * len(pairs)
+        token = self.tokens.__getitem__
+        open_ends = [(k, 1, 1) for k in range(len(pairs))]
+        while open_ends:
+            asked = []
+            for k, left, right in open_ends:
+                a, b = pairs[k]
+                first, last = max(len(a) - left, 0), min(right, len(b))
+                asked.append((k, left, right, first, last, b"".join(map(token, a[first:] + b[:last]))))
+            found = self.merged_many(x[-1] for x in asked)
+            open_ends = []
+            for k, left, right, first, last, raw in asked:
+                a, b = pairs[k]
+                window = found[raw]
+                ahead = first > 0 and window[0] != a[first]
+                behind = last < len(b) and window[-1] != b[last - 1]
+                if ahead or behind:
+                    open_ends.append((k, left << ahead, right << behind))
+                else:
+                    out[k] = a[:first] + window + b[last:]
+        return out
+
+    def encoded_many(self, raws: list[bytes]) -> list[tuple[int, ...]]:
+        """The encoding of each string: its leaves, then level by level the neighbours joined. A string's leaf
+        without a neighbour waits for the level that has one, which is the cut at a power of two."""
+        leaves = [[r[i:i + LEAF] for i in range(0, len(r), LEAF)] for r in raws]
+        found = self.merged_many(x for own in leaves for x in own)
+        parts = [[found[x] for x in own] for own in leaves]
+        todo = [k for k, own in enumerate(parts) if len(own) > 1]
+        while todo:
+            joined = iter(self.joined_many([(parts[k][i], parts[k][i + 1]) for k in todo for i in range(0, len(parts[k]) - 1, 2)]))
+            for k in todo:
+                own = parts[k]
+                parts[k] = [next(joined) for _ in range(len(own) // 2)] + own[len(own) & ~1:]
+            todo = [k for k in todo if len(parts[k]) > 1]
+        return [own[0] if own else () for own in parts]
+
+    def texts_ids(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each list of neighbouring matches."""
         if self.kept > CACHE_BYTES:
             self.words.clear()
             self.kept = 0
-        own, long = self.words, {}
-        for match in set(matches).difference(own):
-            ids = self.match_ids(match)
+        own, long, rest = self.words, {}, []
+
+        def keep(match: str, ids: tuple[int, ...]) -> None:
+            packed = struct.pack(f"<{len(ids)}I", *ids)
             if len(match) <= SMALL:
-                own[match] = ids
-                self.kept += ENTRY_BYTES + 4 * len(match) + len(ids)
+                own[match] = packed
+                self.kept += ENTRY_BYTES + 4 * len(match) + len(packed)
             else:
-                long[match] = ids
-        return b"".join([own[m] if m in own else long[m] for m in matches] if long else map(own.__getitem__, matches))
+                long[match] = packed
+
+        for match in set().union(*texts).difference(own):
+            raw = match.encode()
+            if raw in self.ranks:
+                keep(match, (self.ranks[raw],))
+            else:
+                rest.append((match, raw))
+        for (match, _), ids in zip(rest, self.encoded_many([raw for _, raw in rest]), strict=True):
+            keep(match, ids)
+        return [b"".join([own[m] if m in own else long[m] for m in t] if long else map(own.__getitem__, t)) for t in texts]
 
 
 def _pieces(text: str, place) -> Iterator[str]:
@@ -156,20 +239,44 @@ def _pieces(text: str, place) -> Iterator[str]:
     yield text[at:]
 
 
+def _rows_ids(tree: Tree, texts: pa.Array, cut, place) -> Iterator[bytes]:
+    """The ids of each text; pieces of neighbouring texts of about ``PIECE`` characters are encoded together."""
+    held, size, row = [], 0, []
+
+    def told() -> Iterator[bytes]:
+        for (_, ends), ids in zip(held, tree.texts_ids([matches for matches, _ in held]), strict=True):
+            row.append(ids)
+            if ends:
+                yield b"".join(row)
+                row.clear()
+        held.clear()
+
+    for text in texts:
+        for piece in _pieces(text.as_py() or "", place):
+            held.append([cut.findall(piece), False])
+            size += len(piece)
+            if size >= PIECE:
+                yield from told()
+                size = 0
+        held.append([[], True])
+    yield from told()
+
+
 def encoder(spark: SparkSession, vocabulary: str, pattern: str) -> Callable[[Column | str], Column]:
     """A function from a text column to its ids. ``vocabulary`` is a rank file the driver can read (its bytes are
     broadcast: the size of a vocabulary). No match of ``pattern`` may go from another character into white space."""
     with open(vocabulary, "rb") as f:
-        sent = spark.sparkContext.broadcast(f.read())
+        raw = f.read()
+    sent = spark.sparkContext.broadcast((raw, pair_ranks(read_ranks(raw))))
 
     @F.arrow_udf("binary")
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
 
-        tree, cut, place = Tree(read_ranks(sent.value)), regex.compile(pattern), regex.compile(r"(?<=\S)(?=\s)")
+        raw, pairs = sent.value
+        tree, cut, place = Tree(read_ranks(raw), pairs), regex.compile(pattern), regex.compile(r"(?<=\S)(?=\s)")
         for some in texts:
-            yield pa.array((b"".join(tree.text_ids(cut.findall(p)) for p in _pieces(t.as_py() or "", place)) for t in some),
-                           pa.binary(), size=len(some))
+            yield pa.array(_rows_ids(tree, some, cut, place), pa.binary(), size=len(some))
 
     return encode
 

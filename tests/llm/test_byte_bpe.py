@@ -61,9 +61,12 @@ def test_joining_equals_the_definition_for_any_ranks(letters, words):
     tree = byte_bpe.Tree(ranks)
     raw = "".join(letters).encode()
     for cut in range(1, len(raw)):
-        assert tree.joined(tree.merged(raw[:cut]), tree.merged(raw[cut:])) == tree.merged(raw)
+        assert tree.joined_many([(tree.merged(raw[:cut]), tree.merged(raw[cut:]))]) == [tree.merged(raw)]
     long = raw * 9
-    assert tree.encoded(long) == tree.merged(long) == tree._merged_long(long)
+    assert tree.encoded_many([long]) == [tree.merged(long)] == [tree._merged_long(long)]
+    many = [raw[i:] + raw[:j] for i in range(len(raw)) for j in range(1, len(raw))] or [raw]
+    assert tree._merged_rows(many) == [tree.merged(r) for r in many]
+    assert tree.encoded_many([m * 3 for m in many]) == [tree.merged(m * 3) for m in many]
 
 
 def test_a_small_cache_changes_nothing(ranks, library, monkeypatch):
@@ -71,4 +74,5 @@ def test_a_small_cache_changes_nothing(ranks, library, monkeypatch):
     tree = byte_bpe.Tree(ranks)
     import regex
     for text in odd_texts()[:80]:
-        assert ids_of(tree.text_ids(regex.findall(P.PATTERN, text))) == library.encode_ordinary(text)
+        assert ids_of(tree.texts_ids([regex.findall(P.PATTERN, text)])[0]) == library.encode_ordinary(text)
+    assert tree.texts_ids([]) == [] and tree.texts_ids([[], ["a"]])[0] == b""
