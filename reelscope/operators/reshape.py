@@ -193,3 +193,16 @@ def lookup(col, mapping: dict, default=None) -> Column:
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
     got = F.try_element_at(m, c)
     return F.coalesce(got, F.lit(default)) if default is not None else got
+
+
+def explode_list(df: DataFrame, values: Column, keep: Sequence[str], out: str, pos: str | None = None,
+                 keep_empty: bool = False) -> DataFrame:
+    """One row per element of the list ``values`` with the columns ``keep`` (and the element's position from 0);
+    ``keep_empty`` keeps a row with an empty or null list as one row of nulls.
+
+    The list is a column below an outer generator, so it is computed once a row: under an inner generator Spark infers
+    the filter ``size(values) > 0``, which computes the whole list again for every mention in its expression."""
+    at = pos or "_pos"
+    rows = df.select(*keep, values.alias("_list")).select(*keep, F.posexplode_outer("_list").alias(at, out))
+    rows = rows if keep_empty else rows.filter(F.col(at).isNotNull())
+    return rows if pos else rows.drop(at)

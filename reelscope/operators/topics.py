@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from reelscope.functions.numbers import dominant_sentiment, pct, round_half_even
 from reelscope.functions.text import bigrams_of, format_pct, keyword_string, tokens, with_ngrams
+from reelscope.operators.reshape import explode_list
 
 OUTLIER = -1
 SALTS = 64
@@ -56,7 +57,7 @@ def tfidf_weights(df: DataFrame, key: str, text: str, toks: Column | None = None
     weigh 0 and are left out, as are rows without terms (the zero vector). Counts per (row, term) are complete in
     their scan task, so the first shuffle holds one row per distinct term of a text; the list of a frequent term is never
     collected, it is joined with its count (AQE splits it where it is skewed). ``key`` identifies a row; null is one key."""
-    terms = df.select(key, F.explode(tokens(F.col(text)) if toks is None else toks).alias("term"))
+    terms = explode_list(df, tokens(F.col(text)) if toks is None else toks, [key], "term")
     counts = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("_n"))
     held = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_d"))
     total = df.agg(F.count(F.lit(1)).alias("_rows"))
@@ -139,7 +140,7 @@ def topic_terms(df: DataFrame, text: str, keys: Sequence[str], stopwords: Sequen
     depend on the number of documents."""
     keys = list(keys)
     grams = with_ngrams(df.select(*keys, topic, text), text, list(stopwords), out="_g")
-    terms = grams.select(*keys, topic, F.explode("_g").alias("term"))
+    terms = explode_list(grams, F.col("_g"), [*keys, topic], "term")
     counts = terms.groupBy(*keys, topic, "term").agg(F.count(F.lit(1)).alias("n"))
     if min_df <= 1 and max_df is None:
         return counts
@@ -207,18 +208,32 @@ def topics_over_time(df: DataFrame, keys: Sequence[str], stamp: str, bins: int =
 
 # ------------------------------------------------------------------ A28-A32: topics x sentiment
 
-def topic_sentiment(df: DataFrame, keys: Sequence[str], keyword_table: DataFrame | None = None,
-                    topic: str = "topic", label: str = "sentiment_label", score: str = "sentiment_score") -> DataFrame:
-    """A28 (+ N18, N16): per topic (no -1, at least 2 members) its size, count and % per
+SENTIMENTS = ("positive", "negative", "neutral")
+
+
+def topic_levels(votes: DataFrame, keys: Sequence[str], topic: str = "topic", label: str = "sentiment_label",
+                 score: str = "sentiment_score", distribution: str = "sentiment_distribution") -> DataFrame:
+    """One row per (group, topic), -1 included: its reviews and sentences, both per label, and its mean score.
+
+    A28-A32 are made of these few rows only, so the sentences behind ``votes`` (A2: one row per review with its topic)
+    are split, scored and counted once."""
+    sents = lambda lab: F.coalesce(F.try_element_at(F.col(distribution), F.lit(lab)), F.lit(0))
+    aggs = [F.count(F.lit(1)).alias("topic_size"), F.avg(score).alias("_mean"), F.sum("sentence_count").alias("sentences")]
+    for lab in SENTIMENTS:
+        aggs += [F.count_if(F.col(label) == lab).alias(f"{lab}_count"), F.sum(sents(lab)).alias(f"{lab}_sentences")]
+    return votes.groupBy(*keys, topic).agg(*aggs)
+
+
+def topic_sentiment(levels: DataFrame, keys: Sequence[str], keyword_table: DataFrame | None = None,
+                    topic: str = "topic") -> DataFrame:
+    """A28 (+ N18, N16): per topic of ``topic_levels`` (no -1, at least 2 members) its size, count and % per
     label, dominant class, mean score (3 digits) and top keywords."""
     keys = list(keys)
-    n = F.count(F.lit(1))
-    aggs = [n.alias("topic_size")]
-    for lab in ("positive", "negative", "neutral"):
-        c = F.count_if(F.col(label) == lab)
-        aggs += [c.alias(f"{lab}_count"), pct(c, n, 2).alias(f"{lab}_percentage")]
-    aggs.append(round_half_even(F.avg(score), 3).alias("avg_sentiment_score"))
-    g = df.filter(F.col(topic) != OUTLIER).groupBy(*keys, topic).agg(*aggs).filter(F.col("topic_size") >= 2)
+    n = F.col("topic_size")
+    cols = [x for lab in SENTIMENTS
+            for x in (F.col(f"{lab}_count"), pct(f"{lab}_count", n, 2).alias(f"{lab}_percentage"))]
+    g = levels.filter((F.col(topic) != OUTLIER) & (n >= 2)).select(
+        *keys, topic, n, *cols, round_half_even(F.col("_mean"), 3).alias("avg_sentiment_score"))
     g = g.withColumn("dominant_sentiment",
                      dominant_sentiment("positive_percentage", "negative_percentage", "neutral_percentage"))
     if keyword_table is not None:
@@ -226,49 +241,36 @@ def topic_sentiment(df: DataFrame, keys: Sequence[str], keyword_table: DataFrame
     return g
 
 
-def topic_sentiment_distribution(df: DataFrame, summary: DataFrame, keys: Sequence[str],
-                                 topic: str = "topic") -> DataFrame:
-    """Topics per dominant class (all six listed) and the number of topics found
-    (every topic id except -1, size-1 topics included)."""
-    keys = list(keys)
-    dist = summary.groupBy(*keys).agg(*[F.count_if(F.col("dominant_sentiment") == c).alias(c)
-                                        for c in DOMINANT_CLASSES])
-    total = df.filter(F.col(topic) != OUTLIER).groupBy(*keys).agg(F.countDistinct(topic).alias("total_topics"))
-    out = total.join(dist, keys, "left")
-    return out.fillna(0, DOMINANT_CLASSES)
+def _classes(topic: str) -> list[Column]:
+    """Aggregates over ``topic_levels``: topics found (size 1 included) and topics of 2 or more per dominant class."""
+    kind = dominant_sentiment(*[pct(f"{lab}_count", "topic_size", 2) for lab in SENTIMENTS])
+    real = F.col(topic) != OUTLIER
+    return [F.count_if(real).alias("total_topics"),
+            *[F.count_if(real & (F.col("topic_size") >= 2) & (kind == c)).alias(c) for c in DOMINANT_CLASSES]]
 
 
-def _level(df: DataFrame, keys: list[str], label: str, prefix: str) -> DataFrame:
-    n = F.count(F.lit(1))
-    aggs = [n.alias(f"total_{prefix}")]
-    for lab in ("positive", "negative", "neutral"):
-        c = F.count_if(F.col(label) == lab)
-        aggs += [c.alias(f"{prefix}_{lab}"), pct(c, n, 2).alias(f"{prefix}_{lab}_percentage")]
-    return df.groupBy(*keys).agg(*aggs)
+def topic_sentiment_distribution(levels: DataFrame, keys: Sequence[str], topic: str = "topic") -> DataFrame:
+    """Topics per dominant class (all six listed) and the number of topics found
+    (every topic id except -1, size-1 topics included); groups of outliers only have no row."""
+    return levels.groupBy(*keys).agg(*_classes(topic)).filter(F.col("total_topics") > 0)
 
 
-def movie_topic_stats(reviews: DataFrame, sentences: DataFrame, topics_dist: DataFrame, keys: Sequence[str],
-                      analysis_date: str, label: str = "sentiment_label") -> DataFrame:
+def movie_topic_stats(levels: DataFrame, keys: Sequence[str], analysis_date: str, topic: str = "topic") -> DataFrame:
     """Per group a nested record: review-level and sentence-level label counts and %
     (a group without sentences gives 0 %, not a division error), total topics and the
-    topic class distribution."""
-    keys = list(keys)
-    r = _level(reviews, keys, label, "reviews")
-    s = _level(sentences, keys, label, "sentences")
-    j = r.join(s, keys, "left").join(topics_dist, keys, "left")
-
-    def level(prefix):
-        return F.struct(*[x for lab in ("positive", "negative", "neutral")
-                          for x in (F.coalesce(F.col(f"{prefix}_{lab}"), F.lit(0)).alias(lab),
-                                    F.coalesce(F.col(f"{prefix}_{lab}_percentage"), F.lit(0.0))
-                                    .alias(f"{lab}_percentage"))])
-    return j.select(*keys, F.col("total_reviews"), F.coalesce(F.col("total_sentences"), F.lit(0)).alias("total_sentences"),
-                    F.lit(analysis_date).alias("analysis_date"),
-                    level("reviews").alias("review_level_sentiment"),
-                    level("sentences").alias("sentence_level_sentiment"),
-                    F.coalesce(F.col("total_topics"), F.lit(0)).alias("total_topics"),
-                    F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in DOMINANT_CLASSES])
-                    .alias("topic_sentiment_distribution"))
+    topic class distribution. One aggregate over the rows of ``topic_levels``."""
+    per = levels.groupBy(*keys).agg(
+        F.sum("topic_size").alias("total_reviews"), F.sum("sentences").alias("total_sentences"),
+        *[F.sum(f"{lab}_{c}").alias(f"{lab}_{c}") for lab in SENTIMENTS for c in ("count", "sentences")], *_classes(topic))
+
+    def level(counted, total):
+        return F.struct(*[x for lab in SENTIMENTS
+                          for x in (F.col(f"{lab}_{counted}").alias(lab),
+                                    pct(f"{lab}_{counted}", total, 2).alias(f"{lab}_percentage"))])
+    return per.select(*keys, "total_reviews", "total_sentences", F.lit(analysis_date).alias("analysis_date"),
+                      level("count", "total_reviews").alias("review_level_sentiment"),
+                      level("sentences", "total_sentences").alias("sentence_level_sentiment"), "total_topics",
+                      F.struct(*DOMINANT_CLASSES).alias("topic_sentiment_distribution"))
 
 
 def movie_overview(stats: DataFrame, keys: Sequence[str]) -> DataFrame:

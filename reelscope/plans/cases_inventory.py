@@ -224,7 +224,7 @@ def o2(spark, sf):
 @register("O3_sort_topics")
 def o3(spark, sf):
     """O3: topic summary ordered by movie and topic id."""
-    return M.sort_topics(CT._a28_spark(spark, sf)[0].select(*CT.A28_COLS), CT.KEYS)
+    return M.sort_topics(CT._a28_spark(spark, sf).select(*CT.A28_COLS), CT.KEYS)
 
 
 @register("A31_movie_overview", CT._topics_sql(

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelscope.functions.stopwords import default_stopwords
-from reelscope.operators import reshape as R
 from reelscope.operators import scoring as SC
 from reelscope.operators import sentences as S
 from reelscope.operators import topics as M
@@ -23,24 +22,26 @@ LABELS = ["positive", "negative", "neutral"]
 
 # ------------------------------------------------------------------ shared Spark pieces
 
-def _sentences(spark, sf):
-    t = V.v_topic(spark, sf).select("doc_id", "movie_name", "review_text")
-    s = S.split_sentences_boundary(t, text="review_text", keep_empty=True)
+def _votes(spark, sf, *carried):
+    """One row per document with its topic and its vote (A2, M9); the texts are split and scored once."""
+    keys = ["doc_id", "movie_name", "topic", *carried]
+    t = V.v_topic(spark, sf).withColumn("_text", F.col("review_text"))
+    s = S.split_sentences_boundary(t.select(*keys, "_text"), text="_text", keep_empty=True)
     s = SC.lexicon_scorer(s, "sentence_text").withColumnsRenamed(
         {"sentiment": "sentiment_label", "confidence": "sentiment_score"})
-    return s.select("doc_id", "movie_name", "sentence_index", "sentiment_label", "sentiment_score")
-
-
-def _votes(spark, sf):
-    return S.review_vote(_sentences(spark, sf), ["doc_id", "movie_name"], global_index=None)
+    return S.review_vote(s.select(*keys, "sentence_index", "sentiment_label", "sentiment_score"), keys, global_index=None)
 
 
 def _reviews(spark, sf):
-    """Topic rows with the review vote (M9)."""
+    """Texts with their topic and vote label, for M7."""
     t = V.v_topic(spark, sf)
     return M.topic_assignments(t.drop("topic"), _votes(spark, sf).drop("movie_name"), t, "doc_id")
 
 
+def _levels(spark, sf):
+    return M.topic_levels(_votes(spark, sf), KEYS)
+
+
 def _terms(spark, sf, keys=KEYS, df=None):
     src = df if df is not None else V.v_topic(spark, sf)
     return M.topic_terms(src, "review_text", keys, default_stopwords())
@@ -224,7 +225,7 @@ def m8(spark, sf):
 @register("M9_topic_assignments")
 def m9(spark, sf):
     """M9: review rows with vote label, vote score and topic."""
-    return _reviews(spark, sf).select("doc_id", "movie_name", "sentiment_label", "sentiment_score", "topic")
+    return _votes(spark, sf).select("doc_id", "movie_name", "sentiment_label", "sentiment_score", "topic")
 
 
 REGISTRY["M9_topic_assignments"].sql = (
@@ -236,9 +237,7 @@ REGISTRY["M9_topic_assignments"].sql = (
 # ------------------------------------------------------------------ A28 - A32, O4, Z4
 
 def _a28_spark(spark, sf):
-    r = _reviews(spark, sf)
-    kw = M.topic_keywords(_terms(spark, sf), KEYS, 5)
-    return M.topic_sentiment(r, KEYS, kw), r
+    return M.topic_sentiment(_levels(spark, sf), KEYS, M.topic_keywords(_terms(spark, sf), KEYS, 5))
 
 
 def _a28_sql_body() -> str:
@@ -297,21 +296,17 @@ _A28_D = ("positive_percentage", "negative_percentage", "neutral_percentage", "a
 @register("A28_topic_sentiment", _topics_sql("SELECT " + ", ".join(A28_COLS) + " FROM a28", doubles=_A28_D))
 def a28(spark, sf):
     """A28 (+ N18, M5): per topic size, label counts and %, dominant class, mean score, keywords."""
-    return _a28_spark(spark, sf)[0].select(*A28_COLS)
+    return _a28_spark(spark, sf).select(*A28_COLS)
 
 
 @register("A29_topic_sentiment_distribution", _topics_sql("SELECT * FROM a29"))
 def a29(spark, sf):
     """Topics per dominant class and topics found, per movie."""
-    summary, r = _a28_spark(spark, sf)
-    return M.topic_sentiment_distribution(r, summary, KEYS)
+    return M.topic_sentiment_distribution(_levels(spark, sf), KEYS)
 
 
 def _a30_spark(spark, sf):
-    summary, r = _a28_spark(spark, sf)
-    dist = M.topic_sentiment_distribution(r, summary, KEYS)
-    sents = _sentences(spark, sf).filter(F.col("sentence_index").isNotNull())
-    return M.movie_topic_stats(r, sents, dist, KEYS, RUN_STAMP)
+    return M.movie_topic_stats(_levels(spark, sf), KEYS, RUN_STAMP)
 
 
 def _flat_a30(df):
@@ -349,7 +344,7 @@ def a32(spark, sf):
     + ", substr(coalesce(keyword_string, ''), 1, 60) AS keywords FROM a28"))
 def o4(spark, sf):
     """O3 + O4 + T10: the sorted display table of topics."""
-    return M.topic_table(_a28_spark(spark, sf)[0], KEYS)
+    return M.topic_table(_a28_spark(spark, sf), KEYS)
 
 
 @register("W6_top_k", _topic_sql(
@@ -362,16 +357,18 @@ def w6(spark, sf):
 
 @register("Z4_topic_sentiment_analysis")
 def z4(spark, sf):
-    """Z4 (P9 -> T5/T6 -> F2 -> A2 -> N19 -> M4/M5 -> A28-A31): movies with at least 10
-    texts, their overview row."""
-    stats = _a30_spark(spark, sf)
-    big = R.min_docs_gate(V.v_topic(spark, sf), KEYS, 10).select(*KEYS).distinct()
-    return M.movie_overview(stats.join(big, KEYS, "left_semi"), KEYS)
+    """Z4 (P9 -> T5/T6 -> F2 -> A2 -> N19 -> M4/M5 -> A28-A31): movies with at least 10 texts, their overview and each of
+    their topics with its keywords. The gate is the review count of the overview, so it needs no pass of its own."""
+    levels = _levels(spark, sf)
+    movies = M.movie_overview(M.movie_topic_stats(levels, KEYS, RUN_STAMP), KEYS).filter(F.col("total_reviews") >= 10)
+    topics = M.topic_sentiment(levels, KEYS, M.topic_keywords(_terms(spark, sf), KEYS, 5))
+    return movies.join(topics.select(*A28_COLS), KEYS, "left")
 
 
 REGISTRY["Z4_topic_sentiment_analysis"].sql = _topics_sql(
-    "SELECT movie_name, total_reviews, total_sentences, reviews_positive_percentage AS review_positive_pct, "
+    "SELECT m.movie_name, total_reviews, total_sentences, reviews_positive_percentage AS review_positive_pct, "
     "reviews_negative_percentage AS review_negative_pct, sentences_positive_percentage AS sentence_positive_pct, "
-    "sentences_negative_percentage AS sentence_negative_pct, total_topics AS topics_found FROM a30 "
-    "WHERE movie_name IN (SELECT movie_name FROM v_topic GROUP BY movie_name HAVING count(*) >= 10)",
-    doubles=("review_positive_pct", "review_negative_pct", "sentence_positive_pct", "sentence_negative_pct"))
+    "sentences_negative_percentage AS sentence_negative_pct, total_topics AS topics_found, "
+    + ", ".join(f"t.{c}" for c in A28_COLS[1:]) + " FROM a30 m LEFT JOIN a28 t ON t.movie_name = m.movie_name "
+    "WHERE m.movie_name IN (SELECT movie_name FROM v_topic GROUP BY movie_name HAVING count(*) >= 10)",
+    doubles=("review_positive_pct", "review_negative_pct", "sentence_positive_pct", "sentence_negative_pct", *_A28_D))
