@@ -38,13 +38,13 @@ def attach_review_score(sentences: DataFrame, scores: DataFrame, keys: list[str]
 
 
 def attach_metadata(scored: DataFrame, meta: DataFrame, keys: list[str] = ["review_index"],
-                    by_position: bool = True) -> DataFrame:
+                    by_position: bool = False) -> DataFrame:
     """INNER join of scored sentences with the cleaning step's sentence table.
 
     ``meta`` has ``review_id, sentence_num`` (1-based, with gaps) and the review fields.
-    By position the join is on (review, ``sentence_num - 1``), so sentences the two
-    splitters number differently drop out, as in the reference; ``by_position=False``
-    joins on the review only, taking the metadata of the review's first sentence.
+    The join is on the review; each field is its first non-null value in sentence order, so every scored sentence of a
+    known review stays. ``by_position=True`` joins on (review, ``sentence_num - 1``) instead, as the reference does:
+    sentences the two splitters number differently drop out.
     """
     m = meta.withColumnRenamed("review_id", "review_index")
     cols = ["username", "date", "rating", "source"]
@@ -159,7 +159,7 @@ def relationship_collapse(table: DataFrame, by: list[str] | None = None, thresho
 
 
 def narrative_metric_disconnect(sentences: DataFrame, meta: DataFrame, keys: list[str] = REVIEW_KEYS,
-                                by_position: bool = True) -> dict[str, DataFrame]:
+                                by_position: bool = False) -> dict[str, DataFrame]:
     """The whole disconnect flow. Returns the review table, the final table with
     bands, the per-movie significance table and the collapse flag."""
     movie = [k for k in keys if k != "review_index"]

@@ -72,3 +72,11 @@ def ordered_index(df: DataFrame, keys: list[str], order: list[str], out: str = "
     place = F.row_number().over(Window.partitionBy(*keys, "_b0").orderBy(*order)) - 1
     placed = _null_safe(rows.withColumn("_place", place), before, [*keys, "_b0"])
     return placed.withColumn(out, (F.col("_before") + F.col("_place")).cast("long")).drop("_b0", "_place", "_before")
+
+
+def with_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
+    """1-based place of every row in the whole table in ``order`` (ascending, nulls first; a total order that starts with a
+    whole number, date or text), numbered by ``ordered_index``, so no window holds the whole table."""
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumns({"_all": F.lit(0), **dict(zip(names, order))})
+    return ordered_index(keyed, ["_all"], names, out=out).withColumn(out, F.col(out) + 1).drop("_all", *names)

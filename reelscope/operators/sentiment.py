@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelscope.operators.ordering import with_rank
 from reelscope.functions.numbers import pct, round_half_even, score_bin, standardize_label, to_double
 
 LABELS = ["positive", "neutral", "negative"]
@@ -101,8 +102,12 @@ def master_summary(summaries: DataFrame, analysis_date: str) -> DataFrame:
     return rows.unionByName(total.select(*rows.columns))
 
 
-def sort_summary(summary: DataFrame) -> DataFrame:
-    """O2: movies by rows, largest first (the ``All Movies`` row last)."""
+def sort_summary(summary: DataFrame, rank: str | None = None) -> DataFrame:
+    """O2: movies by rows, largest first (the ``All Movies`` row last); ``rank`` names a column for the place."""
+    if rank:
+        last = F.lit((1 << 63) - 1)
+        rows = F.when(F.col("movie") == "All Movies", last).otherwise(-F.col("total_rows"))
+        summary = with_rank(summary, [rows, F.col("movie")], rank)
     return summary.orderBy((F.col("movie") == "All Movies").asc(), F.col("total_rows").desc(), F.col("movie"))
 
 

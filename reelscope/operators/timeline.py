@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelscope.operators.ordering import with_rank
 from reelscope.functions.dates import days_since_first, month_of, month_parts, quarter_label
 from reelscope.operators.reshape import densify_months
 
@@ -98,8 +99,12 @@ def range_summary(df: DataFrame, col: str, by: list[str], date: str = "date") ->
         F.avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"))
 
 
-def sort_by_date(df: DataFrame, date: str = "date", tie: list[str] | None = None) -> DataFrame:
-    """O1: ascending by date, nulls last, then the tie-break columns."""
+def sort_by_date(df: DataFrame, date: str = "date", tie: list[str] | None = None, rank: str | None = None) -> DataFrame:
+    """O1: ascending by date, nulls last, then the tie-break columns; ``rank`` names a column for the place (then the
+    tie-break columns must make the order total)."""
+    if rank:
+        last = F.lit((1 << 63) - 1)
+        df = with_rank(df, [F.coalesce(F.unix_micros(F.col(date).cast("timestamp")), last), *[F.col(c) for c in tie or []]], rank)
     return df.orderBy(F.col(date).asc_nulls_last(), *(tie or []))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from reelscope.functions.numbers import dominant_sentiment, pct, round_half_even
 from reelscope.functions.text import bigrams_of, format_pct, keyword_string, tokens, with_ngrams
+from reelscope.operators.ordering import with_rank
 from reelscope.operators.reshape import explode_list
 
 OUTLIER = -1
@@ -191,19 +192,58 @@ def keyword_frequencies(df: DataFrame, keywords: DataFrame, text: str, keys: Seq
                     .withColumn("keyword_frequency", F.coalesce(F.col("keyword_frequency"), F.lit(0)).cast("long")))
 
 
-def topics_over_time(df: DataFrame, keys: Sequence[str], stamp: str, bins: int = 20,
-                     topic: str = "topic") -> DataFrame:
-    """M8 (frequency part): rows per (group, topic, time bin); bins are equal-width between
-    the group's first and last time stamp, the last one closed."""
+def time_bins(df: DataFrame, keys: Sequence[str], stamp: str, bins: int = 20) -> DataFrame:
+    """Rows with ``time_bin``: equal-width bins between the group's first and last time stamp, the last one closed."""
     keys = list(keys)
     secs = F.unix_micros(F.col(stamp).cast("timestamp")).cast("double")
     bounds = df.groupBy(*keys).agg(F.min(secs).alias("_lo"), F.max(secs).alias("_hi"))
     j = df.join(bounds, keys)  # one row per group
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     b = F.when(width == 0, F.lit(0)).otherwise(F.floor((secs - F.col("_lo")) / width))
-    j = j.withColumn("time_bin", F.least(b, F.lit(bins - 1)).cast("long"))
-    return j.groupBy(*keys, topic, "time_bin").agg(F.count(F.lit(1)).alias("frequency"),
-                                                   F.min(stamp).alias("first_stamp"))
+    return j.withColumn("time_bin", F.least(b, F.lit(bins - 1)).cast("long")).drop("_lo", "_hi")
+
+
+def topics_over_time(df: DataFrame, keys: Sequence[str], stamp: str, bins: int = 20,
+                     topic: str = "topic") -> DataFrame:
+    """M8 (frequency part): rows per (group, topic, time bin) of ``time_bins``."""
+    return time_bins(df, keys, stamp, bins).groupBy(*keys, topic, "time_bin").agg(
+        F.count(F.lit(1)).alias("frequency"), F.min(stamp).alias("first_stamp"))
+
+
+def topic_words_over_time(df: DataFrame, text: str, keys: Sequence[str], stamp: str, stopwords: Sequence[str],
+                          bins: int = 20, k: int = 5, topic: str = "topic") -> DataFrame:
+    """M8 (words): the top ``k`` words of every topic in every time bin it occurs in.
+
+    A term's weight in a (topic, bin) is ``n/z * ln(1 + a/f)``: n and z count the term and all terms there, f the term in
+    the group, a the mean topic size of the group (M5). It is drawn towards the bin before, ``s = (weight + s before) / 2``,
+    as long as the topic occurs in successive bins (a gap starts afresh), and the score is the mean of ``s`` and the
+    term's weight in the whole topic, to 6 digits, ties by term. A term keeps one row per topic with a cell for each
+    bin that holds it (at most ``bins``), and the recurrence runs inside that row; a word may be carried into a bin
+    without it."""
+    keys = list(keys)
+    counts = topic_terms(time_bins(df, keys, stamp, bins), text, [*keys, "time_bin"], stopwords, topic)
+    terms = counts.groupBy(*keys, topic, "term").agg(
+        F.map_from_entries(F.collect_list(F.struct("time_bin", "n"))).alias("_cells"), F.sum("n").alias("_n"))  # at most ``bins``
+    terms = terms.withColumn("_f", F.sum("_n").over(Window.partitionBy(*keys, "term")))  # one row per topic
+    sizes = counts.groupBy(*keys, topic, "time_bin").agg(F.sum("n").alias("z"))
+    sizes = sizes.groupBy(*keys, topic).agg(F.sort_array(F.collect_list(F.struct("time_bin", "z"))).alias("_bins"),
+                                            F.sum("z").alias("_z"))
+    sizes = sizes.withColumn("_a", F.avg("_z").over(Window.partitionBy(*keys)))
+    idf = F.log(1 + F.col("_a") / F.col("_f"))
+    empty = F.struct(F.lit(None).cast("long").alias("bin"), F.lit(0.0).alias("s"),
+                     F.array().cast("array<struct<time_bin:bigint,s:double>>").alias("done"))
+
+    def step(acc, b):
+        own = F.coalesce(F.try_element_at(F.col("_cells"), b["time_bin"]), F.lit(0)) / b["z"]
+        s = F.when(acc["bin"] == b["time_bin"] - 1, (own + acc["s"]) / 2).otherwise(own)
+        return F.struct(b["time_bin"].alias("bin"), s.alias("s"),
+                        F.concat(acc["done"], F.array(F.struct(b["time_bin"].alias("time_bin"), s.alias("s")))).alias("done"))
+    walked = F.filter(F.aggregate("_bins", empty, step)["done"], lambda c: c["s"] > 0)
+    rows = explode_list(terms.join(sizes, [*keys, topic]).withColumns({"_idf": idf, "_all": F.col("_n") / F.col("_z")}),
+                        walked, [*keys, topic, "term", "_idf", "_all"], "_c")
+    score = F.round((F.col("_c.s") + F.col("_all")) / 2 * F.col("_idf") * F.lit(1e6)) / F.lit(1e6)
+    rows = rows.select(*keys, topic, F.col("_c.time_bin").alias("time_bin"), "term", score.alias("score"))
+    return top_k(rows, [*keys, topic, "time_bin"], k, [F.col("score").desc(), F.col("term")], "rank")
 
 
 # ------------------------------------------------------------------ A28-A32: topics x sentiment
@@ -296,8 +336,10 @@ def movies_topic_overview(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
                         (F.col(f"{d}.NEGATIVE") + F.col(f"{d}.MOSTLY_NEGATIVE")).alias("negative_topics"))
 
 
-def sort_topics(summary: DataFrame, keys: Sequence[str], topic: str = "topic") -> DataFrame:
-    """O3: topic summary ordered by group and topic id."""
+def sort_topics(summary: DataFrame, keys: Sequence[str], topic: str = "topic", rank: str | None = None) -> DataFrame:
+    """O3: topic summary ordered by group and topic id; ``rank`` names a column for the place."""
+    if rank:
+        summary = with_rank(summary, [F.col(c) for c in (*keys, topic)], rank)
     return summary.orderBy(*keys, topic)
 
 
@@ -310,10 +352,11 @@ def topic_table(summary: DataFrame, keys: Sequence[str], topic: str = "topic") -
         F.substring(F.coalesce(F.col("keyword_string"), F.lit("")), 1, 60).alias("keywords"))
 
 
-def top_k(df: DataFrame, by: Sequence[str], k: int, order: Sequence) -> DataFrame:
-    """Best ``k`` rows per group (``row_number() <= k``)."""
+def top_k(df: DataFrame, by: Sequence[str], k: int, order: Sequence, rank: str | None = None) -> DataFrame:
+    """Best ``k`` rows per group (``row_number() <= k``); ``rank`` keeps the place as a column."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
+    top = df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
+    return top.withColumnRenamed("_rk", rank) if rank else top.drop("_rk")
 
 
 def topic_assignments(reviews: DataFrame, votes: DataFrame, topics: DataFrame, key: str) -> DataFrame:

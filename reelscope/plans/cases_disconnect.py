@@ -78,7 +78,7 @@ def _z5_sql(select: str) -> str:
 
 
 def _z5(spark, sf):
-    return D.narrative_metric_disconnect(V.v_sent(spark, sf), V.v_meta(spark, sf))
+    return D.narrative_metric_disconnect(V.v_sent(spark, sf), V.v_meta(spark, sf), by_position=True)
 
 
 SENT_COLS = ["movie_name", "review_index", "sentence_index", "sentiment_label", "sentiment_score"]
@@ -111,6 +111,13 @@ def j1(spark, sf):
 def j2(spark, sf):
     """Scored sentences INNER JOIN sentence metadata by (review, position)."""
     s = V.v_sent(spark, sf).select(*SENT_COLS)
+    return D.attach_metadata(s, V.v_meta(spark, sf), by_position=True)
+
+
+@register("J2_attach_metadata_by_review")
+def j2_review(spark, sf):
+    """J2 (the default): scored sentences with their review's first known metadata."""
+    s = V.v_sent(spark, sf).select(*SENT_COLS)
     return D.attach_metadata(s, V.v_meta(spark, sf))
 
 
@@ -125,7 +132,7 @@ def a4(spark, sf):
     """A4: first non-null field values per review, in sentence order."""
     s = V.v_sent(spark, sf).select(*SENT_COLS)
     scores = D.review_sentiment_score(s)
-    return D.review_summary(D.attach_metadata(D.attach_review_score(s, scores), V.v_meta(spark, sf)))
+    return D.review_summary(D.attach_metadata(D.attach_review_score(s, scores), V.v_meta(spark, sf), by_position=True))
 
 
 @register("J3_merge_review_metrics")
@@ -189,6 +196,12 @@ REGISTRY["J1_attach_review_score"].sql = _wrap(
 REGISTRY["J2_attach_metadata"].sql = _wrap(
     "SELECT movie_name, review_index, sentence_index, sentiment_label, sentiment_score, username, date, rating, "
     "source FROM combined", doubles=("sentiment_score", "rating"), stamps=("date",))
+REGISTRY["J2_attach_metadata_by_review"].sql = _wrap(
+    "SELECT w.movie_name, w.review_index, w.sentence_index, w.sentiment_label, w.sentiment_score, m.username, m.date, m.rating, "
+    "m.source FROM with_score w JOIN (SELECT review_id, "
+    + ", ".join(f"arg_min({c}, sentence_num) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("username", "date", "rating", "source"))
+    + " FROM v_meta GROUP BY review_id) m ON m.review_id = w.review_index",
+    doubles=("sentiment_score", "rating"), stamps=("date",))
 REGISTRY["A3_review_sentence_stats"].sql = _wrap(
     "SELECT * FROM stats", doubles=("avg_sentiment_score", "positive_percentage"))
 REGISTRY["A4_review_summary"].sql = _wrap(

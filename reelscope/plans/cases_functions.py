@@ -10,6 +10,7 @@ from reelscope.functions import numbers as N
 from reelscope.functions import text as TX
 from reelscope.functions.stopwords import default_stopwords
 from reelscope.operators import sentences as S
+from reelscope.operators import reshape as R
 from reelscope.plans import sqlfrag as Q
 from reelscope.plans import views as V
 from reelscope.plans.catalog import oracle, register
@@ -174,26 +175,23 @@ def t7(spark, sf):
 
 
 @register("T8_keyword_string", oracle(
-    f"SELECT doc_id, array_to_string(list_slice({Q.tokens('text')}, 1, 5), ', ') AS keyword_string, "
-    f"substr(array_to_string(list_slice({Q.tokens('text')}, 1, 5), ', '), 1, 20) AS keyword_label FROM v_doc", DOC))
+    f"SELECT doc_id, array_to_string({Q.tokens('text')}, ', ') AS keyword_string, "
+    f"substr(array_to_string({Q.tokens('text')}, ', '), 1, 60) AS keyword_label FROM v_doc", DOC))
 def t8(spark, sf):
-    """First five tokens joined, and cut to a label width."""
-    d = V.v_doc(spark, sf)
-    top = F.slice(TX.tokens("text"), 1, 5)
-    return d.select("doc_id", TX.keyword_string(top).alias("keyword_string"),
-                    TX.keyword_string(top, 20).alias("keyword_label"))
+    """All tokens of a text joined, and the label of 60 characters."""
+    d = V.v_doc(spark, sf).select("doc_id", TX.tokens("text").alias("t"))
+    return d.select("doc_id", TX.keyword_string("t").alias("keyword_string"),
+                    TX.keyword_string("t", 60).alias("keyword_label"))
 
 
 @register("T9_tokenize_ngrams", oracle(
-    f"SELECT doc_id, CAST(len(g) AS BIGINT) AS n_terms, array_to_string(list_slice(g, 1, 6), '|') AS first_terms, "
-    f"g[-1] AS last_term FROM (SELECT doc_id, {Q.ngrams_of('k')} AS g FROM "
+    f"SELECT doc_id, CAST(generate_subscripts(g, 1) - 1 AS BIGINT) AS position, unnest(g) AS term "
+    f"FROM (SELECT doc_id, {Q.ngrams_of('k')} AS g FROM "
     f"(SELECT doc_id, {Q.kept_tokens('text', default_stopwords())} AS k FROM v_doc))", DOC))
 def t9(spark, sf):
-    """Stop words removed, then uni- and bigrams, on whole texts."""
+    """Stop words removed, then every uni- and bigram of the whole text with its position."""
     d = TX.with_ngrams(V.v_doc(spark, sf).select("doc_id", "text"), "text", default_stopwords(), out="g")
-    return d.select("doc_id", F.size("g").alias("n_terms"),
-                    F.array_join(F.slice("g", 1, 6), "|").alias("first_terms"),
-                    F.try_element_at("g", F.lit(-1)).alias("last_term"))
+    return R.explode_list(d, F.col("g"), ["doc_id"], "term", "position").withColumn("position", F.col("position").cast("long"))
 
 
 @register("T10_format_pct", oracle(
@@ -297,26 +295,26 @@ def n5_n6(spark, sf):
     return e.select("event_id", *cols)
 
 
-ID2LABEL = {"LABEL_0": "NEG", "LABEL_1": "NEU", "LABEL_2": "POS"}
+# Every component of a vector is a logit here; class i is called by i modulo 3.
+ID2LABEL = {f"LABEL_{i}": ("NEG", "NEU", "POS")[i % 3] for i in range(64)}
 
 
 @register("N7_N9_model_output", oracle(
-    """SELECT vec_id, p[1] AS prob_negative, p[2] AS prob_neutral, p[3] AS prob_positive,
+    """SELECT vec_id, CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS class, unnest(p) AS probability,
               CAST(list_position(p, list_max(p)) - 1 AS BIGINT) AS pred_idx, list_max(p) AS confidence,
-              CASE list_position(p, list_max(p)) - 1 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral'
+              CASE (list_position(p, list_max(p)) - 1) % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral'
                    WHEN 2 THEN 'positive' END AS sentiment
        FROM (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM (
              SELECT vec_id, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM (
-             SELECT vec_id, CAST(list_slice(embedding, 1, 3) AS DOUBLE[]) AS l FROM embeddings)))""",
-    [], doubles=("prob_negative", "prob_neutral", "prob_positive", "confidence")))
+             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS l FROM embeddings)))""",
+    [], doubles=("probability", "confidence")))
 def n7_n9(spark, sf):
-    """Softmax of three logits, argmax with first-on-ties, label from the index."""
-    e = V.table(spark, sf, "embeddings")
-    p = e.select("vec_id", N.softmax(F.slice("embedding", 1, 3)).alias("p"))
+    """Softmax of whole logit vectors, argmax with first-on-ties, label from the index; a row per class."""
+    p = V.table(spark, sf, "embeddings").select("vec_id", N.softmax("embedding").alias("p"))
     idx = N.argmax_index(F.col("p"))
-    return p.select("vec_id", F.col("p")[0].alias("prob_negative"), F.col("p")[1].alias("prob_neutral"),
-                    F.col("p")[2].alias("prob_positive"), idx.alias("pred_idx"),
-                    F.array_max("p").alias("confidence"), N.map_model_label(idx, ID2LABEL).alias("sentiment"))
+    out = p.select("vec_id", "p", idx.alias("pred_idx"), F.array_max("p").alias("confidence"),
+                   N.map_model_label(idx, ID2LABEL).alias("sentiment"))
+    return R.explode_list(out, F.col("p"), ["vec_id", "pred_idx", "confidence", "sentiment"], "probability", "class")
 
 
 @register("N18_dominant_sentiment", oracle(

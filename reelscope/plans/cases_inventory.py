@@ -217,14 +217,14 @@ def u4(spark, sf):
 
 @register("O2_sort_summary")
 def o2(spark, sf):
-    """O2: per-movie summaries (A11), most rows first."""
-    return A.sort_summary(REGISTRY["A11_movie_summary"].build(spark, sf))
+    """O2: per-movie summaries (A11), most rows first, with their place."""
+    return A.sort_summary(REGISTRY["A11_movie_summary"].build(spark, sf), "rank")
 
 
 @register("O3_sort_topics")
 def o3(spark, sf):
-    """O3: topic summary ordered by movie and topic id."""
-    return M.sort_topics(CT._a28_spark(spark, sf).select(*CT.A28_COLS), CT.KEYS)
+    """O3: topic summary ordered by movie and topic id, with the place."""
+    return M.sort_topics(CT._a28_spark(spark, sf).select(*CT.A28_COLS), CT.KEYS, rank="rank")
 
 
 @register("A31_movie_overview", CT._topics_sql(
@@ -298,5 +298,9 @@ def a17(spark, sf):
 
 
 REGISTRY["F1_score_sentences"].sql = REGISTRY["F2_lexicon_scorer"].sql
-REGISTRY["O2_sort_summary"].sql = REGISTRY["A11_movie_summary"].sql
-REGISTRY["O3_sort_topics"].sql = REGISTRY["A28_topic_sentiment"].sql
+REGISTRY["O2_sort_summary"].sql = (
+    "SELECT *, row_number() OVER (ORDER BY coalesce(movie = 'All Movies', false), total_rows DESC, movie NULLS FIRST) AS rank "
+    f"FROM ({REGISTRY['A11_movie_summary'].sql})")
+REGISTRY["O3_sort_topics"].sql = (
+    "SELECT *, row_number() OVER (ORDER BY movie_name NULLS FIRST, topic NULLS FIRST) AS rank "
+    f"FROM ({REGISTRY['A28_topic_sentiment'].sql})")

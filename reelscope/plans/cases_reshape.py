@@ -113,10 +113,10 @@ def z1(spark, sf):
 
 @register("U2_unify_sources")
 def u2(spark, sf):
-    """The three site schemas onto the canonical review (no de-duplication)."""
-    imdb, le, _, rt = raw_sites(spark, sf)
+    """The three site schemas onto the canonical review (both Letterboxd pulls, no de-duplication)."""
+    imdb, le, ll, rt = raw_sites(spark, sf)
     parse = lambda d, c: d.withColumn(c, parse_review_date(c, YEAR))
-    return _flatten_order(C.unify_sources(parse(imdb, "Date"), parse(le, "date"), parse(rt, "Date")))
+    return _flatten_order(C.unify_sources(parse(imdb, "Date"), parse(R.union_batches(le, ll), "date"), parse(rt, "Date")))
 
 
 @register("U1_union_batches")
@@ -129,14 +129,17 @@ def u1(spark, sf):
 
 
 @register("U5_check_union_rows", oracle(
-    "SELECT CAST(sum(n) AS BIGINT) AS parts_rows, (SELECT count(*) FROM v_rev) AS union_rows, "
-    "sum(n) = (SELECT count(*) FROM v_rev) AS equal FROM (SELECT source, count(*) AS n FROM v_rev GROUP BY source)",
+    "SELECT parts, parts_rows, union_rows, parts_rows = union_rows AS equal FROM ("
+    "SELECT 'all' AS parts, count(*) AS parts_rows, count(*) AS union_rows FROM v_rev UNION ALL "
+    "SELECT 'without rt', count(*) FILTER (WHERE source IS DISTINCT FROM 'rt'), count(*) FROM v_rev)",
     REV))
 def u5(spark, sf):
-    """The union keeps every row of its parts."""
+    """The sites' parts against the review table, once complete and once with a part that was lost."""
     r = V.v_rev(spark, sf)
-    parts = [r.filter(F.col("source") == s) for s in ("imdb", "ltbx", "rt")]
-    return R.check_union_rows(parts, R.union_all(parts))
+    parts = [r.filter(F.col("source").eqNullSafe(F.lit(s))) for s in (None, "imdb", "ltbx", "rt")]
+    named = [("all", parts), ("without rt", parts[:-1])]
+    return R.union_all([R.check_union_rows(p, r).select(F.lit(n).alias("parts"), "parts_rows", "union_rows", "equal")
+                        for n, p in named])
 
 
 @register("U6_dedup_keep_first", oracle(
@@ -260,7 +263,7 @@ def _sites_sql(select: str, doubles=(), stamps=()) -> str:
 
 REGISTRY["Z1_clean_reviews"].sql = _sites_sql(_z1_sql(), doubles=("rating",), stamps=("date",))
 REGISTRY["U2_unify_sources"].sql = _sites_sql(
-    _z1_sql().replace("FROM imdb_d", "FROM imdb").replace("FROM ltbx_d", "FROM (SELECT * FROM ltbx WHERE batch = 0)")
+    _z1_sql().replace("FROM imdb_d", "FROM imdb").replace("FROM ltbx_d", "FROM ltbx")
     .replace("FROM rt_d", "FROM rt"), doubles=("rating",), stamps=("date",))
 REGISTRY["U1_union_batches"].sql = _sites_sql(
     "SELECT movie_name, username, review_text, viewing_type, CAST(batch AS BIGINT) AS batch, row FROM ltbx")

@@ -255,7 +255,7 @@ def _a27_sql():
 def a5(spark, sf):
     """A5: per (review, user, day) the first rating and the mean score; null keys dropped."""
     s = V.v_sent(spark, sf).select("review_index", "sentence_index", "sentiment_score")
-    c = D.attach_metadata(s, V.v_meta(spark, sf)).withColumn("day", F.to_date("date"))
+    c = D.attach_metadata(s, V.v_meta(spark, sf), by_position=True).withColumn("day", F.to_date("date"))
     return A.unique_reviews(c, ["review_index", "username", "day"], "rating", "sentiment_score", "sentence_index")
 
 

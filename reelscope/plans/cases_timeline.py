@@ -177,12 +177,13 @@ def w4(spark, sf):
 
 
 @register("O1_sort_by_date", _z7_sql(
-    "SELECT movie_name, review_index, review_date FROM final ORDER BY review_date NULLS LAST, review_index",
+    "SELECT movie_name, review_index, review_date, row_number() OVER (ORDER BY review_date NULLS LAST, review_index, "
+    "movie_name NULLS FIRST) AS rank FROM final",
     stamps=("review_date",)))
 def o1(spark, sf):
-    """O1: reviews by date ascending, nulls last."""
+    """O1: reviews by date ascending, nulls last, with their place."""
     f = _z5(spark, sf)["final"].select("movie_name", "review_index", "review_date")
-    return TL.sort_by_date(f, "review_date", ["review_index"])
+    return TL.sort_by_date(f, "review_date", ["review_index", "movie_name"], "rank")
 
 
 # ------------------------------------------------------------------ W7 deviation series on the review view

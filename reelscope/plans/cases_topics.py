@@ -222,6 +222,42 @@ def m8(spark, sf):
     return M.topics_over_time(s, KEYS, "ts", 20)
 
 
+DAYS = 1000
+
+
+@register("M8_topic_words_over_time", _topic_sql("""
+SELECT movie_name, topic, time_bin, term, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY movie_name, topic, time_bin ORDER BY score DESC, term) AS rank FROM (
+    SELECT s.movie_name, s.topic, s.time_bin, s.term, round((s.s + t.n / z.z) / 2 * ln(1 + a.a / f.f) * 1e6) / 1e6 AS score
+    FROM smooth s JOIN whole t USING (movie_name, topic, term) JOIN zs z USING (movie_name, topic)
+    JOIN za a USING (movie_name) JOIN fs f USING (movie_name, term)))
+WHERE rank <= 5""", f"""
+stamped AS (SELECT *, CAST(doc_id * 7919 % {DAYS} AS DOUBLE) AS d FROM v_topic),
+ranged AS (SELECT *, min(d) OVER (PARTITION BY movie_name) AS lo, max(d) OVER (PARTITION BY movie_name) AS hi FROM stamped),
+binned AS (SELECT movie_name, topic, review_text, CAST(least(CASE WHEN hi = lo THEN 0
+             ELSE floor((d - lo) * 86400e6 / ((hi - lo) * 86400e6 / 20.0)) END, 19) AS BIGINT) AS time_bin FROM ranged),"""
+    + _term_ctes("movie_name, time_bin", "binned") + """,
+whole AS (SELECT movie_name, topic, term, sum(n) AS n FROM terms GROUP BY ALL),
+fs AS (SELECT movie_name, term, sum(n) AS f FROM whole GROUP BY ALL),
+zs AS (SELECT movie_name, topic, sum(n) AS z FROM whole GROUP BY ALL),
+za AS (SELECT movie_name, avg(z) AS a FROM zs GROUP BY ALL),
+zb AS (SELECT movie_name, topic, time_bin, sum(n) AS z FROM terms GROUP BY ALL),
+runs AS (SELECT *, min(time_bin) OVER (PARTITION BY movie_name, topic, run) AS start FROM (
+  SELECT *, time_bin - row_number() OVER (PARTITION BY movie_name, topic ORDER BY time_bin) AS run FROM zb)),
+smooth AS (SELECT t.movie_name, t.topic, later.time_bin, t.term,
+             sum(t.n / own.z * pow(0.5, later.time_bin - own.time_bin + CASE WHEN own.time_bin = own.start THEN 0 ELSE 1 END)) AS s
+           FROM terms t JOIN runs own USING (movie_name, topic, time_bin)
+           JOIN runs later ON later.movie_name = own.movie_name AND later.topic = own.topic AND later.run = own.run
+                AND later.time_bin >= own.time_bin
+           GROUP BY ALL)""", doubles=("score",)))
+def m8_words(spark, sf):
+    """M8: the five words of every topic in each of 20 time bins, drawn towards the bin before and the whole topic; a
+    document's day is made from its id."""
+    t = V.v_topic(spark, sf)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") * 7919 % DAYS).cast("int"))
+    return M.topic_words_over_time(t.withColumn("ts", day), "review_text", KEYS, "ts", default_stopwords())
+
+
 @register("M9_topic_assignments")
 def m9(spark, sf):
     """M9: review rows with vote label, vote score and topic."""
