@@ -128,14 +128,16 @@ def tokenize_ngrams(c, stopwords: list[str], n_max: int = 2) -> Column:
     return F.concat(toks, bigrams_of(toks)) if n_max >= 2 else toks
 
 
-def with_ngrams(df: DataFrame, text: str, stopwords: list[str], out: str = "terms", n_max: int = 2) -> DataFrame:
+def with_ngrams(df: DataFrame, text: str, stopwords: list[str], out: str = "terms", n_max: int = 2,
+                toks: str | None = None) -> DataFrame:
     """T9 for long stop lists: the stop-word test is Spark ML's ``StopWordsRemover``
-    (a hash-set lookup in the JVM) instead of a linear scan per token."""
+    (a hash-set lookup in the JVM) instead of a linear scan per token. ``toks`` keeps all tokens under that name."""
     from pyspark.ml.feature import StopWordsRemover
 
     tmp = df.withColumn("_toks", tokens(F.col(text)))
     remover = StopWordsRemover(inputCol="_toks", outputCol="_kept", stopWords=sorted(set(stopwords)),
                                caseSensitive=True)
-    kept = remover.transform(tmp).drop("_toks")
+    kept = remover.transform(tmp)
+    kept = kept.withColumnRenamed("_toks", toks) if toks else kept.drop("_toks")
     grams = F.concat(F.col("_kept"), bigrams_of("_kept")) if n_max >= 2 else F.col("_kept")
     return kept.withColumn(out, grams).drop("_kept")

@@ -151,12 +151,14 @@ def topic_terms(df: DataFrame, text: str, keys: Sequence[str], stopwords: Sequen
     return counts.withColumn("_kept", kept).filter("_kept").drop("_kept")
 
 
-def topic_keywords(terms: DataFrame, keys: Sequence[str], k: int = 5, topic: str = "topic") -> DataFrame:
+def topic_keywords(terms: DataFrame, keys: Sequence[str], k: int = 5, topic: str = "topic",
+                   carry: Sequence[str] = ()) -> DataFrame:
     """M5: class-based TF-IDF, ``n/z * ln(1 + a/f)`` with n the term count in the topic,
     z the topic's total count, f the term's count over all topics and a the mean z of the
     group; the top ``k`` terms per topic (score rounded to 6 digits, ties by term). ``f`` is a
     window sum over (group, term), which holds at most one row per topic; ``z`` and ``a`` are
-    one row per topic. Both read the same exchange of term counts, so texts are tokenised once."""
+    one row per topic. Both read the same exchange of term counts, so texts are tokenised once. Columns of ``terms`` named
+    in ``carry`` stay."""
     keys = list(keys)
     z = terms.groupBy(*keys, topic).agg(F.sum("n").alias("_z"))
     z = z.withColumn("_a", F.avg("_z").over(Window.partitionBy(*keys)))
@@ -166,7 +168,7 @@ def topic_keywords(terms: DataFrame, keys: Sequence[str], k: int = 5, topic: str
                                            * F.lit(1e6)) / F.lit(1e6)))
     w = Window.partitionBy(*keys, topic).orderBy(F.col("score").desc(), F.col("term"))
     top = s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select(*keys, topic, F.col("term").alias("keyword"), "score", F.col("rank").cast("long"))
+    return top.select(*keys, topic, F.col("term").alias("keyword"), "score", F.col("rank").cast("long"), *carry)
 
 
 def keyword_lists(keywords: DataFrame, keys: Sequence[str], topic: str = "topic") -> DataFrame:
@@ -177,19 +179,22 @@ def keyword_lists(keywords: DataFrame, keys: Sequence[str], topic: str = "topic"
     return g.select(*keys, topic, arr.alias("top_keywords"), keyword_string(arr).alias("keyword_string"))
 
 
-def keyword_frequencies(df: DataFrame, keywords: DataFrame, text: str, keys: Sequence[str],
+def keyword_frequencies(df: DataFrame, text: str, keys: Sequence[str], stopwords: Sequence[str], k: int = 10,
                         topic: str = "topic") -> DataFrame:
-    """M6: for the top keywords of each topic, how often the phrase occurs in the topic's
+    """M6: the top ``k`` keywords of each topic (M5) and how often each phrase occurs in the topic's
     raw texts (words and adjacent-word pairs, stop words *not* removed); 0 when it never
-    does (a bigram of the stop-word-free text can be absent from the raw text)."""
+    does (a bigram of the stop-word-free text can be absent from the raw text).
+
+    A text is read once. Its terms with and without stop words are counted side by side, per task before the only
+    exchange of terms, so the raw count already stands in a keyword's row and nothing is joined back."""
     keys = list(keys)
-    toks = df.select(*keys, topic, tokens(F.col(text)).alias("_t"))
-    raw = toks.select(*keys, topic, F.explode(F.concat("_t", bigrams_of("_t"))).alias("keyword"))
-    wanted = keywords.select(*keys, topic, "keyword").distinct()
-    counts = (raw.join(wanted, [*keys, topic, "keyword"], "left_semi")
-                 .groupBy(*keys, topic, "keyword").agg(F.count(F.lit(1)).alias("keyword_frequency")))
-    return (keywords.join(counts, [*keys, topic, "keyword"], "left")
-                    .withColumn("keyword_frequency", F.coalesce(F.col("keyword_frequency"), F.lit(0)).cast("long")))
+    grams = with_ngrams(df.select(*keys, topic, text), text, list(stopwords), out="_g", toks="_t")
+    tagged = lambda c, kept: F.transform(c, lambda g: F.struct(g.alias("term"), F.lit(kept).alias("kept")))
+    both = F.concat(tagged(F.col("_g"), 1), tagged(F.concat("_t", bigrams_of("_t")), 0))
+    rows = explode_list(grams, both, [*keys, topic], "_e")
+    terms = rows.groupBy(*keys, topic, F.col("_e.term").alias("term")).agg(
+        F.count_if(F.col("_e.kept") == 1).alias("n"), F.count_if(F.col("_e.kept") == 0).alias("keyword_frequency"))
+    return topic_keywords(terms.filter("n > 0"), keys, k, topic, carry=["keyword_frequency"])
 
 
 def time_bins(df: DataFrame, keys: Sequence[str], stamp: str, bins: int = 20) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelscope.functions import numbers as N
 from reelscope.functions.dates import days_since_first
-from reelscope.functions.text import TOKEN_PATTERN
+from reelscope.functions.text import TOKEN_PATTERN, split_boundary
 from reelscope.operators import disconnect as D
 from reelscope.operators import profile as P
 from reelscope.operators import reshape as R
@@ -24,6 +25,7 @@ from reelscope.plans import cases_topics as CT
 from reelscope.plans import sqlfrag as Q
 from reelscope.plans import views as V
 from reelscope.plans.catalog import REGISTRY, oracle, register
+from reelscope.sources import files as SF
 from reelscope.sources.files import movie_from_path
 
 REV = [V.SQL_V_REV]
@@ -291,6 +293,60 @@ def s3(spark, sf):
     return d.withColumn("movie", movie_from_path(F.col("path")))
 
 
+def _odd_text():
+    """Texts with what CSV and JSON must escape: doubled quotes, commas, line breaks, blanks at both ends."""
+    return F.concat(F.lit(' "'), F.replace("text", F.lit(". "), F.lit('."\n, "')), F.lit('" '))
+
+
+ODD_TEXT_SQL = "' \"' || replace(text, '. ', '.\"' || chr(10) || ', \"') || '\" '"
+
+
+@register("S6_combined_csv", oracle(
+    f"SELECT lang AS movie_name, source AS username, doc_id AS date, {ODD_TEXT_SQL} AS review_text, "
+    "CAST(doc_id % 101 AS DOUBLE) / 2 AS rating, nullif(source, '') AS source, CAST(NULL AS VARCHAR) AS broken FROM v_doc",
+    DOC, doubles=("rating",)))
+def s6(spark, sf):
+    """S5 + S6: documents as combined CSV records in the fixed column order, read back under the declared schema."""
+    d = V.v_doc(spark, sf).select(
+        F.col("lang").alias("movie_name"), F.col("source").alias("username"), F.col("doc_id").alias("date"),
+        _odd_text().alias("review_text"), ((F.col("doc_id") % 101).cast("double") / 2).alias("rating"), "source")
+    back = SF.read_csv_lines(SF.csv_lines(d, SF.COMBINED_ORDER), d.select(*SF.COMBINED_ORDER).schema)
+    return back.withColumnRenamed(SF.CORRUPT, "broken")
+
+
+@register("S7_summary_json", oracle(
+    "SELECT lang, documents, source, n, longest, last_text, CAST(NULL AS VARCHAR) AS broken FROM ("
+    "SELECT lang, source, count(*) AS n FROM v_doc WHERE source IS NOT NULL GROUP BY ALL) JOIN ("
+    "SELECT lang, count(*) AS documents, max(length(text)) AS longest, "
+    f"arg_max({ODD_TEXT_SQL}, doc_id) FILTER (WHERE text IS NOT NULL) AS last_text "
+    "FROM v_doc GROUP BY lang) USING (lang)", DOC))
+def s7(spark, sf):
+    """One JSON record per language with a struct and a map inside, read back under the declared schema."""
+    d = V.v_doc(spark, sf)
+    per = d.filter(F.col("source").isNotNull()).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    maps = per.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("sources"))  # one entry per source
+    rest = d.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.struct(F.max(F.length("text")).cast("long").alias("longest"),
+                 F.max_by(_odd_text(), F.when(F.col("text").isNotNull(), F.col("doc_id"))).alias("last_text")).alias("texts"))
+    records = rest.join(maps, "lang")
+    back = SF.read_json_lines(SF.json_lines(records), records.schema)
+    return back.select("lang", "documents", F.explode("sources").alias("source", "n"), "texts.longest", "texts.last_text",
+                       F.col(SF.CORRUPT).alias("broken"))
+
+
+@register("S8_result_tables", oracle(
+    f"SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS position, unnest(p) AS sentence, "
+    f"CAST(NULL AS VARCHAR) AS broken FROM (SELECT doc_id, {Q.split_boundary(ODD_TEXT_SQL)} AS p FROM v_doc)", DOC))
+def s8(spark, sf):
+    """A result table with a list column as CSV records (the list as JSON text), read back and unfolded."""
+    d = V.v_doc(spark, sf).select("doc_id", split_boundary(_odd_text()).alias("sentences"))
+    flat = T.StructType([d.schema["doc_id"], T.StructField("sentences", T.StringType())])
+    back = SF.read_csv_lines(SF.csv_lines(d), flat)
+    return R.explode_list(back, F.from_json("sentences", "array<string>"), ["doc_id", SF.CORRUPT], "sentence", "position") \
+            .withColumnRenamed(SF.CORRUPT, "broken")
+
+
 @register("A17_schema_report")
 def a17(spark, sf):
     """Column -> type of every driver table (schemas only, no data read)."""

@@ -189,9 +189,7 @@ FROM kw k LEFT JOIN (
   GROUP BY ALL) c USING (movie_name, topic, keyword)""", _term_ctes() + _kw_ctes(10), doubles=("score",)))
 def m6(spark, sf):
     """M6: top-10 keywords with their raw occurrence count in the topic's texts."""
-    t = V.v_topic(spark, sf)
-    kw = M.topic_keywords(_terms(spark, sf, df=t), KEYS, 10)
-    return M.keyword_frequencies(t, kw, "review_text", KEYS)
+    return M.keyword_frequencies(V.v_topic(spark, sf), "review_text", KEYS, default_stopwords(), 10)
 
 
 @register("M7_topics_by_sentiment")

@@ -34,8 +34,8 @@ def site_schema(site: str) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in SITE_COLUMNS[site]])
 
 
-def _csv(spark: SparkSession, schema: T.StructType | None = None):
-    r = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
+def _csv(spark: SparkSession, schema: T.StructType | None = None, multi_line: bool = True):
+    r = (spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"')
          .option("escape", '"').option("encoding", "UTF-8").option("mode", "PERMISSIVE"))
     return r.schema(schema) if schema is not None else r
 
@@ -45,14 +45,16 @@ def movie_from_folder(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]+)/[^/]+$", 1)
 
 
-def read_reviews(spark: SparkSession, paths: str | Sequence[str], site: str, batch_rank: int = 0) -> DataFrame:
+def read_reviews(spark: SparkSession, paths: str | Sequence[str], site: str, batch_rank: int = 0,
+                 multi_line: bool = True) -> DataFrame:
     """One site's review CSVs (header, BOM, quoted text over several lines, doubled
     quotes). Adds ``movie_name`` from the folder and the order key ``_order`` =
     (batch, file, row in file) that keep-first de-duplication needs (U1).
 
-    A multi-line CSV file is not split, so one file is read by one task and
-    ``monotonically_increasing_id`` right after the scan follows the file's row order."""
-    df = _csv(spark, site_schema(site)).csv(list(paths) if not isinstance(paths, str) else paths)
+    ``monotonically_increasing_id`` right after the scan follows the row order of a file. A multi-line CSV file is
+    not split, so one task reads it; files without line breaks inside texts can be read with ``multi_line=False``, which
+    splits a large file (its parts are read in file order, so the order key holds)."""
+    df = _csv(spark, site_schema(site), multi_line).csv(list(paths) if not isinstance(paths, str) else paths)
     path = F.col("_metadata.file_path")
     return df.withColumns({
         "movie_name": F.url_decode(movie_from_folder(path)),
@@ -150,6 +152,42 @@ def write_result_tables(tables: dict[str, DataFrame], folder: str, mode: str = "
             f"{folder.rstrip('/')}/{name}")
 
 
+def json_lines(df: DataFrame, out: str = "value") -> DataFrame:
+    """S7 as text: one JSON record per row (column ``out``), nested columns kept, null fields written out."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias(out))
+
+
+CORRUPT = "_corrupt_record"
+
+
+def read_json_lines(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
+    """The records of ``json_lines`` under a declared schema; text that is no such record gives nulls and stays in
+    ``_corrupt_record``."""
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return lines.select(F.from_json(F.col(value), full, options).alias("_r")).select("_r.*")
+
+
+# quotes inside a text are doubled; a null and an empty text are both read as null, as CSV does not tell them apart
+CSV_TEXT = {"escape": '"', "nullValue": "", "emptyValue": '""', "ignoreLeadingWhiteSpace": "false",
+            "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1"}
+
+
+def csv_lines(df: DataFrame, order: Sequence[str] | None = None, out: str = "value") -> DataFrame:
+    """S5, S6, S8 as text: one CSV record per row in column ``order``; arrays, maps and structs as JSON text. A record
+    with line breaks in a quoted field is still one row here."""
+    flat = _csv_ready(df.select(*order) if order else df)
+    return flat.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in flat.columns]),
+                                {**CSV_TEXT, "quoteAll": "false"}).alias(out))
+
+
+def read_csv_lines(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
+    """The records of ``csv_lines`` under a declared schema; broken records stay in ``_corrupt_record``."""
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {**CSV_TEXT, "emptyValue": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true"}
+    return lines.select(F.from_csv(F.col(value), full.toDDL(), options).alias("_r")).select("_r.*")
+
+
 def save_topic_model(model, path: str) -> None:
     """Persist a fitted Spark ML model or pipeline."""
     model.write().overwrite().save(path)
