@@ -1,8 +1,7 @@
 """Data-quality reports (A12-A17, N17 of the survey).
 
-Each report is one aggregation job over the table (the reference makes a pass per column
-and statistic); per-column results are turned into rows with ``stack`` afterwards, on the
-one-row aggregate.
+Each report is one aggregation over the table, read once (the reference makes a pass per column
+and statistic).
 """
 
 from __future__ import annotations
@@ -16,30 +15,58 @@ from reelscope.functions.dates import is_missing_token
 from reelscope.functions.text import preview
 
 
+def _cells(df: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per cell: the column's place, its value as text and the row's ``order``."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("value"))
+                      for i, c in enumerate(df.columns)])
+    at = F.col(order).alias("_at") if order else F.lit(None).cast("long").alias("_at")
+    return df.select(at, F.explode(cells).alias("_c")).select("_at", "_c.i", "_c.value")
+
+
 def column_profile(df: DataFrame, order: str, n_sample: int = 30) -> DataFrame:
     """Per column its type, nulls, null %, distinct non-null values and a sample (the
     first non-null value in ``order``, cut to 30 characters); plus a ``*`` row with the
-    total nulls and their share of all cells. Distinct counts are exact."""
-    cols = df.columns
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        col = F.col(f"`{c}`")
-        aggs += [F.count_if(col.isNull()).alias(f"_n{i}"), F.countDistinct(col).alias(f"_d{i}"),
-                 F.min_by(col.cast("string"), F.when(col.isNotNull(), F.col(order))).alias(f"_s{i}")]
-    one = df.agg(*aggs)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"), F.col(f"_n{i}").alias("null_count"),
-                 F.col(f"_d{i}").alias("distinct_count"), preview(F.col(f"_s{i}"), n_sample).alias("sample"))
-        for i, c in enumerate(cols)])
-    total = sum((F.col(f"_n{i}") for i in range(len(cols))), F.lit(0))
-    per = one.select(F.col("_rows"), F.explode(rows).alias("r")).select("_rows", "r.*")
-    per = per.withColumn("null_percentage", F.try_divide(F.col("null_count") * F.lit(100.0), F.col("_rows")))
-    tot = one.select(F.col("_rows"), F.lit("*").alias("column_name"), F.lit(None).cast("string").alias("data_type"),
-                     total.cast("long").alias("null_count"), F.lit(None).cast("long").alias("distinct_count"),
-                     F.lit(None).cast("string").alias("sample"),
-                     F.try_divide(total * F.lit(100.0), F.col("_rows") * F.lit(len(cols))).alias("null_percentage"))
-    return per.unionByName(tot).withColumnRenamed("_rows", "total_rows")
+    total nulls and their share of all cells. Distinct counts are exact, of the values as text.
+
+    The table is read once, as cells: equal values of a column meet in the tasks first, with their count and least
+    ``order``, then one row per column is left. An empty table gives no rows."""
+    values = _cells(df, order).groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("at"))
+    there = F.col("value").isNotNull()
+    per = values.groupBy("i").agg(
+        F.sum("n").alias("total_rows"), F.coalesce(F.sum(F.when(~there, F.col("n"))), F.lit(0)).alias("null_count"),
+        F.count("value").alias("distinct_count"),
+        F.min_by(F.substring("value", 1, n_sample + 1), F.when(there, F.col("at"))).alias("sample"))
+    # one row per column of the table from here on
+    whole = F.explode(F.array(F.lit(False), F.lit(True)))
+    both = per.withColumn("_all", whole).groupBy(F.when(~F.col("_all"), F.col("i")).alias("i")).agg(
+        F.max("total_rows").alias("total_rows"), F.sum("null_count").alias("null_count"),
+        F.count(F.lit(1)).alias("_cols"), F.max("distinct_count").alias("distinct_count"), F.max("sample").alias("sample"))
+    one = F.col("i").isNotNull()
+    names = F.array(*[F.lit(c) for c in df.columns])
+    types = F.array(*[F.lit(f.dataType.simpleString()) for f in df.schema.fields])
+    return both.select(
+        "total_rows", F.when(one, names[F.col("i")]).otherwise(F.lit("*")).alias("column_name"),
+        F.when(one, types[F.col("i")]).alias("data_type"), "null_count",
+        F.when(one, F.col("distinct_count")).alias("distinct_count"),
+        F.when(one, preview(F.col("sample"), n_sample)).alias("sample"),
+        F.try_divide(F.col("null_count") * F.lit(100.0), F.col("total_rows") * F.col("_cols")).alias("null_percentage"))
+
+
+def column_sketches(df: DataFrame, lg_k: int = 12) -> DataFrame:
+    """A12 for a batch: per column its rows, nulls and a distinct-count sketch of fixed size, to be stored
+    and merged with other batches (``merge_sketches``) without reading them again."""
+    names = F.array(*[F.lit(c) for c in df.columns])
+    return _cells(df).groupBy(names[F.col("i")].alias("column_name")).agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("value").isNull()).alias("null_count"),
+        F.hll_sketch_agg("value", F.lit(lg_k)).alias("distinct_sketch"))
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """The profile of all batches whose ``column_sketches`` rows are given: the distinct count is an estimate (standard
+    error about 1.04 / sqrt(2 ** lg_k), 1.6 % by default), rows and nulls are exact."""
+    return sketches.groupBy("column_name").agg(
+        F.sum("total_rows").alias("total_rows"), F.sum("null_count").alias("null_count"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct_sketch")).alias("distinct_estimate"))
 
 
 def movie_source_table(df: DataFrame, movie: str = "movie_name", source: str = "source",

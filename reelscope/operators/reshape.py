@@ -93,19 +93,26 @@ def head(df: DataFrame, n: int, order: Sequence) -> DataFrame:
 
 
 def rescore_mode(df: DataFrame, mode: int, scorer: Callable[[DataFrame], DataFrame],
-                 label: str = "sentiment") -> DataFrame:
+                 label: str = "sentiment", text: str = "text") -> DataFrame:
     """Which rows get scored. 1 = none (reuse labels), 2 = all, 3 = only rows without
-    a label; any other value means 1. ``scorer`` adds the score columns to a DataFrame."""
+    a label; any other value means 1. ``scorer`` adds the score columns to a DataFrame.
+
+    Mode 3 reads its rows once: a labelled row goes to the scorer with a null ``text``, which is not scored (F3), and
+    gets its own label, scores and text back."""
+    old = [c for c in df.columns if c in SCORE_COLUMNS]
     if mode == 2:
-        return scorer(df.drop(*[c for c in df.columns if c in SCORE_COLUMNS]))
-    if mode == 3 and label in df.columns:
-        todo = df.filter(F.col(label).isNull())
-        done = df.filter(F.col(label).isNotNull())
-        scored = scorer(todo.drop(*[c for c in df.columns if c in SCORE_COLUMNS]))
-        return done.unionByName(scored, allowMissingColumns=True)
-    if mode == 3:
+        return scorer(df.drop(*old))
+    if mode != 3:
+        return df
+    if label not in df.columns:
         return scorer(df)
-    return df
+    done = F.col("_label").isNotNull()
+    kept = df.withColumns({"_label": F.col(label), "_text": F.col(text)}).withColumnsRenamed({c: f"_was_{c}" for c in old})
+    scored = scorer(kept.withColumn(text, F.when(~done, F.col(text))))
+    new = [c for c in scored.columns if c in SCORE_COLUMNS]
+    out = scored.withColumns({c: F.when(done, F.col(f"_was_{c}") if c in old else F.lit(None)).otherwise(F.col(c)) for c in new})
+    return out.withColumns({text: F.col("_text"), label: F.coalesce(F.col("_label"), F.col(label))}) \
+              .select(*df.columns, *[c for c in new if c not in df.columns])
 
 
 SCORE_COLUMNS = ["sentiment", "confidence", "prob_negative", "prob_neutral", "prob_positive"]

@@ -91,18 +91,27 @@ def score_sentences(df: DataFrame, text: str, make_predict_fn: Callable[[], Call
     ``make_predict_fn()`` is called once per Python worker and returns
     ``predict(texts: numpy array of str) -> numpy array (n, 3) of logits``; tokenisation
     and the model (batch 32 and 256 tokens in the reference's sentence job) live inside
-    it. Empty texts are not sent to the model (F3) and get null scores.
+    it. Empty texts are not sent to the model (F3) and get null scores. The input is read once.
     """
     from pyspark.ml.functions import predict_batch_udf
 
-    predict = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()),
+    def skip_empty():
+        import numpy as np
+        model = make_predict_fn()
+
+        def run(texts):
+            out = np.zeros((len(texts), 3))
+            full = np.array([t != "" for t in texts], dtype=bool)
+            if full.any():
+                out[full] = model(texts[full])
+            return out
+        return run
+
+    predict = predict_batch_udf(skip_empty, return_type=T.ArrayType(T.DoubleType()),
                                 batch_size=batch_size, input_tensor_shapes=None)
-    empty = score_missing_texts(df, text)
-    # the UDF would see every row even inside a CASE, so empty texts take another branch
-    scored = with_scores(df.filter(~empty), predict(F.col(text)), id2label)
-    skipped = df.filter(empty).select("*", *[F.lit(None).cast("double").alias(c) for c in SCORE_FIELDS[1:]],
-                                      F.lit(None).cast("string").alias("sentiment"))
-    return scored.unionByName(skipped)
+    d = df.withColumn("_keep", ~score_missing_texts(df, text))
+    d = d.withColumn("_logits", predict(F.when(F.col("_keep"), F.col(text)).otherwise(F.lit(""))))
+    return with_scores(d, F.col("_logits"), id2label, keep=F.col("_keep")).drop("_keep", "_logits")
 
 
 def score_missing_texts(df: DataFrame, text: str) -> Column:

@@ -91,15 +91,14 @@ def master_summary(summaries: DataFrame, analysis_date: str) -> DataFrame:
                             F.coalesce(F.col("avg_confidence"), F.lit(0.0)).alias("avg_confidence"),
                             F.coalesce(F.col("avg_rating"), F.lit(0.0)).alias("avg_rating"),
                             F.lit(analysis_date).alias("analysis_date"))
-    total = rows.agg(
-        F.lit("All Movies").alias("movie"),
-        F.sum("total_rows").alias("total_rows"),
-        *[F.sum(f"{lab}_count").alias(f"{lab}_count") for lab in LABELS],
-        *[round_half_even(F.avg(f"{lab}_percentage"), 2).alias(f"{lab}_percentage") for lab in LABELS],
-        round_half_even(F.avg("avg_confidence"), 3).alias("avg_confidence"),
-        round_half_even(F.avg("avg_rating"), 2).alias("avg_rating"),
-        F.lit(analysis_date).alias("analysis_date"))
-    return rows.unionByName(total.select(*rows.columns))
+    every = F.col("_all")
+    means = {**{f"{lab}_percentage": 2 for lab in LABELS}, "avg_confidence": 3, "avg_rating": 2}
+    # a movie's row and its part of the total come from one reading; the total is summed in the tasks first
+    both = rows.withColumn("_all", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("movie", F.when(~every, F.col("movie")))
+    out = both.groupBy("_all", "movie", "analysis_date").agg(
+        *[F.sum(c).alias(c) for c in cols if c not in means],
+        *[F.when(every, round_half_even(F.avg(c), d)).otherwise(F.max(c)).alias(c) for c, d in means.items()])
+    return out.withColumn("movie", F.when(every, F.lit("All Movies")).otherwise(F.col("movie"))).select(*rows.columns)
 
 
 def sort_summary(summary: DataFrame, rank: str | None = None) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from reelscope.operators import disconnect as D
 from reelscope.operators import ordering as O
+from reelscope.operators import profile as P
 from reelscope.operators import reshape as R
+from reelscope.operators import scoring as SC
 from reelscope.operators import sentences as S
 from reelscope.operators import topics as M
 from reelscope.sources import files as SF
@@ -99,3 +101,44 @@ def test_records_as_text_come_back(spark):
     assert [(r.id, r[SF.CORRUPT]) for r in SF.read_json_lines(bad, df.schema).collect()] == [(None, "{bad"), (1, None)]
     bad = spark.createDataFrame([("x,1,2",), ("1,2,3,4",)], "value string")
     assert [r[SF.CORRUPT] for r in SF.read_csv_lines(bad, df.schema).collect()] == ["x,1,2", "1,2,3,4"]
+
+
+def test_profile_reads_cells_once_and_sketches_merge(spark):
+    df = spark.range(0, 20000).select("id", (F.col("id") % 1000).cast("string").alias("t"),
+                                      F.when(F.col("id") % 4 == 1, F.col("id") / 2).alias("x"))
+    prof = P.column_profile(df, "id")
+    assert "Expand" not in _plan(prof)
+    got = {r.column_name: (r.total_rows, r.null_count, r.distinct_count, r["sample"]) for r in prof.collect()}
+    assert got == {"id": (20000, 0, 20000, "0"), "t": (20000, 0, 1000, "0"), "x": (20000, 15000, 5000, "0.5"),
+                   "*": (20000, 15000, None, None)}
+    parts = [P.column_sketches(df.filter(F.col("id") % 3 == i)) for i in range(3)]
+    merged = {r.column_name: r for r in P.merge_sketches(R.union_all(parts)).collect()}
+    for name, (rows, nulls, distinct, _) in got.items():
+        if name != "*":
+            assert (merged[name].total_rows, merged[name].null_count) == (rows, nulls)
+            assert abs(merged[name].distinct_estimate - distinct) <= 0.05 * distinct  # three standard errors
+    assert P.column_profile(df.limit(0), "id").count() == 0
+
+
+def test_labelled_rows_are_kept_and_the_rest_scored_in_one_reading(spark):
+    df = spark.createDataFrame([(1, "good good", "negative", 0.25), (2, "good good", None, None), (3, " ", None, None), (4, None, "neutral", None)],
+                               "id long, text string, sentiment string, confidence double")
+    out = R.rescore_mode(df, 3, lambda d: SC.lexicon_scorer(d, "text"))
+    assert "Union" not in _plan(out)
+    got = {r.id: (r.text, r.sentiment, r.confidence is not None) for r in out.collect()}
+    assert got == {1: ("good good", "negative", True), 2: ("good good", "positive", True), 3: (" ", None, False), 4: (None, "neutral", False)}
+    assert [r.confidence for r in out.filter("id = 1").collect()] == [0.25]
+
+
+def test_model_sees_no_empty_text_and_the_input_is_read_once(spark):
+    def make():
+        import numpy as np
+
+        def predict(texts):
+            assert all(str(t).strip() for t in texts)
+            return np.array([[0.0, 1.0, 5.0]] * len(texts))
+        return predict
+    df = spark.createDataFrame([(1, "a"), (2, " \n"), (3, None), (4, "b")], "id long, t string")
+    out = SC.score_sentences(df, "t", make, batch_size=2)
+    assert "Union" not in _plan(out)
+    assert {r.id: r.sentiment for r in out.collect()} == {1: "positive", 2: None, 3: None, 4: "positive"}
