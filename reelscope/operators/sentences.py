@@ -87,12 +87,12 @@ def sentences_per_review(reviews: DataFrame, sentences: DataFrame, key: str = "m
     one, no = F.lit(1).cast("long"), F.lit(0).cast("long")
     both = (reviews.select(key, one.alias("_r"), no.alias("_s")).groupBy(key).agg(F.sum("_r").alias("_r"), F.sum("_s").alias("_s"))
             .unionByName(sentences.select(key, no.alias("_r"), one.alias("_s")).groupBy(key).agg(F.sum("_r").alias("_r"), F.sum("_s").alias("_s"))))
-    per = (both.groupBy(key).agg(F.sum("_r").alias("reviews"), F.sum("_s").alias("sentences"))
-               .filter(F.col("reviews") > 0))
-    total = per.agg(F.sum("reviews").alias("reviews"), F.sum("sentences").alias("sentences")) \
-               .withColumn(key, F.lit("ALL"))
-    return per.unionByName(total).withColumn(
-        "sentences_per_review", F.try_divide(F.col("sentences").cast("double"), F.col("reviews")))
+    per = both.groupBy(key).agg(F.sum("_r").alias("_r"), F.sum("_s").alias("_s")).filter(F.col("_r") > 0)
+    every = F.col("_all")
+    twice = per.withColumn("_all", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn(key, F.when(~every, F.col(key)))
+    out = twice.groupBy("_all", key).agg(F.sum("_r").alias("reviews"), F.sum("_s").alias("sentences"))
+    return out.select(F.when(every, F.lit("ALL")).otherwise(F.col(key)).alias(key), "reviews", "sentences",
+                      F.try_divide(F.col("sentences").cast("double"), F.col("reviews")).alias("sentences_per_review"))
 
 
 def global_sentence_index(df: DataFrame, keys: list[str], position: str = "sentence_index",

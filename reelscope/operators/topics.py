@@ -341,6 +341,35 @@ def movies_topic_overview(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
                         (F.col(f"{d}.NEGATIVE") + F.col(f"{d}.MOSTLY_NEGATIVE")).alias("negative_topics"))
 
 
+def topic_analysis(levels: DataFrame, keys: Sequence[str], keyword_table: DataFrame, min_reviews: int = 10,
+                   topic: str = "topic") -> DataFrame:
+    """Per group of at least ``min_reviews`` reviews (P9) its overview (A31) and, in a row each, its topics with their
+    summary and keywords (A28); a group without a topic of two or more members has one row with nulls there. Overview and
+    topics come from one reading of ``topic_levels``; the windows hold one row per topic."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys)
+    total = lambda c: F.sum(c).over(w)
+    shown = (F.col(topic) != OUTLIER) & (F.col("topic_size") >= 2)
+    rows = levels.withColumns({
+        "total_reviews": total("topic_size"), "total_sentences": total("sentences"),
+        **{f"_{lab}_{c}": total(f"{lab}_{c}") for lab in ("positive", "negative") for c in ("count", "sentences")},
+        "topics_found": F.count_if(F.col(topic) != OUTLIER).over(w), "_shown": F.count_if(shown).over(w),
+        "_place": F.row_number().over(w.orderBy(topic))})
+    rows = rows.filter((F.col("total_reviews") >= min_reviews) & (shown | ((F.col("_shown") == 0) & (F.col("_place") == 1))))
+    share = {lab: pct(f"{lab}_count", "topic_size", 2) for lab in SENTIMENTS}
+    cols = {topic: F.col(topic), "topic_size": F.col("topic_size")}
+    for lab in SENTIMENTS:
+        cols |= {f"{lab}_count": F.col(f"{lab}_count"), f"{lab}_percentage": share[lab]}
+    cols |= {"avg_sentiment_score": round_half_even(F.col("_mean"), 3),
+             "dominant_sentiment": dominant_sentiment(*[share[lab] for lab in SENTIMENTS])}
+    out = rows.select(
+        *keys, "total_reviews", "total_sentences",
+        *[pct(f"_{lab}_{c}", f"total_{p}s", 2).alias(f"{p}_{lab}_pct") for p, c in (("review", "count"), ("sentence", "sentences"))
+          for lab in ("positive", "negative")], "topics_found",
+        *[F.when(F.col("_shown") > 0, c).alias(name) for name, c in cols.items()])
+    return out.join(keyword_lists(keyword_table, keys, topic), [*keys, topic], "left")
+
+
 def sort_topics(summary: DataFrame, keys: Sequence[str], topic: str = "topic", rank: str | None = None) -> DataFrame:
     """O3: topic summary ordered by group and topic id; ``rank`` names a column for the place."""
     if rank:

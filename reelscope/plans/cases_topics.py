@@ -393,10 +393,8 @@ def w6(spark, sf):
 def z4(spark, sf):
     """Z4 (P9 -> T5/T6 -> F2 -> A2 -> N19 -> M4/M5 -> A28-A31): movies with at least 10 texts, their overview and each of
     their topics with its keywords. The gate is the review count of the overview, so it needs no pass of its own."""
-    levels = _levels(spark, sf)
-    movies = M.movie_overview(M.movie_topic_stats(levels, KEYS, RUN_STAMP), KEYS).filter(F.col("total_reviews") >= 10)
-    topics = M.topic_sentiment(levels, KEYS, M.topic_keywords(_terms(spark, sf), KEYS, 5))
-    return movies.join(topics.select(*A28_COLS), KEYS, "left")
+    out = M.topic_analysis(_levels(spark, sf), KEYS, M.topic_keywords(_terms(spark, sf), KEYS, 5), 10)
+    return out.drop("top_keywords")
 
 
 REGISTRY["Z4_topic_sentiment_analysis"].sql = _topics_sql(

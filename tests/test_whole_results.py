@@ -142,3 +142,17 @@ def test_model_sees_no_empty_text_and_the_input_is_read_once(spark):
     out = SC.score_sentences(df, "t", make, batch_size=2)
     assert "Union" not in _plan(out)
     assert {r.id: r.sentiment for r in out.collect()} == {1: "positive", 2: None, 3: None, 4: "positive"}
+
+
+def test_topic_analysis_gates_groups_and_keeps_those_without_topics(spark):
+    votes = [("a", 0, "positive")] * 3 + [("a", 1, "negative")] + [("a", -1, "neutral")] + [("b", -1, "neutral")] * 4 + [("c", 0, "positive")]
+    df = spark.createDataFrame(votes, "g string, topic long, sentiment_label string").withColumns({
+        "sentiment_score": F.lit(0.5), "sentence_count": F.lit(2).cast("long"),
+        "sentiment_distribution": F.create_map(F.col("sentiment_label"), F.lit(2).cast("long"))})
+    words = spark.createDataFrame([("a", 0, "fig", 1.0, 1)], "g string, topic long, keyword string, score double, rank long")
+    got = {r.g: r for r in M.topic_analysis(M.topic_levels(df, ["g"]), ["g"], words, 4).collect()}
+    assert got.keys() == {"a", "b"}  # c has one review
+    a, b = got["a"], got["b"]
+    assert (a.total_reviews, a.total_sentences, a.review_positive_pct, a.sentence_negative_pct, a.topics_found) == (5, 10, 60.0, 20.0, 2)
+    assert (a.topic, a.topic_size, a.positive_percentage, a.dominant_sentiment, a.keyword_string) == (0, 3, 100.0, "POSITIVE", "fig")
+    assert (b.total_reviews, b.topics_found, b.topic, b.topic_size, b.keyword_string) == (4, 0, None, None, None)
