@@ -130,3 +130,19 @@ def test_topic_model_round_trip(spark, tmp_path):
     a = [r.prediction for r in model.transform(df).collect()]
     b = [r.prediction for r in again.transform(df).collect()]
     assert a == b
+
+
+def test_split_file_keeps_its_row_order(spark, tmp_path):
+    folder = tmp_path / "Some Film"
+    folder.mkdir()
+    lines = ["Username,Date,Title,Review Text,Rating"] + [f"u{i},2024-01-01,t,text {i},5/10" for i in range(5000)]
+    (folder / "imdb.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        df = SRC.read_reviews(spark, str(folder / "imdb.csv"), "imdb", multi_line=False)
+        assert df.rdd.getNumPartitions() > 4
+        rows = df.select("Username", "_order.row").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [r.Username for r in sorted(rows, key=lambda r: r.row)] == [f"u{i}" for i in range(5000)]
