@@ -29,9 +29,19 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters of ``_WS``, for ``btrim``.
+_WS_CHARS = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+             + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_ws(c) -> Column:
-    """Trim all leading and trailing whitespace (Spark ``trim`` only strips spaces)."""
-    return F.regexp_replace(_col(c), f"^{_WS}+|{_WS}+$", "")
+    """Trim all leading and trailing whitespace (Spark ``trim`` only strips spaces); only the ends of the text are read."""
+    return F.btrim(_col(c), F.lit(_WS_CHARS))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def strip_emojis(c) -> Column:
@@ -86,12 +96,17 @@ def split_boundary(c, min_len: int = 10) -> Column:
     """T5 pieces: split at whitespace between an end mark and an ASCII capital; when that
     gives one piece, split on runs of ``.!?``; trim; keep pieces of ``min_len`` or more
     characters; add ``.`` when a piece has no end mark."""
-    text = strip_ws(_col(c))
-    first = F.split(text, f"(?<=[.!?]){_WS}+(?=[A-Z])")
-    pieces = F.when(F.size(first) <= 1, F.split(text, "[.!?]+")).otherwise(first)
-    kept = F.filter(F.transform(pieces, lambda p: strip_ws(p)), lambda p: F.length(p) >= min_len)
-    return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(
-        F.transform(kept, lambda p: F.when(p.rlike("[.!?]$"), p).otherwise(F.concat(p, F.lit(".")))))
+    def pieces(text):
+        first = F.split(text, f"(?<=[.!?]){_WS}+(?=[A-Z])")
+        return _once(first, lambda f: F.when(F.size(f) <= 1, F.split(text, "[.!?]+")).otherwise(f))
+
+    def kept(text):
+        return F.filter(F.transform(pieces(text), lambda p: strip_ws(p)), lambda p: F.length(p) >= min_len)
+
+    def sentences(text):
+        return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(
+            F.transform(kept(text), lambda p: F.when(F.substring(p, -1, 1).isin(".", "!", "?"), p).otherwise(F.concat(p, F.lit(".")))))
+    return _once(strip_ws(_col(c)), sentences)
 
 
 def word_count(c) -> Column:
@@ -107,7 +122,8 @@ TOKEN_PATTERN = "(?U)\\b\\w\\w+\\b"
 
 def tokens(c) -> Column:
     """Lower-cased word tokens of two or more word characters (``\\w\\w+``)."""
-    return F.regexp_extract_all(F.lower(_col(c)), F.lit(TOKEN_PATTERN), 0)
+    # a run of word characters, taken greedily, ends and begins at word boundaries
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(TOKEN_PATTERN.replace("\\b", "")), 0)
 
 
 def bigrams_of(toks) -> Column:

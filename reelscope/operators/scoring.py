@@ -34,8 +34,13 @@ SCORE_FIELDS = ["sentiment", "confidence", "prob_negative", "prob_neutral", "pro
 def _word_alternation(words: list[str]) -> str:
     """A pattern matching one whole token equal to one of ``words`` (tokens are maximal
     runs of word characters, as in ``tokens``)."""
-    esc = [re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", w) for w in words]
-    return "(?U)\\b(?:" + "|".join(esc) + ")\\b"
+    starts = "".join(sorted({re.sub(r"([\\\]\[^&-])", r"\\\1", w[0]) for w in words if w}))
+    ahead = f"(?=[{starts}])" if starts and all(words) else ""  # most characters begin no word of the list
+
+    def tree(some: set[str]) -> str:
+        arms = [re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", c) + tree({w[1:] for w in some if w[:1] == c}) for c in sorted({w[0] for w in some if w})]
+        return "" if not arms else f"(?:{'|'.join(arms)})" + ("?" if "" in some else "")
+    return f"(?U){ahead}\\b{tree(set(words))}\\b"
 
 
 def lexicon_logits(text, positive: list[str] = POSITIVE_WORDS, negative: list[str] = NEGATIVE_WORDS) -> Column:
