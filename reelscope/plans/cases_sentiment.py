@@ -14,6 +14,7 @@ from reelscope.plans import sqlfrag as Q
 from reelscope.plans import views as V
 from reelscope.plans.catalog import oracle, register
 from reelscope.plans.cases_functions import _sql_label
+from reelscope.session import cut_lineage
 
 RUN_STAMP = "2025-12-18 00:00:00"  # the summaries' run stamp (a parameter, never the clock)
 SCORED = [V.SQL_V_SCORED]
@@ -98,7 +99,7 @@ def a2(spark, sf):
     """A2 + T6: per document the majority sentence label (ties -> first seen), mean score,
     count, running sentence positions and label counts; documents without sentences keep
     a placeholder row."""
-    s = _scored_boundary(spark, sf)
+    s = cut_lineage(_scored_boundary(spark, sf))  # the numbering reads its rows several times, the texts only once
     real = S.global_sentence_index(s.filter(F.col("sentence_index").isNotNull()), ["doc_id"])
     empty = s.filter(F.col("sentence_index").isNull()).withColumn("global_index", F.lit(None).cast("long"))
     v = S.review_vote(real.unionByName(empty), ["doc_id"])
