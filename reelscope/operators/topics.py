@@ -11,16 +11,24 @@ third of all rows still forwards only k candidates per task).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelscope.functions.numbers import dominant_sentiment, pct, round_half_even
-from reelscope.functions.text import bigrams_of, format_pct, keyword_string, tokens, with_ngrams
+from reelscope.functions.text import format_pct, keyword_string, tokens
 from reelscope.operators.ordering import with_rank
 from reelscope.operators.reshape import explode_list
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # functions for executors need no copy of the package there
+
 OUTLIER = -1
 SALTS = 64
 DOMINANT_CLASSES = ["POSITIVE", "NEGATIVE", "NEUTRAL", "MIXED", "MOSTLY_POSITIVE", "MOSTLY_NEGATIVE"]
@@ -35,7 +43,6 @@ def embed(df: DataFrame, text: str, out: str = "embedding", make_encoder: Callab
     built-in default is HashingTF + IDF + L2 normalisation, all in Spark ML."""
     if make_encoder is not None:
         from pyspark.ml.functions import predict_batch_udf
-        from pyspark.sql import types as T
 
         enc = predict_batch_udf(make_encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
         return df.withColumn(out, enc(F.coalesce(F.col(text), F.lit(""))))
@@ -133,16 +140,89 @@ def rank_topics(df: DataFrame, keys: Sequence[str], topic: str = "topic", out: s
 
 # ------------------------------------------------------------------ M4, M5, M6: terms and keywords
 
+COUNTED_BYTES = 16 << 20  # texts that are counted at once in a task
+
+
+def _split(rows: pa.Table, words: str) -> Iterator[pa.Table]:
+    """``rows`` in parts of about ``COUNTED_BYTES`` of words, a row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(rows[words]), 0).to_numpy().astype(np.int64))
+    part = np.concatenate([[0], ends[:-1]]) // COUNTED_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), rows.num_rows]
+    for start, end in zip(cuts, cuts[1:]):
+        yield rows.slice(start, end - start)
+
+
+def _count_part(rows: pa.Table, by: list[str], stop: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Per combination of ``by`` the words and pairs of words of the rows' ``_words``: the numpy side of ``count_ngrams``."""
+    lists = pc.split_pattern(rows["_words"].combine_chunks(), " ")
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = pc.list_flatten(lists).dictionary_encode()
+    words, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    if not len(ids):
+        return
+    group, of_row = np.zeros(rows.num_rows, dtype=np.int64), np.arange(rows.num_rows)
+    for c in by:
+        one = rows[c].combine_chunks().dictionary_encode(null_encoding="encode")
+        group = np.unique(group * (len(one.dictionary) + 1) + one.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    first = np.unique(group, return_index=True)[1]
+    wide = len(words) + 1
+    if len(first) * wide * wide >= 1 << 61:  # keys would not fit into 64 bits
+        half = rows.num_rows // 2
+        yield from _count_part(rows.slice(0, half), by, stop)
+        yield from _count_part(rows.slice(half), by, stop)
+        return
+    place = np.flatnonzero(~pc.is_in(words, stop).to_numpy(zero_copy_only=False)[ids])
+    row, ids = np.repeat(of_row, lengths)[place], ids[place]
+    pair = row[1:] == row[:-1]
+    key = group[row] * wide * wide + (ids + 1) * wide
+    keys = np.concatenate([key * 2 + 1, ((key[:-1] + ids[1:] + 1) * 2 + (place[1:] == place[:-1] + 1))[pair]])
+    keys, counts = np.unique(keys, return_counts=True)
+    if not len(keys):
+        return
+    terms = keys >> 1
+    starts = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
+    n, n_raw, terms = np.add.reduceat(counts, starts), np.add.reduceat(counts * (keys & 1), starts), terms[starts]
+    second = terms % wide
+    for some in (second == 0, second > 0):
+        left = words.take(pa.array(terms[some] // wide % wide - 1))
+        term = pc.binary_join_element_wise(left, words.take(pa.array(second[some] - 1)), " ") if second[some].any() else left
+        held = rows.select(by).take(pa.array(first[terms[some] // (wide * wide)])).combine_chunks()
+        yield from held.append_column("term", term).append_column("n", pa.array(n[some])) \
+                       .append_column("n_raw", pa.array(n_raw[some])).to_batches(max_chunksize=100_000)
+
+
+def count_ngrams(df: DataFrame, text: str, by: Sequence[str], stopwords: Sequence[str]) -> DataFrame:
+    """``by, term, n, n_raw``: parts of the counts of every word and pair of words (T9: stop words removed, then pairs), to be
+    summed per (by, term). ``n_raw`` counts the occurrences that also stand so in the text with its stop words: all
+    of a word's, and of a pair's those without a stop word between.
+
+    Words are numbers within a part of a task's texts (``COUNTED_BYTES``), so a pair is one number too, and sorting
+    numbers combines its occurrences before any term becomes a text and meets the shuffle."""
+    by = list(by)
+    words = F.array_join(tokens(F.col(text)), " ")  # a token holds no space
+    src = df.select(*by, F.when(words != "", words).alias("_words"))
+    stop = sorted(set(stopwords))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unwanted = pa.array(stop, pa.string())
+        for batch in batches:
+            for part in _split(pa.Table.from_batches([batch]), "_words"):
+                yield from _count_part(part, by, unwanted)
+
+    schema = T.StructType([*[src.schema[c] for c in by], T.StructField("term", T.StringType()),
+                           T.StructField("n", T.LongType()), T.StructField("n_raw", T.LongType())])
+    return src.where("_words is not null").mapInArrow(count, schema)
+
+
 def topic_terms(df: DataFrame, text: str, keys: Sequence[str], stopwords: Sequence[str],
                 topic: str = "topic", min_df: int = 1, max_df: int | None = None) -> DataFrame:
     """M4: n-gram counts per (group, topic, term) after stop words; terms kept when the
     number of *topics* containing them (each topic is one text in class-based TF-IDF) is
     within [min_df, max_df]. The defaults keep every term at every size; the limits never
-    depend on the number of documents."""
+    depend on the number of documents. The parts are dealt by (group, term), as M5's window over a term's topics wants them."""
     keys = list(keys)
-    grams = with_ngrams(df.select(*keys, topic, text), text, list(stopwords), out="_g")
-    terms = explode_list(grams, F.col("_g"), [*keys, topic], "term")
-    counts = terms.groupBy(*keys, topic, "term").agg(F.count(F.lit(1)).alias("n"))
+    parts = count_ngrams(df, text, [*keys, topic], stopwords).drop("n_raw").repartition(*keys, "term")
+    counts = parts.groupBy(*keys, topic, "term").agg(F.sum("n").alias("n"))
     if min_df <= 1 and max_df is None:
         return counts
     per_term = Window.partitionBy(*keys, "term")  # at most one row per topic
@@ -152,18 +232,18 @@ def topic_terms(df: DataFrame, text: str, keys: Sequence[str], stopwords: Sequen
 
 
 def topic_keywords(terms: DataFrame, keys: Sequence[str], k: int = 5, topic: str = "topic",
-                   carry: Sequence[str] = ()) -> DataFrame:
+                   carry: Sequence[str] = (), sizes: DataFrame | None = None) -> DataFrame:
     """M5: class-based TF-IDF, ``n/z * ln(1 + a/f)`` with n the term count in the topic,
     z the topic's total count, f the term's count over all topics and a the mean z of the
     group; the top ``k`` terms per topic (score rounded to 6 digits, ties by term). ``f`` is a
     window sum over (group, term), which holds at most one row per topic; ``z`` and ``a`` are
     one row per topic. Both read the same exchange of term counts, so texts are tokenised once. Columns of ``terms`` named
-    in ``carry`` stay."""
+    in ``carry`` stay; ``sizes`` gives ``z`` as ``_z`` where it is known."""
     keys = list(keys)
-    z = terms.groupBy(*keys, topic).agg(F.sum("n").alias("_z"))
+    z = terms.groupBy(*keys, topic).agg(F.sum("n").alias("_z")) if sizes is None else sizes
     z = z.withColumn("_a", F.avg("_z").over(Window.partitionBy(*keys)))
     f = F.sum("n").over(Window.partitionBy(*keys, "term"))
-    s = (terms.withColumn("_f", f).join(z, [*keys, topic])
+    s = (terms.withColumn("_f", f).join(F.broadcast(z), [*keys, topic])  # a row per topic
               .withColumn("score", F.round(F.col("n") / F.col("_z") * F.log(1 + F.col("_a") / F.col("_f"))
                                            * F.lit(1e6)) / F.lit(1e6)))
     w = Window.partitionBy(*keys, topic).orderBy(F.col("score").desc(), F.col("term"))
@@ -185,16 +265,14 @@ def keyword_frequencies(df: DataFrame, text: str, keys: Sequence[str], stopwords
     raw texts (words and adjacent-word pairs, stop words *not* removed); 0 when it never
     does (a bigram of the stop-word-free text can be absent from the raw text).
 
-    A text is read once. Its terms with and without stop words are counted side by side, per task before the only
-    exchange of terms, so the raw count already stands in a keyword's row and nothing is joined back."""
+    A keyword holds no stop word, so its places in the raw text are among those where it was counted (``n_raw`` of
+    ``count_ngrams``): texts are read once and nothing is joined back."""
     keys = list(keys)
-    grams = with_ngrams(df.select(*keys, topic, text), text, list(stopwords), out="_g", toks="_t")
-    tagged = lambda c, kept: F.transform(c, lambda g: F.struct(g.alias("term"), F.lit(kept).alias("kept")))
-    both = F.concat(tagged(F.col("_g"), 1), tagged(F.concat("_t", bigrams_of("_t")), 0))
-    rows = explode_list(grams, both, [*keys, topic], "_e")
-    terms = rows.groupBy(*keys, topic, F.col("_e.term").alias("term")).agg(
-        F.count_if(F.col("_e.kept") == 1).alias("n"), F.count_if(F.col("_e.kept") == 0).alias("keyword_frequency"))
-    return topic_keywords(terms.filter("n > 0"), keys, k, topic, carry=["keyword_frequency"])
+    parts = count_ngrams(df, text, [*keys, topic], stopwords).repartition(*keys, "term")
+    terms = parts.groupBy(*keys, topic, "term").agg(F.sum("n").alias("n"), F.sum("n_raw").alias("keyword_frequency"))
+    # n_raw <= n always: with the same columns both readings share one exchange
+    sizes = parts.groupBy(*keys, topic).agg(F.sum(F.when(F.col("n_raw") <= F.col("n"), F.col("n"))).alias("_z"))
+    return topic_keywords(terms, keys, k, topic, carry=["keyword_frequency"], sizes=sizes)
 
 
 def time_bins(df: DataFrame, keys: Sequence[str], stamp: str, bins: int = 20) -> DataFrame:
@@ -224,16 +302,18 @@ def topic_words_over_time(df: DataFrame, text: str, keys: Sequence[str], stamp:
     as long as the topic occurs in successive bins (a gap starts afresh), and the score is the mean of ``s`` and the
     term's weight in the whole topic, to 6 digits, ties by term. A term keeps one row per topic with a cell for each
     bin that holds it (at most ``bins``), and the recurrence runs inside that row; a word may be carried into a bin
-    without it."""
+    without it. A term is carried on only where its weights could reach the ``k`` best: the scores that the whole topic's best
+    words have in a bin are a floor there, and rows below it are never written."""
     keys = list(keys)
-    counts = topic_terms(time_bins(df, keys, stamp, bins), text, [*keys, "time_bin"], stopwords, topic)
+    parts = count_ngrams(time_bins(df, keys, stamp, bins), text, [*keys, topic, "time_bin"], stopwords).drop("n_raw").repartition(*keys, "term")
+    counts = parts.groupBy(*keys, topic, "term", "time_bin").agg(F.sum("n").alias("n"))
     terms = counts.groupBy(*keys, topic, "term").agg(
         F.map_from_entries(F.collect_list(F.struct("time_bin", "n"))).alias("_cells"), F.sum("n").alias("_n"))  # at most ``bins``
     terms = terms.withColumn("_f", F.sum("_n").over(Window.partitionBy(*keys, "term")))  # one row per topic
-    sizes = counts.groupBy(*keys, topic, "time_bin").agg(F.sum("n").alias("z"))
+    sizes = parts.groupBy(*keys, topic, "time_bin").agg(F.sum("n").alias("z"))
     sizes = sizes.groupBy(*keys, topic).agg(F.sort_array(F.collect_list(F.struct("time_bin", "z"))).alias("_bins"),
                                             F.sum("z").alias("_z"))
-    sizes = sizes.withColumn("_a", F.avg("_z").over(Window.partitionBy(*keys)))
+    sizes = sizes.withColumn("_sizes", F.map_from_entries("_bins")).withColumn("_a", F.avg("_z").over(Window.partitionBy(*keys)))
     idf = F.log(1 + F.col("_a") / F.col("_f"))
     empty = F.struct(F.lit(None).cast("long").alias("bin"), F.lit(0.0).alias("s"),
                      F.array().cast("array<struct<time_bin:bigint,s:double>>").alias("done"))
@@ -244,9 +324,28 @@ def topic_words_over_time(df: DataFrame, text: str, keys: Sequence[str], stamp:
         return F.struct(b["time_bin"].alias("bin"), s.alias("s"),
                         F.concat(acc["done"], F.array(F.struct(b["time_bin"].alias("time_bin"), s.alias("s")))).alias("done"))
     walked = F.filter(F.aggregate("_bins", empty, step)["done"], lambda c: c["s"] > 0)
-    rows = explode_list(terms.join(sizes, [*keys, topic]).withColumns({"_idf": idf, "_all": F.col("_n") / F.col("_z")}),
-                        walked, [*keys, topic, "term", "_idf", "_all"], "_c")
     score = F.round((F.col("_c.s") + F.col("_all")) / 2 * F.col("_idf") * F.lit(1e6)) / F.lit(1e6)
+
+    def scored(some):
+        rows = explode_list(some, walked, [*keys, topic, "term", "_idf", "_all"], "_c")
+        return rows.select(*keys, topic, F.col("_c.time_bin").alias("time_bin"), "term", score.alias("score"))
+    terms = terms.join(F.broadcast(sizes), [*keys, topic])  # a row per topic
+    terms = terms.withColumns({"_idf": idf, "_all": F.col("_n") / F.col("_z")})
+    # what the best words of the whole topic reach in a bin, the k-th best word there reaches at least
+    seeds = top_k(terms, [*keys, topic], 4 * k, [(F.col("_all") * F.col("_idf")).desc(), F.col("term")])
+    floors = scored(seeds).groupBy(*keys, topic, "time_bin").agg(F.sort_array(F.collect_list("score"), False).alias("_best"))  # 4 k
+    floors = floors.groupBy(*keys, topic).agg(
+        F.map_from_entries(F.collect_list(F.struct("time_bin", F.coalesce(F.get("_best", F.lit(k - 1)), F.lit(0.0))))).alias("_floors"))
+    # a bin without any of them has no floor
+    floors = floors.join(sizes.select(*keys, topic, F.size("_bins").alias("_held")), [*keys, topic], "right").withColumn(
+        "_lowest", F.when(F.size("_floors") == F.col("_held"), F.array_min(F.map_values("_floors"))).otherwise(0.0)).drop("_held")
+    bounded = terms.join(F.broadcast(floors), [*keys, topic])  # a row per topic
+    floor = lambda b: F.coalesce(F.try_element_at("_floors", b), F.lit(0.0))
+    # ``s`` is at most the largest weight of the term in a bin; a millionth covers the rounding
+    most = F.array_max(F.transform(F.map_entries("_cells"), lambda c: c["value"] / F.try_element_at(F.col("_sizes"), c["key"])))
+    bounded = bounded.filter((most + F.col("_all")) / 2 * F.col("_idf") + F.lit(1e-6) >= F.col("_lowest"))
+    rows = explode_list(bounded, walked, [*keys, topic, "term", "_idf", "_all", "_floors"], "_c")
+    rows = rows.filter(score >= floor(F.col("_c.time_bin")))
     rows = rows.select(*keys, topic, F.col("_c.time_bin").alias("time_bin"), "term", score.alias("score"))
     return top_k(rows, [*keys, topic, "time_bin"], k, [F.col("score").desc(), F.col("term")], "rank")
 
