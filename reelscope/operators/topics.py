@@ -26,6 +26,7 @@ from reelscope.functions.numbers import dominant_sentiment, pct, round_half_even
 from reelscope.functions.text import format_pct, keyword_string, tokens
 from reelscope.operators.ordering import with_rank
 from reelscope.operators.reshape import explode_list
+from reelscope.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # functions for executors need no copy of the package there
 
@@ -471,8 +472,8 @@ def topic_analysis(levels: DataFrame, keys: Sequence[str], keyword_table: DataFr
 
 def sort_topics(summary: DataFrame, keys: Sequence[str], topic: str = "topic", rank: str | None = None) -> DataFrame:
     """O3: topic summary ordered by group and topic id; ``rank`` names a column for the place."""
-    if rank:
-        summary = with_rank(summary, [F.col(c) for c in (*keys, topic)], rank)
+    if rank:  # the numbering reads its rows several times
+        summary = with_rank(cut_lineage(summary), [F.col(c) for c in (*keys, topic)], rank)
     return summary.orderBy(*keys, topic)
 
 
