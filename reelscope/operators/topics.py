@@ -472,7 +472,7 @@ def topic_analysis(levels: DataFrame, keys: Sequence[str], keyword_table: DataFr
 
 def sort_topics(summary: DataFrame, keys: Sequence[str], topic: str = "topic", rank: str | None = None) -> DataFrame:
     """O3: topic summary ordered by group and topic id; ``rank`` names a column for the place."""
-    if rank:  # the numbering reads its rows several times
+    if rank:  # the numbering names its rows several times
         summary = with_rank(cut_lineage(summary), [F.col(c) for c in (*keys, topic)], rank)
     return summary.orderBy(*keys, topic)
 
