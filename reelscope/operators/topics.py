@@ -32,6 +32,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # functions for exe
 
 OUTLIER = -1
 SALTS = 64
+PACKED_ROWS = 2000
 DOMINANT_CLASSES = ["POSITIVE", "NEGATIVE", "NEUTRAL", "MIXED", "MOSTLY_POSITIVE", "MOSTLY_NEGATIVE"]
 
 
@@ -58,22 +59,127 @@ def embed(df: DataFrame, text: str, out: str = "embedding", make_encoder: Callab
     return model.transform(toks).withColumn(out, vector_to_array("_vec", "float32")).drop("_toks", "_tf", "_idf", "_vec")
 
 
+def _bags(group: np.ndarray, words: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(group, place of its word, count) of every distinct word of every group, in their order, and the words' texts."""
+    coded = words.dictionary_encode()
+    wide = max(len(coded.dictionary), 1)
+    pairs, where = np.unique(group * wide + coded.indices.to_numpy().astype(np.int64), return_inverse=True)
+    return pairs // wide, pairs % wide, np.bincount(where, n, len(pairs)).astype(np.int64), coded.dictionary
+
+
+def _packed(rows: pa.Array, group: np.ndarray, words: pa.Array, n: np.ndarray) -> pa.Table:
+    """Rows of ``_bags`` as one row a group: the ``rows`` (a key a group), the words' bytes, their lengths and their counts."""
+    at = np.searchsorted(group, np.arange(len(rows) + 1))
+    words = pa.concat_arrays([words])
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1) if len(words) else np.zeros(1, np.int32)
+    binary = lambda offsets, data: pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.astype(np.int32)), data])
+    return pa.table([rows, binary(ends[at], words.buffers()[2] if len(words) else pa.py_buffer(b"")),
+                     binary(at * 4, pa.py_buffer(np.diff(ends).astype(np.int32))), binary(at * 8, pa.py_buffer(n.astype(np.int64)))],
+                    ["_key", "_words", "_sizes", "_ns"])
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row, word, count) of every word of packed ``rows``."""
+    sizes = np.frombuffer(b"".join(rows["_sizes"].to_pylist()), np.int32)
+    n = np.frombuffer(b"".join(rows["_ns"].to_pylist()), np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    words = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(rows["_words"].to_pylist()))])
+    return np.repeat(np.arange(rows.num_rows), pc.binary_length(rows["_sizes"]).to_numpy() // 4), words.cast(pa.string()), n
+
+
+def _bags_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Packed rows, sorted by key, in parts of whole keys: the keys and their ``_bags``. The bag of a key that goes on is
+    put together part by part, so it holds each of its words once."""
+    def merged(rows: pa.Table) -> tuple:
+        key = rows["_key"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        row, words, n = _unpacked(rows)
+        return rows["_key"].combine_chunks().take(pa.array(np.flatnonzero(new))), *_bags((np.cumsum(new) - 1)[row], words, n)
+
+    kept = None
+    for batch in batches:
+        for part in _split(pa.Table.from_batches([batch]), "_words"):
+            keys, group, word, n, words = merged(part if kept is None else pa.concat_tables([kept, part]))
+            last = int(np.searchsorted(group, len(keys) - 1))
+            kept = _packed(keys[len(keys) - 1:], group[last:] - (len(keys) - 1), words.take(pa.array(word[last:])), n[last:])
+            if len(keys) > 1:
+                yield keys[:len(keys) - 1], group[:last], word[:last], n[:last], words
+    if kept is not None:
+        yield merged(kept)
+
+
 def tfidf_weights(df: DataFrame, key: str, text: str, toks: Column | None = None) -> DataFrame:
     """M1, sparse: ``key, term, weight`` for every term of every text, over the true vocabulary.
 
     The weight is the term's count in the text times ln((1 + N) / (1 + d)), with N the number of rows and d the
     number of rows that hold the term; each row's weights are then scaled to length 1. Terms that every row holds
-    weigh 0 and are left out, as are rows without terms (the zero vector). Counts per (row, term) are complete in
-    their scan task, so the first shuffle holds one row per distinct term of a text; the list of a frequent term is never
-    collected, it is joined with its count (AQE splits it where it is skewed). ``key`` identifies a row; null is one key."""
-    terms = explode_list(df, tokens(F.col(text)) if toks is None else toks, [key], "term")
-    counts = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("_n"))
-    held = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_d"))
+    weigh 0 and are left out, as are rows without terms (the zero vector). ``key`` identifies a row; null is one key.
+
+    A text is packed into one row of its distinct terms and their counts before any shuffle, and only such rows travel: once
+    to count the terms of a bucket of keys, once to meet that bucket's terms with their weights. There are as many buckets
+    as shuffle partitions; a bucket asks once for each of its terms, so neither (text, term) rows nor the
+    whole vocabulary are ever shuffled to a task. A task holds the distinct terms of its bucket and a part of its texts."""
+    spark, kind = df.sparkSession, df.schema[key].dataType
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = df.select(F.col(key).alias("_key"), (tokens(F.col(text)) if toks is None else toks).alias("_toks"))
+    binary = [T.StructField(c, T.BinaryType()) for c in ("_words", "_sizes", "_ns")]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACKED_ROWS):
+                some = batch.slice(at, PACKED_ROWS)
+                lists = some.column("_toks")
+                row, words = np.repeat(np.arange(some.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()), pc.list_flatten(lists)
+                given = words.is_valid().to_numpy(zero_copy_only=False)
+                row, words = row[given], words.drop_null()
+                group, word, n, names = _bags(row, words, np.ones(len(words)))
+                rows = _packed(some.column("_key"), group, names.take(pa.array(word)), n)
+                yield from rows.filter(pc.greater(pc.binary_length(rows["_words"]), 0)).to_batches()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, word, _, words in _bags_of_keys(batches):
+            held = np.bincount(word, minlength=len(words))
+            one = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(one)), pa.array(held[one])], ["term", "_d"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = [], []
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            for batch in batches:  # the terms come first
+                asked = batch.column("_idf").is_valid()
+                terms.append(batch.filter(asked).column("_term"))
+                idf.append(batch.filter(asked).column("_idf").to_numpy())
+                rest = batch.filter(pc.invert(asked))
+                if rest.num_rows:
+                    yield rest.select(["_key", "_words", "_sizes", "_ns"])
+
+        known = None
+        for keys, group, word, n, words in _bags_of_keys(texts()):
+            if known is None:
+                known, weight = pa.concat_arrays(terms), np.concatenate([*idf, [0.0]])
+            at = pc.fill_null(pc.index_in(words, known), len(known)).to_numpy()  # unknown terms are held by every row
+            w = n * weight[at][word]
+            group, word, w = (x[w > 0] for x in (group, word, w))
+            w = w / np.sqrt(np.bincount(group, w * w, len(keys)))[group]
+            for a in range(0, len(w), 100_000):
+                some = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(group[some])), words.take(pa.array(word[some])), pa.array(w[some])],
+                                                 [key, "term", "weight"])
+
+    bags = listed.where("_toks is not null").mapInArrow(pack, T.StructType([T.StructField("_key", kind), *binary]))
+    bags = bags.withColumn("_bucket", F.pmod(F.hash("_key"), F.lit(buckets))).repartitionById(buckets, "_bucket")
+    held = bags.drop("_bucket").sortWithinPartitions("_key").mapInArrow(count, "term string, _d long")
+    held = held.withColumn("_bucket", F.spark_partition_id()).groupBy("term").agg(
+        F.sum("_d").alias("_d"), F.collect_set("_bucket").alias("_buckets"))
     total = df.agg(F.count(F.lit(1)).alias("_rows"))
-    idf = held.crossJoin(F.broadcast(total)).select("term", F.log((1 + F.col("_rows")) / (1 + F.col("_d"))).alias("_idf"))  # one row
-    raw = counts.join(idf.where("_idf > 0"), "term").select(key, "term", (F.col("_n") * F.col("_idf")).alias("_w"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))  # a text's distinct terms
-    return raw.select(key, "term", (F.col("_w") / norm).alias("weight"))
+    idf = held.crossJoin(F.broadcast(total)).select(  # one row
+        F.col("term").alias("_term"), F.log((1 + F.col("_rows")) / (1 + F.col("_d"))).alias("_idf"), "_buckets")
+    asked = idf.where("_idf > 0").select("_term", "_idf", F.explode("_buckets").alias("_bucket"))
+    met = bags.unionByName(asked, allowMissingColumns=True).repartitionById(buckets, "_bucket")
+    met = met.drop("_bucket").sortWithinPartitions(F.col("_idf").isNull(), "_key")
+    return met.mapInArrow(weigh, T.StructType([T.StructField(key, kind), T.StructField("term", T.StringType()),
+                                               T.StructField("weight", T.DoubleType())]))
 
 
 def assign_topics(df: DataFrame, vec: str = "embedding", k: int = 10, seed: int = 7, min_size: int = 3,

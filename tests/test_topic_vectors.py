@@ -87,6 +87,33 @@ def test_tfidf_weights(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_tfidf_weights_of_repeated_and_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(M, "PACKED_ROWS", 3)
+    monkeypatch.setattr(M, "COUNTED_BYTES", 40)  # a key goes on over many parts
+    rnd = random.Random(6)
+    rows = [(rnd.choice([None, 1, 2, 3, 4]), " ".join(rnd.choices(["aa", "bb", "cc", "été", "dd", "ee", "zz"], k=rnd.randrange(9)))) for _ in range(60)]
+    rows += [(7, None), (8, ""), (9, "aa rare")]
+    bags = {}
+    for k, t in rows:
+        bags.setdefault(k, Counter()).update(t.split() if t else [])
+    held = Counter(w for b in bags.values() for w in b)
+    want = {}
+    for k, b in bags.items():
+        w = {t: n * math.log((1 + len(rows)) / (1 + held[t])) for t, n in b.items()}
+        want |= {(k, t): x / math.sqrt(sum(y * y for y in w.values())) for t, x in w.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.term, r.weight) for r in M.tfidf_weights(df, "doc_id", "text").collect()]
+    assert len(got) == len(want) and all(abs(w - want[k, t]) < 1e-12 for k, t, w in got)
+
+
+def test_tfidf_shuffles_texts_not_their_terms(spark):
+    texts = [" ".join(f"w{(i * 7 + j * j) % 900}" for j in range(300)) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plan = M.tfidf_weights(df, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan
+    assert M.tfidf_weights(df.where("doc_id < 0"), "doc_id", "text").count() == 0
+
+
 def test_nearest_centre_ties_and_lengths(spark):
     e = spark.createDataFrame([(1, [1.0, 0.0], 4), (2, [0.0, 2.0], 7), (3, [1.0, 1.0], -1), (4, [1.0], -1), (5, None, -1), (6, [0.0, 0.0], -1)],
                               "vec_id long, embedding array<double>, topic long")
