@@ -121,6 +121,14 @@ def symbols_of(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
     return symbol, np.concatenate([[0], np.cumsum(size)[:-1]]), len(names)
 
 
+def stable_order(x: np.ndarray, many: int) -> np.ndarray:
+    """The stable order of whole numbers below ``many``, by 16 bits at a time: numpy sorts those by radix."""
+    order = np.argsort(x.astype(np.uint16), kind="stable").astype(np.int32 if len(x) < 1 << 31 else np.int64)
+    for bits in range(16, max(many - 1, 1).bit_length(), 16):
+        order = order[np.argsort((x >> bits).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 class Shard:
     """The transform of some contexts: sequences of four-byte symbols from each of four places."""
 
@@ -134,66 +142,81 @@ class Shard:
         byte = phase[seq] + STEP * place
         symbol = symbols[np.minimum(np.repeat(start, STEP)[seq] + byte, len(symbols) - 1)]
         rank = np.where(left > 0, symbol + 1, 0)
-        order = self._suffixes(rank, left, int(symbols.max()) + 2)
+        many = int(symbols.max()) + 1
+        order = self._suffixes(rank, left, many + 1)
         self.ends = len(m)
         self.starts = place[order] == 0  # no symbol before: the end mark
         before = np.where(self.starts, 0, order - 1)
         self.bwt = symbol[before].astype(kind)
-        self.context = np.asarray(number)[seq[order] // STEP]
-        self.byte = byte[order]
+        inner = np.flatnonzero(~self.starts)
+        self.back = np.full(total, -1, np.int32)  # where the suffix one symbol longer stands, by the transform
+        self.back[inner[stable_order(self.bwt[inner], many)]] = np.arange(self.ends, total)
+        self.context = np.asarray(number, np.int32)[seq[order] // STEP]
+        self.byte = byte[order].astype(np.int32)
 
     @staticmethod
     def _suffixes(rank: np.ndarray, left: np.ndarray, many: int) -> np.ndarray:
-        def ahead(x: np.ndarray, w: int) -> np.ndarray:
-            out = np.zeros(len(x), np.int64)
-            out[:-w or None] = x[w:]
-            out[left < w] = 0
-            return out
-
-        if not len(rank):
+        """The order of all suffixes, equal ones by place. Only suffixes that still have equals are sorted on."""
+        total = len(rank)
+        if not total:
             return np.empty(0, np.int64)
-        key, width = rank * many + ahead(rank, 1), 2
-        if many < 1 << 21:
-            key, width = key * many + ahead(rank, 2), 3
-        while True:
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            fresh = np.concatenate([[0], (sorted_key[1:] != sorted_key[:-1])]).astype(np.int64)
-            dense = np.empty(len(key), np.int64)
-            dense[order] = np.cumsum(fresh)
-            if width > left.max():
-                return order
-            # beyond the end is 0, less than any rank
-            key = dense * (len(key) + 2) + np.where(left >= width, ahead(dense + 1, width) if width < len(key) else 0, 0)
+
+        def heads(fresh: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(place of the first of each one's equals, whether it has equals)"""
+            alone = fresh & np.concatenate([fresh[1:], [True]])
+            return np.maximum.accumulate(np.where(fresh, at, 0)), ~alone
+
+        order = stable_order(rank, many)
+        head, shared = heads(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]), np.arange(total))
+        name = np.empty(total, np.int32)
+        name[order] = head
+        at, width, longest = np.flatnonzero(shared), 1, int(left.max())
+        while width <= longest and len(at):
+            some = order[at]
+            # beyond the end is 0, less than any name
+            then = np.where(left[some] >= width, name[np.minimum(some + width, total - 1)] + 1, 0)
+            by = stable_order(then, total + 1)
+            by = by[stable_order(name[some[by]], total)]
+            some, then = some[by], then[by]
+            first = name[some]
+            head, shared = heads(np.concatenate([[True], (first[1:] != first[:-1]) | (then[1:] != then[:-1])]), at)
+            order[at], name[some] = some, head
+            at = at[shared]
             width *= 2
+        return order
 
 
 def merged_intervals(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(interval, context, byte place) of every suffix; suffixes of one interval have equal first
-    ``rounds`` symbols."""
-    kind = np.uint8 if len(shards) < 256 else np.uint16 if len(shards) < 65536 else np.int64
-    z = np.concatenate([np.full(len(s.bwt), i, kind) for i, s in enumerate(shards)])
-    ends = np.concatenate([np.full(s.ends, i, kind) for i, s in enumerate(shards)])
-    bwt, starts = np.concatenate([s.bwt for s in shards]), np.concatenate([s.starts for s in shards])
-    block, k = np.zeros(len(z), np.int32), len(ends)
-    symbol, inner = np.empty(len(z), bwt.dtype), np.empty(len(z), bool)
-    blocks = 1
+    """(interval, context, byte place) of every suffix whose first ``rounds`` symbols some other one has too; suffixes of
+    one interval have them equal.
+
+    The interleave is held as the suffixes' numbers. A suffix alone in its interval stays so, and so does, a round later,
+    the one that is a symbol longer: both leave the interleave, and a round passes over what is left."""
+    base = np.concatenate([[0], np.cumsum([len(s.bwt) for s in shards])])
+    back = np.concatenate([np.where(s.back < 0, -1, s.back + at).astype(np.int32) for s, at in zip(shards, base.tolist(), strict=False)])
+    bwt = np.concatenate([s.bwt for s in shards])
+    many = int(bwt.max(initial=0)) + 1
+    here, block = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
+    open_ = np.ones(len(bwt), bool)
+    size, blocks = len(bwt), 1
     for _ in range(rounds):
-        where = np.argsort(z, kind="stable")
-        symbol[where], inner[where] = bwt, ~starts
-        has = np.flatnonzero(inner)
-        order = has[np.argsort(symbol[has], kind="stable")]
-        z = np.concatenate([ends, z[order]])
-        fresh = np.ones(len(z), bool)  # each end mark is an interval of its own
-        if len(order) > 1:
-            s, b = symbol[order], block[order]
-            fresh[k + 1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-        block = np.cumsum(fresh, dtype=np.int32)
-        if blocks == block[-1]:
+        longer = back[here]
+        kept = np.flatnonzero((longer >= 0) & open_[longer]).astype(np.int32)
+        symbol = bwt[here[kept]]
+        order = stable_order(symbol, many)
+        kept, s = kept[order], symbol[order]
+        now, b = longer[kept], block[kept]
+        fresh = np.ones(len(now) + 1, bool)
+        fresh[1:-1] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
+        shared = ~(fresh[:-1] & fresh[1:])
+        open_[here] = False
+        here, block = now[shared], np.cumsum(fresh[:-1], dtype=np.int32)[shared]
+        open_[here] = True
+        found = int((fresh[:-1] & shared).sum())
+        if not found or (size, blocks) == (len(here), found):
             break  # nothing was told apart: no later round will
-        blocks = block[-1]
-    where = np.argsort(z, kind="stable")
-    return block[where], np.concatenate([s.context for s in shards]), np.concatenate([s.byte for s in shards])
+        size, blocks = len(here), found
+    return block, np.concatenate([s.context for s in shards])[here], np.concatenate([s.byte for s in shards])[here]
 
 
 def repeated_strings(contexts: list[bytes], doc: np.ndarray, first: np.ndarray, n: np.ndarray, length: int,
@@ -205,9 +228,8 @@ def repeated_strings(contexts: list[bytes], doc: np.ndarray, first: np.ndarray,
     kind = np.uint16 if many < 65536 else np.uint32
     shards = [Shard(symbols, start[p:q], size[p:q], np.arange(p, q), kind) for p, q in zip(cut, cut[1:], strict=False) if q > p]
     block, context, byte = merged_intervals(shards, length // STEP)
-    many = np.bincount(block)[block] > 1
-    many &= byte < n[context]
-    block, context, byte = block[many], context[many], byte[many]
+    whole = byte < n[context]
+    block, context, byte = block[whole], context[whole].astype(np.int64), byte[whole].astype(np.int64)
     order = np.lexsort((first[context] + byte, doc[context], block))
     later = np.zeros(len(order), bool)
     later[1:] = block[order][1:] == block[order][:-1]
