@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from reelscope.llm.common import no_null, null_again, text_batches
 
 WORD_CACHE = 100_000
-PART_CACHE = 250_000
+PART_CACHE = 100_000
 LONG = 1_000_000
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 2_000_000
+TEXT_ROWS = 1_000
 BETWEEN = (1 << 32) - 1
 WORD_END = "</w>"
 SPECIAL = "<|"
@@ -151,7 +152,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int
     """``doc_id, piece, start, length, ids_crc32``. ``vocabulary`` is a tokenizer file every worker can
     read; None takes the installed public one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = vocabulary
         if path is None:
             import public_tokenizers
@@ -161,19 +162,22 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids = WordIds(Tokenizer.from_file(path))
+        kinds = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         tail, step = int(end_id).to_bytes(4, "little"), 4 * capacity
         for batch in batches:
-            out = []
-            for first, raws in text_batches(batch["text"], TEXT_BYTES):
-                for doc_id, raw in zip(batch["doc_id"].iloc[first:first + len(raws)], ids.texts(raws), strict=True):
-                    raw += tail
-                    for k, at in enumerate(range(0, len(raw), step)):
-                        cut = raw[at:at + step]
-                        out.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for at in range(0, batch.num_rows, TEXT_ROWS):  # only these rows' texts are Python's at once
+                some = batch.slice(at, TEXT_ROWS)
+                doc_ids, out = some.column("doc_id").to_pylist(), []
+                for first, raws in text_batches(some.column("text").to_pylist(), TEXT_BYTES):
+                    for doc_id, raw in zip(doc_ids[first:first + len(raws)], ids.texts(raws), strict=True):
+                        raw += tail
+                        for k, start in enumerate(range(0, len(raw), step)):
+                            cut = raw[start:start + step]
+                            out.append((doc_id, k, start // 4, len(cut) // 4, zlib.crc32(cut)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], kinds.names)
             pa.default_memory_pool().release_unused()
 
-    out = docs.select(no_null("doc_id"), "text").mapInPandas(run, PIECES)
+    out = docs.select(no_null("doc_id"), "text").mapInArrow(run, PIECES)
     return out.withColumn("doc_id", null_again("doc_id"))
 
 

@@ -22,3 +22,23 @@ def test_long_parts_are_linked(spark):
     for i, w in enumerate(want):
         assert {s["kind"] for s in got[i]} == w, (i, texts[i][:40], len(texts[i]))
         assert len(got[i]) == len({(s["start"], s["kind"]) for s in got[i]})
+
+
+def test_tokenising_holds_little_at_once():
+    import tracemalloc
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from reelscope.llm import packing
+    from reelscope.llm.common import text_batches
+
+    ids = packing.WordIds(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    texts = ["the cat sat on it " * 1_000] * 500  # 9 MB
+    tracemalloc.start()
+    try:
+        n = sum(len(x) for _, raws in text_batches(texts, packing.TEXT_BYTES) for x in ids.texts(raws))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 500 * 5_000 * 4 and peak < 60e6
