@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 1_000_000
+ARROW_BYTES = 2_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,20 @@ def discard(df: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = ARROW_BYTES) -> Iterator[None]:
+    """Steps that run inside hand their Python workers rows of about ``most`` bytes at once, one row at least, instead of
+    10,000 rows or 64 MB: both the worker's and the JVM's share stay small whatever the texts' length. Results are to be
+    ``stored`` inside; the session's own limit comes back at the end."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_batches(texts: Iterable[str | None], limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, the texts as UTF-8; null is empty) in pieces of about ``limit`` bytes."""
     first, size, out = 0, 0, []

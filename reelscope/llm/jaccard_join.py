@@ -43,7 +43,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import components, discard, no_null, null_again, scramble, shingle_batch, signed, stored, text_batches
+from reelscope.llm.common import (components, discard, no_null, null_again, scramble, shingle_batch, signed, small_batches,
+                                  stored, text_batches)
 
 QUARTER = np.uint64(1 << 62)
 MINHASH = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)]
@@ -86,15 +87,20 @@ def set_name(tokens: np.ndarray) -> int:
 
 def _sets_and_counts(docs: DataFrame, like: Likeness) -> DataFrame:
     """Two kinds of rows from one pass: ``doc_id, size, node, bits`` of every document (token null), and counts
-    ``n`` of the ``token``s of the first quarter of the hash space, summed per batch."""
+    ``n`` of the ``token``s of the first quarter of the hash space, summed over some hundred thousand at a time."""
     names = ["doc_id", "size", "node", "token", "n", "bits"]
 
+    def counted(parts: list[np.ndarray]) -> pd.DataFrame:
+        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        frame = pd.DataFrame({"token": signed(values), "n": counts}).reindex(columns=names[:-1]).astype("Int64")
+        return frame.assign(bits=None)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         meta, parts, size = [], [], 0
         for batch, i, tokens in document_sets(batches, like):
             if i >= 0:
                 meta.append((len(tokens), set_name(tokens), parity_bits(tokens)) if len(tokens) else (0, None, None))
-                parts.append(tokens[:np.searchsorted(tokens, QUARTER)])
+                parts.append(tokens[:np.searchsorted(tokens, QUARTER)].copy())
                 size += len(parts[-1])
             elif len(batch):
                 frame = pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "size": [m[0] for m in meta],
@@ -102,11 +108,11 @@ def _sets_and_counts(docs: DataFrame, like: Likeness) -> DataFrame:
                 frame = frame.astype("Int64").reindex(columns=names[:-1]).astype("Int64")
                 yield frame.assign(bits=pd.Series([m[2] for m in meta], dtype=object))
                 meta = []
-            if size > 250_000 or i < 0 and size:
-                values, counts = np.unique(np.concatenate(parts), return_counts=True)
-                frame = pd.DataFrame({"token": signed(values), "n": counts}).reindex(columns=names[:-1]).astype("Int64")
-                yield frame.assign(bits=None)
+            if size > 250_000:
+                yield counted(parts)
                 parts, size = [], 0
+        if size:
+            yield counted(parts)
 
     out = docs.select(no_null("doc_id"), "text").mapInPandas(
         run, "doc_id long, size long, node long, token long, n long, bits array<long>")
@@ -128,6 +134,13 @@ def _keys(docs: DataFrame, like: Likeness, frequent: np.ndarray, small: int) ->
     lowest = next(s for s in range(1, 10_000) if like.own_overlap(s) >= 2)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def told(keys: list[np.ndarray], places: list[np.ndarray], sets: list[tuple]) -> pd.DataFrame:
+        rows = np.array(sets, np.int64)
+        rows = np.repeat(rows[:, 1:], rows[:, 0], axis=0)
+        return pd.DataFrame({"key": signed(np.concatenate(keys)), "node": rows[:, 0], "size": rows[:, 1].astype(np.int32),
+                             "pos": np.concatenate(places).astype(np.int32), "m0": rows[:, 2].astype(np.int32),
+                             "m1": rows[:, 3].astype(np.int32), "m2": rows[:, 4].astype(np.int32)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = shared.value
         keys, places, sets, n = [], [], [], 0
@@ -154,13 +167,11 @@ def _keys(docs: DataFrame, like: Likeness, frequent: np.ndarray, small: int) ->
                 keys += [k for k, _ in made]
                 places += [pos for _, pos in made]
                 n += mine
-            if n > 200_000 or i < 0 and n:
-                rows = np.array(sets, np.int64)
-                rows = np.repeat(rows[:, 1:], rows[:, 0], axis=0)
-                yield pd.DataFrame({"key": signed(np.concatenate(keys)), "node": rows[:, 0], "size": rows[:, 1].astype(np.int32),
-                                    "pos": np.concatenate(places).astype(np.int32), "m0": rows[:, 2].astype(np.int32),
-                                    "m1": rows[:, 3].astype(np.int32), "m2": rows[:, 4].astype(np.int32)})
+            if n > 100_000:
+                yield told(keys, places, sets)
                 keys, places, sets, n = [], [], [], 0
+        if n:
+            yield told(keys, places, sets)
 
     return docs.select("text").mapInPandas(run, "key long, node long, size int, pos int, m0 int, m1 int, m2 int")
 
@@ -268,8 +279,8 @@ def _whole_sets(nodes: DataFrame, docs: DataFrame, meta: DataFrame, like: Likene
     if reps.where("doc_id is null").head(1):
         nameless = docs.where("doc_id is null").select("text").mapInPandas(run, "node long, tokens array<long>")
         found = found.unionByName(nameless.join(reps.where("doc_id is null").select("node"), "node", "left_semi"))
-    # rows that repeat a doc_id or have none may give a node twice
-    return stored(found.dropDuplicates(["node"]))
+    with small_batches(docs.sparkSession):  # rows that repeat a doc_id or have none may give a node twice
+        return stored(found.dropDuplicates(["node"]))
 
 
 def _check(pairs: DataFrame, bits: DataFrame, whole, like: Likeness) -> DataFrame:
@@ -409,7 +420,8 @@ def jaccard_components(docs: DataFrame, like: Likeness, most_frequent: int = 4_0
     """``doc_id, n_shingles, component_id`` for every row. ``tries`` bounds the early candidates of a set
     (see above); whatever they leave open is joined in full afterwards."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    first = stored(_sets_and_counts(docs, like))
+    with small_batches(docs.sparkSession):
+        first = stored(_sets_and_counts(docs, like))
     meta = stored(first.where("size is not null").select("doc_id", "size", "node"))
     bits = stored(first.where("node is not null").select("node", "size", "bits").dropDuplicates(["node"]))
     total = meta.agg(F.count("*").alias("n"), F.sum("size").alias("s")).first()
@@ -425,7 +437,8 @@ def jaccard_components(docs: DataFrame, like: Likeness, most_frequent: int = 4_0
     mean_list = (single + sum(n * n * k for n, k in rare)) / (single + sum(n * k for n, k in rare))
     small = boundary(like, mean_list)
 
-    lists = stored(_neighbours(_keys(docs, like, frequent, small)))
+    with small_batches(docs.sparkSession):
+        lists = stored(_neighbours(_keys(docs, like, frequent, small)))
     near = lists.where("p is not null and p.node <> x.node").where(_may_link(like, "p", "x"))
     seen = stored(_pairs(near, "p", "x"))
     # every list of two different sets is checked by now; longer ones go on

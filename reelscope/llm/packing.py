@@ -5,7 +5,7 @@ white space; the distinct words of a piece of text are put together from cached
 tokenised whole, in bounded caches that end with the task. The ids are joined as little-endian 32-bit bytes. Each document ends with ``end_id``. Documents longer than ``capacity`` are cut into pieces of
 ``capacity`` ids; the last piece may be shorter.
 
-Packing: the pieces (a few numbers each, no ids) are dealt out evenly, sorted by falling length in each
+Packing: the pieces (a few numbers each, no ids) are stored, dealt out evenly, sorted by falling length in each
 task, and placed online by best fit: a bitset keyed by free space gives the open bin with the least
 space that is enough. At most ``open_bins`` bins are open; when one more is needed, the fullest closes.
 A task's memory is bounded by that number. The order is a total one, so a repeated task packs alike.
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import no_null, null_again, text_batches
+from reelscope.llm.common import no_null, null_again, small_batches, stored, text_batches
 
 WORD_CACHE = 100_000
 PART_CACHE = 250_000
@@ -237,4 +237,6 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, open_bins: int = 4096)
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = 4096,
                    open_bins: int = 4096) -> DataFrame:
-    return pack_pieces(tokenize_pieces(docs, vocabulary, end_id, capacity), capacity, open_bins)
+    with small_batches(docs.sparkSession):
+        pieces = stored(tokenize_pieces(docs, vocabulary, end_id, capacity))
+    return pack_pieces(pieces, capacity, open_bins)
