@@ -11,10 +11,11 @@ the same document) is removed.
    if its file holds other contexts too, or if it may repeat in itself (its least part comes twice in it).
    Only those contexts' bytes are fetched.
 3. Closer look, file by file in bounded chunks of whole files: contexts are dealt to shards; each shard's
-   suffixes are sorted and its transform taken (over four-byte symbols, one sequence from each of four places); the
+   suffixes are sorted and its transform taken (over symbols of up to 20 bytes, ``step`` of them, a divisor of ``length``;
+   one sequence from each of ``step`` places); the
    shards' transforms are merged by iterative interleave refinement: round h puts the interleave in order
    of the first h symbols, by one stable pass over the merged transform, and marks where neighbours
-   begin to differ. After ``length / 4`` rounds the unmarked runs are the intervals of suffixes with a
+   begin to differ. After ``length / step`` rounds the unmarked runs are the intervals of suffixes with a
    common prefix of ``length`` bytes; merging never compares or sorts suffixes again. In every interval
    all but the earliest string are repeats.
 4. Repeats become byte runs per document, joined with the texts: by broadcast if there are few documents
@@ -48,8 +49,7 @@ STEP = 4
 
 def gram_hashes(raw: bytes) -> np.ndarray:
     """Hashes of all ``GRAM``-byte parts, doubled up from 8-byte words."""
-    a = np.frombuffer(raw, np.uint8)
-    h = scramble(np.lib.stride_tricks.sliding_window_view(a, 8).copy().view(np.uint64).ravel())
+    h = scramble(np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,)))
     width = 8
     while width < GRAM:
         h = scramble(h[:-width] * np.uint64(0x9E3779B97F4A7C15) + (h[width:] ^ (h[width:] >> np.uint64(29))))
@@ -111,47 +111,83 @@ def _files(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInPandas(run, "file long, name long, doc long, first long, n long, again boolean")
 
 
-def symbols_of(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(symbol at every byte, first byte of every context, number of symbols): a symbol stands for four
-    bytes and keeps their order."""
-    raw = np.frombuffer(b"".join(contexts) + b"\0" * 3, np.uint8).astype(np.uint32)
-    four = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
-    names, symbol = np.unique(four, return_inverse=True)
-    size = np.array([len(c) for c in contexts])
-    return symbol, np.concatenate([[0], np.cumsum(size)[:-1]]), len(names)
+def packed_sort(names: list[np.ndarray], bits: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(stable order by the names, those of 64 bits together sorted as one number with their index; whether each one
+    begins other names than the one before). ``bits`` tells how many each column of names needs."""
+    n = len(names[0])
+    low = max(n - 1, 1).bit_length()
+    if sum(bits) + low > 64:
+        order = np.lexsort(names[::-1])
+        fresh = np.ones(n, bool)
+        fresh[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in names])
+        return order, fresh
+    key = names[0].astype(np.uint64)
+    for x, more in zip(names[1:], bits[1:], strict=True):
+        key <<= np.uint64(more)
+        key |= x.astype(np.uint64)
+    key <<= np.uint64(low)
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << low) - 1)).astype(np.int64)
+    key >>= np.uint64(low)
+    fresh = np.ones(n, bool)
+    np.not_equal(key[1:], key[:-1], out=fresh[1:])
+    return order, fresh
 
 
 def stable_order(x: np.ndarray, many: int) -> np.ndarray:
-    """The stable order of whole numbers below ``many``, by 16 bits at a time: numpy sorts those by radix."""
-    order = np.argsort(x.astype(np.uint16), kind="stable").astype(np.int32 if len(x) < 1 << 31 else np.int64)
-    for bits in range(16, max(many - 1, 1).bit_length(), 16):
-        order = order[np.argsort((x >> bits).astype(np.uint16)[order], kind="stable")]
-    return order
+    """The stable order of whole numbers below ``many``."""
+    return packed_sort([x], [max(many - 1, 1).bit_length()])[0]
+
+
+def symbol_bytes(length: int) -> int:
+    """Bytes of a symbol: wide ones need fewer rounds. They must divide ``length``."""
+    return max(x for x in range(STEP, 21) if length % x == 0)
+
+
+def symbols_of(contexts: list[bytes], step: int = STEP) -> tuple[np.ndarray, np.ndarray, int]:
+    """(symbol at every byte, first byte of every context, number of symbols): a symbol stands for ``step``
+    bytes, four at least, and keeps their order. Names of four bytes are doubled up."""
+    raw = np.frombuffer(b"".join(contexts) + b"\0" * 3, np.uint8).astype(np.uint32)
+    name, bits, width = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:], 32, 4
+    names = [name]
+    while True:
+        order, fresh = packed_sort(names, [bits] * len(names))
+        name = np.empty(len(order), np.int32)
+        name[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        many = int(fresh.sum())
+        if width == step:
+            break
+        more = min(width, step - width)
+        then = np.concatenate([name[more:], np.zeros(min(more, len(name)), np.int32)])
+        names, bits, width = [name, then], max(many - 1, 1).bit_length(), width + more
+    size = np.array([len(c) for c in contexts])
+    return name, np.concatenate([[0], np.cumsum(size)[:-1]]), many
 
 
 class Shard:
-    """The transform of some contexts: sequences of four-byte symbols from each of four places."""
+    """The transform of some contexts: sequences of ``step``-byte symbols from each of ``step`` places."""
 
-    def __init__(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray, kind: type):
-        phase = np.tile(np.arange(STEP), len(start))
-        m = np.maximum((np.repeat(size, STEP) - phase) // STEP, 0)
+    def __init__(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray, kind: type, step: int = STEP):
+        phase = np.tile(np.arange(step), len(start))
+        m = np.maximum((np.repeat(size, step) - phase) // step, 0)
         total = int((m + 1).sum())
-        seq = np.repeat(np.arange(len(m)), m + 1)
-        place = np.arange(total) - np.repeat(np.concatenate([[0], np.cumsum(m + 1)[:-1]]), m + 1)
-        left = m[seq] - place  # symbols up to the end
-        byte = phase[seq] + STEP * place
-        symbol = symbols[np.minimum(np.repeat(start, STEP)[seq] + byte, len(symbols) - 1)]
+        ends = np.cumsum(m + 1)
+        seq = np.repeat(np.arange(len(m), dtype=np.int32), m + 1)
+        at = np.arange(total)
+        left = (ends - 1)[seq] - at  # symbols up to the end
+        place = m[seq] - left
+        byte = phase[seq] + step * place
+        symbol = symbols[np.minimum(np.repeat(start, step)[seq] + byte, len(symbols) - 1)]
         rank = np.where(left > 0, symbol + 1, 0)
-        many = int(symbols.max()) + 1
-        order = self._suffixes(rank, left, many + 1)
-        self.ends = len(m)
+        order = self._suffixes(rank, left, int(symbols.max(initial=0)) + 2)
         self.starts = place[order] == 0  # no symbol before: the end mark
         before = np.where(self.starts, 0, order - 1)
         self.bwt = symbol[before].astype(kind)
-        inner = np.flatnonzero(~self.starts)
-        self.back = np.full(total, -1, np.int32)  # where the suffix one symbol longer stands, by the transform
-        self.back[inner[stable_order(self.bwt[inner], many)]] = np.arange(self.ends, total)
-        self.context = np.asarray(number, np.int32)[seq[order] // STEP]
+        stands = np.empty(total, np.int32)
+        stands[order] = np.arange(total, dtype=np.int32)
+        self.back = np.where(self.starts, -1, stands[before])  # where the suffix one symbol longer stands
+        self.context = np.asarray(number, np.int32)[seq[order] // step]
         self.byte = byte[order].astype(np.int32)
 
     @staticmethod
@@ -166,20 +202,18 @@ class Shard:
             alone = fresh & np.concatenate([fresh[1:], [True]])
             return np.maximum.accumulate(np.where(fresh, at, 0)), ~alone
 
-        order = stable_order(rank, many)
-        head, shared = heads(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]), np.arange(total))
+        order, fresh = packed_sort([rank], [max(many - 1, 1).bit_length()])
+        head, shared = heads(fresh, np.arange(total, dtype=np.int32))
         name = np.empty(total, np.int32)
         name[order] = head
-        at, width, longest = np.flatnonzero(shared), 1, int(left.max())
+        at, width, longest, bits = np.flatnonzero(shared), 1, int(left.max()), total.bit_length()
         while width <= longest and len(at):
             some = order[at]
             # beyond the end is 0, less than any name
             then = np.where(left[some] >= width, name[np.minimum(some + width, total - 1)] + 1, 0)
-            by = stable_order(then, total + 1)
-            by = by[stable_order(name[some[by]], total)]
-            some, then = some[by], then[by]
-            first = name[some]
-            head, shared = heads(np.concatenate([[True], (first[1:] != first[:-1]) | (then[1:] != then[:-1])]), at)
+            by, fresh = packed_sort([name[some], then], [bits, bits])
+            some = some[by]
+            head, shared = heads(fresh, at)
             order[at], name[some] = some, head
             at = at[shared]
             width *= 2
@@ -201,11 +235,11 @@ def merged_intervals(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.n
     size, blocks = len(bwt), 1
     for _ in range(rounds):
         longer = back[here]
-        kept = np.flatnonzero((longer >= 0) & open_[longer]).astype(np.int32)
-        symbol = bwt[here[kept]]
-        order = stable_order(symbol, many)
-        kept, s = kept[order], symbol[order]
+        kept = np.flatnonzero((longer >= 0) & open_[longer])
+        order = stable_order(bwt[here[kept]], many)
+        kept = kept[order]
         now, b = longer[kept], block[kept]
+        s = bwt[here[kept]]
         fresh = np.ones(len(now) + 1, bool)
         fresh[1:-1] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
         shared = ~(fresh[:-1] & fresh[1:])
@@ -222,12 +256,13 @@ def merged_intervals(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.n
 def repeated_strings(contexts: list[bytes], doc: np.ndarray, first: np.ndarray, n: np.ndarray, length: int,
                      shard_bytes: int = 262_144) -> tuple[np.ndarray, np.ndarray]:
     """(context, place) of every string that also starts earlier in these contexts."""
-    symbols, start, many = symbols_of(contexts)
+    step = symbol_bytes(length)
+    symbols, start, many = symbols_of(contexts, step)
     size = np.array([len(c) for c in contexts])
     cut = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(size) // shard_bytes)) + 1, [len(contexts)]])
     kind = np.uint16 if many < 65536 else np.uint32
-    shards = [Shard(symbols, start[p:q], size[p:q], np.arange(p, q), kind) for p, q in zip(cut, cut[1:], strict=False) if q > p]
-    block, context, byte = merged_intervals(shards, length // STEP)
+    shards = [Shard(symbols, start[p:q], size[p:q], np.arange(p, q), kind, step) for p, q in zip(cut, cut[1:], strict=False) if q > p]
+    block, context, byte = merged_intervals(shards, length // step)
     whole = byte < n[context]
     block, context, byte = block[whole], context[whole].astype(np.int64), byte[whole].astype(np.int64)
     order = np.lexsort((first[context] + byte, doc[context], block))
