@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import NO_ID, no_null, null_again, scramble, signed, stored
+from reelscope.llm.common import NO_ID, no_null, null_again, scramble, signed, small_batches, stored
 
 GRAM = 32
 STEP = 4
@@ -116,7 +116,7 @@ def packed_sort(names: list[np.ndarray], bits: list[int]) -> tuple[np.ndarray, n
     begins other names than the one before). ``bits`` tells how many each column of names needs."""
     n = len(names[0])
     low = max(n - 1, 1).bit_length()
-    if sum(bits) + low > 64:
+    if sum(bits) + low > 64 or low > 31:
         order = np.lexsort(names[::-1])
         fresh = np.ones(n, bool)
         fresh[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in names])
@@ -124,15 +124,16 @@ def packed_sort(names: list[np.ndarray], bits: list[int]) -> tuple[np.ndarray, n
     key = names[0].astype(np.uint64)
     for x, more in zip(names[1:], bits[1:], strict=True):
         key <<= np.uint64(more)
-        key |= x.astype(np.uint64)
+        np.bitwise_or(key, x, out=key, dtype=np.uint64, casting="unsafe")
     key <<= np.uint64(low)
-    key |= np.arange(n, dtype=np.uint64)
+    np.bitwise_or(key, np.arange(n, dtype=np.uint32), out=key, dtype=np.uint64, casting="unsafe")
     key.sort()
-    order = (key & np.uint64((1 << low) - 1)).astype(np.int64)
+    order = key.astype(np.uint32)
+    order &= np.uint32((1 << low) - 1)
     key >>= np.uint64(low)
     fresh = np.ones(n, bool)
     np.not_equal(key[1:], key[:-1], out=fresh[1:])
-    return order, fresh
+    return order.view(np.int32), fresh
 
 
 def stable_order(x: np.ndarray, many: int) -> np.ndarray:
@@ -149,8 +150,8 @@ def symbols_of(contexts: list[bytes], step: int = STEP) -> tuple[np.ndarray, np.
     """(symbol at every byte, first byte of every context, number of symbols): a symbol stands for ``step``
     bytes, four at least, and keeps their order. Names of four bytes are doubled up."""
     raw = np.frombuffer(b"".join(contexts) + b"\0" * 3, np.uint8).astype(np.uint32)
-    name, bits, width = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:], 32, 4
-    names = [name]
+    names, bits, width = [raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]], 32, 4
+    del raw
     while True:
         order, fresh = packed_sort(names, [bits] * len(names))
         name = np.empty(len(order), np.int32)
@@ -235,7 +236,7 @@ def merged_intervals(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.n
     size, blocks = len(bwt), 1
     for _ in range(rounds):
         longer = back[here]
-        kept = np.flatnonzero((longer >= 0) & open_[longer])
+        kept = np.flatnonzero((longer >= 0) & open_[longer]).astype(np.int32)
         order = stable_order(bwt[here[kept]], many)
         kept = kept[order]
         now, b = longer[kept], block[kept]
@@ -340,7 +341,8 @@ def _hot_repeats(asked: DataFrame, length: int) -> DataFrame:
                 out += [(doc, int(a), int(b) + length) for a, b in zip(places[[0, *(edge + 1)]], places[[*edge, -1]], strict=True)]
             yield pd.DataFrame(out, columns=["doc", "a", "b"])
 
-    strings = stored(asked.mapInPandas(cut, "file long, name long, doc long, at long, place long"))
+    with small_batches(asked.sparkSession):
+        strings = stored(asked.mapInPandas(cut, "file long, name long, doc long, at long, place long"))
     lead = strings.groupBy("file", "name").agg(F.min(F.struct("doc", "place")).alias("lead"), F.count("*").alias("many"))
     later = strings.join(lead.where("many > 1"), ["file", "name"]).where(F.col("lead") != F.struct("doc", "place"))
     places = later.groupBy("doc", "at").agg(F.sort_array(F.collect_set("place")).alias("places"))
@@ -365,7 +367,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, chunk_bytes: int = 2_000_
         "*", (lead != F.struct("doc", "first")).alias("copy"),
         (F.first("name").over(whole) != F.last("name").over(whole)).alias("mixed"))
     filed = filed.where(F.col("copy") | F.col("mixed") | F.col("again"))
-    filed = stored(filed.select("file", "doc", "first", "n", "copy"))
+    with small_batches(docs.sparkSession):
+        filed = stored(filed.select("file", "doc", "first", "n", "copy"))
 
     each = filed.where("not copy").select("file", "doc", "first", "n").distinct()
     hot = stored(hot_files(each, length, chunk_bytes))
@@ -414,7 +417,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, chunk_bytes: int = 2_000_
                 out.append(np.array(done, "<i8").tobytes())
             yield pd.DataFrame({"doc": batch["doc"], "runs": out})
 
-    runs = stored(runs.mapInPandas(merge, "doc long, runs binary"))
+    with small_batches(docs.sparkSession):
+        runs = stored(runs.mapInPandas(merge, "doc long, runs binary"))
     return _with_texts(docs, runs, "left", most_broadcast).select("doc_id", "runs", "text")
 
 
@@ -431,7 +435,7 @@ def kept_bytes(text: str | None, runs: bytes | None) -> tuple[int, list[tuple[in
 
 
 def digests(removed: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``; stored."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -442,6 +446,7 @@ def digests(removed: DataFrame) -> DataFrame:
             frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield frame
 
-    out = removed.select(no_null("doc_id"), "runs", "text").mapInPandas(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    with small_batches(removed.sparkSession):
+        out = stored(removed.select(no_null("doc_id"), "runs", "text").mapInPandas(
+            run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
     return out.withColumn("doc_id", null_again("doc_id"))

@@ -63,3 +63,23 @@ def test_names_too_wide_for_one_number_sort_alike():
         assert (x == y).all()
     order, fresh = S.packed_sort([a, b], [4, 3])
     assert order.tolist() == sorted(range(500), key=lambda i: (a[i], b[i], i)) and fresh.sum() == len(set(zip(a.tolist(), b.tolist(), strict=True)))
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch, tmp_path):
+    """Every step of op 7 that hands texts to Python runs under the limit."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("abcdefgh ", k=300)) for _ in range(6)]
+    rows = [(i, texts[i % 6] + str(i) + texts[(i + 1) % 6][:150]) for i in range(18)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path := f"{tmp_path}/docs")
+    before, seen, store = spark.conf.get(limit), [], S.stored
+
+    def spy(df):
+        if "MapInPandas" in df._jdf.queryExecution().toString():
+            seen.append(spark.conf.get(limit))
+        return store(df)
+    monkeypatch.setattr(S, "stored", spy)
+    for chunk_bytes in (2_000_000, 150):  # no hot file; hot files
+        out = S.digests(S.remove_repeats(spark.read.parquet(path), chunk_bytes=chunk_bytes))
+        assert "MapInPandas" not in out._jdf.queryExecution().toString() and out.where("n_removed > 0").count() > 6
+    assert len(seen) == 7 and set(seen) == {"2000000"} and spark.conf.get(limit) == before
