@@ -259,6 +259,28 @@ def _split(rows: pa.Table, words: str) -> Iterator[pa.Table]:
         yield rows.slice(start, end - start)
 
 
+def _groups(rows: pa.Table, by: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The combination of ``by`` of every row as a number from 0, and the first row of each."""
+    group = np.zeros(rows.num_rows, dtype=np.int64)
+    for c in by:
+        one = rows[c].combine_chunks().dictionary_encode(null_encoding="encode")
+        group = np.unique(group * (len(one.dictionary) + 1) + one.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    return group, np.unique(group, return_index=True)[1]
+
+
+def _named(rows: pa.Table, by: list[str], words: pa.Array, terms: np.ndarray, **counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``by, term`` and ``counts`` of terms given as numbers (place of its row, word + 1, second word + 1 or 0)."""
+    wide = len(words) + 1
+    second = terms % wide
+    for some in (second == 0, second > 0):
+        left = words.take(pa.array(terms[some] // wide % wide - 1))
+        term = pc.binary_join_element_wise(left, words.take(pa.array(second[some] - 1)), " ") if second[some].any() else left
+        held = rows.select(by).take(pa.array(terms[some] // (wide * wide))).combine_chunks().append_column("term", term)
+        for name, n in counts.items():
+            held = held.append_column(name, pa.array(n[some]))
+        yield from held.to_batches(max_chunksize=100_000)
+
+
 def _count_part(rows: pa.Table, by: list[str], stop: pa.Array) -> Iterator[pa.RecordBatch]:
     """Per combination of ``by`` the words and pairs of words of the rows' ``_words``: the numpy side of ``count_ngrams``."""
     lists = pc.split_pattern(rows["_words"].combine_chunks(), " ")
@@ -267,11 +289,8 @@ def _count_part(rows: pa.Table, by: list[str], stop: pa.Array) -> Iterator[pa.Re
     words, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     if not len(ids):
         return
-    group, of_row = np.zeros(rows.num_rows, dtype=np.int64), np.arange(rows.num_rows)
-    for c in by:
-        one = rows[c].combine_chunks().dictionary_encode(null_encoding="encode")
-        group = np.unique(group * (len(one.dictionary) + 1) + one.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-    first = np.unique(group, return_index=True)[1]
+    of_row = np.arange(rows.num_rows)
+    group, first = _groups(rows, by)
     wide = len(words) + 1
     if len(first) * wide * wide >= 1 << 61:  # keys would not fit into 64 bits
         half = rows.num_rows // 2
@@ -289,13 +308,7 @@ def _count_part(rows: pa.Table, by: list[str], stop: pa.Array) -> Iterator[pa.Re
     terms = keys >> 1
     starts = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
     n, n_raw, terms = np.add.reduceat(counts, starts), np.add.reduceat(counts * (keys & 1), starts), terms[starts]
-    second = terms % wide
-    for some in (second == 0, second > 0):
-        left = words.take(pa.array(terms[some] // wide % wide - 1))
-        term = pc.binary_join_element_wise(left, words.take(pa.array(second[some] - 1)), " ") if second[some].any() else left
-        held = rows.select(by).take(pa.array(first[terms[some] // (wide * wide)])).combine_chunks()
-        yield from held.append_column("term", term).append_column("n", pa.array(n[some])) \
-                       .append_column("n_raw", pa.array(n_raw[some])).to_batches(max_chunksize=100_000)
+    yield from _named(rows.take(pa.array(first)), by, words, terms, n=n, n_raw=n_raw)
 
 
 def count_ngrams(df: DataFrame, text: str, by: Sequence[str], stopwords: Sequence[str]) -> DataFrame:
@@ -387,7 +400,7 @@ def time_bins(df: DataFrame, keys: Sequence[str], stamp: str, bins: int = 20) ->
     keys = list(keys)
     secs = F.unix_micros(F.col(stamp).cast("timestamp")).cast("double")
     bounds = df.groupBy(*keys).agg(F.min(secs).alias("_lo"), F.max(secs).alias("_hi"))
-    j = df.join(bounds, keys)  # one row per group
+    j = df.join(F.broadcast(bounds), keys)  # one row per group
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     b = F.when(width == 0, F.lit(0)).otherwise(F.floor((secs - F.col("_lo")) / width))
     return j.withColumn("time_bin", F.least(b, F.lit(bins - 1)).cast("long")).drop("_lo", "_hi")
@@ -400,6 +413,127 @@ def topics_over_time(df: DataFrame, keys: Sequence[str], stamp: str, bins: int =
         F.count(F.lit(1)).alias("frequency"), F.min(stamp).alias("first_stamp"))
 
 
+MARK_BITS = 23  # a term of a group has one of so many places (2 ** 23 bits are 1 MB)
+SEED_SHARE = 20_000  # words rarer than one in so many terms of a part are no seeds
+
+
+def _coded(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple]:
+    """Rows with words in parts of about ``COUNTED_BYTES``: the rows, the combination of ``by`` of each, its first row,
+    how many words each row has, the distinct words, and the (row, place of its word) of every occurrence."""
+    def parts() -> Iterator[pa.Table]:
+        held, size = [], 0
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            for part in _split(rows.filter(pc.greater(pc.binary_length(rows["_words"]), 0)), "_words"):
+                more = pc.sum(pc.binary_length(part["_words"])).as_py() or 0
+                if held and size + more > COUNTED_BYTES:
+                    yield pa.concat_tables(held)
+                    held, size = [], 0
+                if part.num_rows:
+                    held, size = [*held, part], size + more
+        if held:
+            yield pa.concat_tables(held)
+
+    for part in parts():
+        todo = [part]
+        while todo:
+            rows = todo.pop()
+            lists = pc.split_pattern(rows["_words"].combine_chunks(), " ")
+            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = pc.list_flatten(lists).dictionary_encode()
+            group, first = _groups(rows, by)
+            if len(first) * (len(coded.dictionary) + 1) ** 2 >= 1 << 62:  # numbers of terms would not fit into 64 bits
+                todo += [rows.slice(0, rows.num_rows // 2), rows.slice(rows.num_rows // 2)]
+                continue
+            yield (rows, group, first, lengths, coded.dictionary, np.repeat(np.arange(rows.num_rows), lengths),
+                   coded.indices.to_numpy().astype(np.int64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of every (non-empty) word's bytes, the same in every task."""
+    words = pa.concat_arrays([words.cast(pa.large_string())])
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)
+    sizes = np.diff(ends)
+    powers = np.multiply.accumulate(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+    at = np.arange(ends[-1] - ends[0]) - np.repeat(ends[:-1] - ends[0], sizes)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]].astype(np.uint64) + np.uint64(1)
+    return _mixed(np.add.reduceat(data * powers[at], ends[:-1] - ends[0]))
+
+
+def _places(group: np.ndarray, word: np.ndarray, second: np.ndarray | np.uint64 = np.uint64(0)) -> np.ndarray:
+    """The places of terms from the hashes of their group and words."""
+    return (_mixed(word * np.uint64(0xD6E8FEB86659FD93) + second + group) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
+def _bin_words(batches: Iterator[pa.RecordBatch], by: list[str], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """``by, term, n, _lost``: counts of the part's words per ``by``; under the null term the count of all words and pairs.
+    Words that a part holds rarely in a group (at most ``_lost`` times, once per part and group beside the null term) are left out."""
+    for rows, group, first, lengths, words, row, ids in _coded(batches, by):
+        wide = len(words)
+        total = np.bincount(group, 2 * lengths - 1).astype(np.int64)
+        one = _groups(rows, keys)[0][first]
+        few = np.bincount(one, total).astype(np.int64) // SEED_SHARE
+        key, n = np.unique(group[row] * wide + ids, return_counts=True)
+        at, word = key // wide, key % wide
+        same = np.unique(one[at] * wide + word, return_inverse=True)[1]
+        often = np.bincount(same, n)[same] > few[one[at]]
+        at, word, n = at[often], word[often], n[often]
+        lost = np.zeros(len(first) + len(at), np.int64)
+        lost[np.unique(one, return_index=True)[1]] = few
+        term = pa.concat_arrays([pa.nulls(len(first), words.type), words.take(pa.array(word))])
+        held = rows.select(by).take(pa.array(np.concatenate([first, first[at]]))).combine_chunks()
+        yield from held.append_column("term", term).append_column("n", pa.array(np.concatenate([total, n]))) \
+                       .append_column("_lost", pa.array(lost)).to_batches(max_chunksize=100_000)
+
+
+def _bin_marks(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """``_at``: the places of the terms whose weight in a bin could reach that bin's ``_reach``.
+
+    A term's share of a bin is no larger than its largest share of one of the bin's parts, and share * ln(1 + a / (share * z)) grows with
+    the share, so a term that is above ``_reach`` in the bin is so in a part."""
+    for rows, group, first, lengths, words, row, ids in _coded(batches, by):
+        wide = len(words) + 1
+        key = group[row] * wide * wide + (ids + 1) * wide
+        terms, n = np.unique(np.concatenate([key, (key[:-1] + ids[1:] + 1)[row[1:] == row[:-1]]]), return_counts=True)
+        at = terms // (wide * wide)
+        share = n / np.bincount(group, 2 * lengths - 1)[at]
+        z, a, reach = (rows[c].combine_chunks().take(pa.array(first)).to_numpy(zero_copy_only=False)[at] for c in ("_z", "_a", "_reach"))
+        some = share * np.log1p(a / (share * z)) >= reach
+        at, word, second = at[some], terms[some] // wide % wide - 1, terms[some] % wide
+        of_word, of_group = _hashes(words), rows["_group"].combine_chunks().take(pa.array(first)).to_numpy().view(np.uint64)
+        places = _places(of_group[at], of_word[word], np.concatenate([[np.uint64(0)], of_word])[second])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(places))], ["_at"])
+
+
+def _bin_terms(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """``by, term, n``: the counts of every word and pair whose place is among ``_marks``, which a task's first row brings."""
+    marks = np.zeros(1 << MARK_BITS, bool)
+
+    def read() -> Iterator[pa.RecordBatch]:
+        for i, batch in enumerate(batches):
+            if not i:
+                for bits in batch.column("_marks")[0].as_py():
+                    at = (bits["bucket"] - 1) * 8 * len(bits["bits"])
+                    marks[at:at + 8 * len(bits["bits"])] = np.unpackbits(np.frombuffer(bits["bits"], np.uint8), bitorder="little")
+            yield batch.drop_columns(["_marks"])
+
+    for rows, group, first, _, words, row, ids in _coded(read(), by):
+        wide = len(words) + 1
+        of_word, of_group = _hashes(words)[ids], rows["_group"].combine_chunks().to_numpy().view(np.uint64)[row]
+        pair = np.flatnonzero(row[1:] == row[:-1])
+        one = np.flatnonzero(marks[_places(of_group, of_word)])
+        pair = pair[marks[_places(of_group[pair], of_word[pair], of_word[pair + 1])]]
+        key = lambda at: group[row[at]] * wide * wide + (ids[at] + 1) * wide
+        terms, n = np.unique(np.concatenate([key(one), key(pair) + ids[pair + 1] + 1]), return_counts=True)
+        yield from _named(rows.take(pa.array(first)), by, words, terms, n=n)
+
+
 def topic_words_over_time(df: DataFrame, text: str, keys: Sequence[str], stamp: str, stopwords: Sequence[str],
                           bins: int = 20, k: int = 5, topic: str = "topic") -> DataFrame:
     """M8 (words): the top ``k`` words of every topic in every time bin it occurs in.
@@ -409,19 +543,36 @@ def topic_words_over_time(df: DataFrame, text: str, keys: Sequence[str], stamp:
     as long as the topic occurs in successive bins (a gap starts afresh), and the score is the mean of ``s`` and the
     term's weight in the whole topic, to 6 digits, ties by term. A term keeps one row per topic with a cell for each
     bin that holds it (at most ``bins``), and the recurrence runs inside that row; a word may be carried into a bin
-    without it. A term is carried on only where its weights could reach the ``k`` best: the scores that the whole topic's best
-    words have in a bin are a floor there, and rows below it are never written."""
+    without it.
+
+    Texts meet as their words, dealt by bin, and that one exchange is read three times. First words are counted: the scores
+    of a topic's best words are a floor that the ``k`` best of a bin reach at least. Then every word and pair of words
+    whose weight could lift it to a floor is marked by its hash (other terms with that hash come along, none is missed). At last
+    the marked terms are counted in full, and only those counts are shuffled."""
     keys = list(keys)
-    parts = count_ngrams(time_bins(df, keys, stamp, bins), text, [*keys, topic, "time_bin"], stopwords).drop("n_raw").repartition(*keys, "term")
-    counts = parts.groupBy(*keys, topic, "term", "time_bin").agg(F.sum("n").alias("n"))
-    terms = counts.groupBy(*keys, topic, "term").agg(
-        F.map_from_entries(F.collect_list(F.struct("time_bin", "n"))).alias("_cells"), F.sum("n").alias("_n"))  # at most ``bins``
-    terms = terms.withColumn("_f", F.sum("_n").over(Window.partitionBy(*keys, "term")))  # one row per topic
-    sizes = parts.groupBy(*keys, topic, "time_bin").agg(F.sum("n").alias("z"))
+    cell, stop = [*keys, topic, "time_bin"], sorted(set(stopwords))
+    plain = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    salts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 32)  # a large bin is many tasks' work
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c.name}`") for c in df.schema if isinstance(c.dataType, plain)]), F.lit(salts))
+    kept = F.filter(tokens(F.col(text)), lambda w: ~w.isin(stop)) if stop else tokens(F.col(text))
+    texts = time_bins(df, keys, stamp, bins).select(*cell, F.array_join(kept, " ").alias("_words"), salt.alias("_salt"))
+    texts = texts.repartition(*cell, "_salt").drop("_salt")  # a token holds no space
+    columns = [*[texts.schema[c] for c in cell], T.StructField("term", T.StringType()), T.StructField("n", T.LongType())]
+    hashed = F.xxhash64(*keys)
+
+    def cells(counts):  # a row per (topic, term) of counts per bin; at most ``bins`` cells
+        terms = counts.groupBy(*keys, topic, "term").agg(
+            F.map_from_entries(F.collect_list(F.struct("time_bin", "n"))).alias("_cells"), F.sum("n").alias("_n"))
+        return terms.withColumn("_f", F.sum("_n").over(Window.partitionBy(*keys, "term")))  # one row per topic
+
+    # both readings of the words see the same columns and filter, so they share one exchange
+    parts = texts.mapInArrow(lambda batches: _bin_words(batches, cell, keys), T.StructType([*columns, T.StructField("_lost", T.LongType())]))
+    parts = parts.where(" and ".join(f"`{c}` is not null" for c in keys) or "true").repartition(*keys, "term")
+    sizes = parts.groupBy(*cell).agg(F.sum(F.when(F.col("term").isNull() & (F.col("_lost") >= 0), F.col("n"))).alias("z"), F.sum("_lost").alias("_lost"))
     sizes = sizes.groupBy(*keys, topic).agg(F.sort_array(F.collect_list(F.struct("time_bin", "z"))).alias("_bins"),
-                                            F.sum("z").alias("_z"))
-    sizes = sizes.withColumn("_sizes", F.map_from_entries("_bins")).withColumn("_a", F.avg("_z").over(Window.partitionBy(*keys)))
-    idf = F.log(1 + F.col("_a") / F.col("_f"))
+                                            F.sum("z").alias("_z"), F.sum("_lost").alias("_lost"))
+    group = Window.partitionBy(*keys)
+    sizes = sizes.withColumns({"_sizes": F.map_from_entries("_bins"), "_a": F.avg("_z").over(group), "_lost": F.sum("_lost").over(group)})
     empty = F.struct(F.lit(None).cast("long").alias("bin"), F.lit(0.0).alias("s"),
                      F.array().cast("array<struct<time_bin:bigint,s:double>>").alias("done"))
 
@@ -433,25 +584,43 @@ def topic_words_over_time(df: DataFrame, text: str, keys: Sequence[str], stamp:
     walked = F.filter(F.aggregate("_bins", empty, step)["done"], lambda c: c["s"] > 0)
     score = F.round((F.col("_c.s") + F.col("_all")) / 2 * F.col("_idf") * F.lit(1e6)) / F.lit(1e6)
 
-    def scored(some):
-        rows = explode_list(some, walked, [*keys, topic, "term", "_idf", "_all"], "_c")
-        return rows.select(*keys, topic, F.col("_c.time_bin").alias("time_bin"), "term", score.alias("score"))
-    terms = terms.join(F.broadcast(sizes), [*keys, topic])  # a row per topic
-    terms = terms.withColumns({"_idf": idf, "_all": F.col("_n") / F.col("_z")})
-    # what the best words of the whole topic reach in a bin, the k-th best word there reaches at least
-    seeds = top_k(terms, [*keys, topic], 4 * k, [(F.col("_all") * F.col("_idf")).desc(), F.col("term")])
-    floors = scored(seeds).groupBy(*keys, topic, "time_bin").agg(F.sort_array(F.collect_list("score"), False).alias("_best"))  # 4 k
-    floors = floors.groupBy(*keys, topic).agg(
-        F.map_from_entries(F.collect_list(F.struct("time_bin", F.coalesce(F.get("_best", F.lit(k - 1)), F.lit(0.0))))).alias("_floors"))
-    # a bin without any of them has no floor
-    floors = floors.join(sizes.select(*keys, topic, F.size("_bins").alias("_held")), [*keys, topic], "right").withColumn(
-        "_lowest", F.when(F.size("_floors") == F.col("_held"), F.array_min(F.map_values("_floors"))).otherwise(0.0)).drop("_held")
-    bounded = terms.join(F.broadcast(floors), [*keys, topic])  # a row per topic
+    def weighed(terms, sizes, f):
+        return terms.join(F.broadcast(sizes), [*keys, topic]).withColumns(  # a row per topic
+            {"_idf": F.log(1 + F.col("_a") / f), "_all": F.col("_n") / F.col("_z")})
+
+    # what the best words of the whole topic reach in a bin, the k-th best word there reaches at least; a count too low only lowers it
+    told = parts.groupBy(*keys, topic, "term", "time_bin").agg(F.sum(F.when(F.col("_lost") >= 0, F.col("n"))).alias("n"), F.count("term").alias("_told"))
+    seeds = top_k(weighed(cells(told.where("_told > 0")), sizes, F.col("_f") + F.col("_lost")), [*keys, topic], 4 * k,
+                  [(F.col("_all") * F.col("_idf")).desc(), F.col("term")])
+    floors = explode_list(seeds, walked, [*keys, topic, "term", "_idf", "_all"], "_c")
+    floors = floors.select(*keys, topic, F.col("_c.time_bin").alias("time_bin"), score.alias("score"))
+    floors = floors.groupBy(*cell).agg(F.sort_array(F.collect_list("score"), False).alias("_best"))  # 4 k
+    lowest = F.greatest(F.coalesce(F.get("_best", F.lit(k - 1)), F.lit(0.0)) - F.lit(2e-6), F.lit(0.0))  # covers the rounding
+    floors = floors.groupBy(*keys, topic).agg(F.map_from_entries(F.collect_list(F.struct("time_bin", lowest))).alias("_floors"))
+    sizes = sizes.join(floors, [*keys, topic], "left")
     floor = lambda b: F.coalesce(F.try_element_at("_floors", b), F.lit(0.0))
+
+    # a term above the floor of a bin has such a weight in that bin, in one of its run before, or (by the whole topic) in any
+    reach = explode_list(sizes, F.col("_bins"), [*keys, topic, "_a", "_floors"], "_b").select(
+        *keys, topic, F.col("_b.time_bin").alias("time_bin"), F.col("_b.z").cast("double").alias("_z"), "_a", floor(F.col("_b.time_bin")).alias("_floor"))
+    whole = Window.partitionBy(*keys, topic)
+    reach = reach.withColumn("_run", F.col("time_bin") - F.row_number().over(whole.orderBy("time_bin")))
+    later = Window.partitionBy(*keys, topic, "_run").orderBy(F.col("time_bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    reach = reach.withColumn("_reach", F.least(F.min("_floor").over(later), F.min(F.when(F.col("_floor") > 0, F.col("_floor"))).over(whole)))
+    marks = texts.join(F.broadcast(reach.drop("_run", "_floor")), cell, "left").withColumn("_group", hashed)  # a row per bin of a topic
+    marks = marks.mapInArrow(lambda batches: _bin_marks(batches, cell), "_at long").distinct().withColumn("_at", F.col("_at") + 1)
+    marks = marks.groupBy(F.bitmap_bucket_number("_at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("bits"))
+    marks = marks.agg(F.collect_list(F.struct("bucket", "bits")).alias("_marks"), F.least(F.count("bucket"), F.lit(0)).alias("_row"))  # one row
+
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within its task, so its first row is 0
+    marked = texts.withColumns({"_group": hashed, "_row": row}).join(F.broadcast(marks), "_row", "left").drop("_row")
+    marked = marked.mapInArrow(lambda batches: _bin_terms(batches, cell), T.StructType(columns)).repartition(*keys, "term")
+    terms = weighed(cells(marked.groupBy(*keys, topic, "term", "time_bin").agg(F.sum("n").alias("n"))), sizes, F.col("_f"))
     # ``s`` is at most the largest weight of the term in a bin; a millionth covers the rounding
     most = F.array_max(F.transform(F.map_entries("_cells"), lambda c: c["value"] / F.try_element_at(F.col("_sizes"), c["key"])))
-    bounded = bounded.filter((most + F.col("_all")) / 2 * F.col("_idf") + F.lit(1e-6) >= F.col("_lowest"))
-    rows = explode_list(bounded, walked, [*keys, topic, "term", "_idf", "_all", "_floors"], "_c")
+    lowest = F.array_min(F.transform("_bins", lambda b: floor(b["time_bin"])))
+    terms = terms.filter((most + F.col("_all")) / 2 * F.col("_idf") + F.lit(1e-6) >= lowest)
+    rows = explode_list(terms, walked, [*keys, topic, "term", "_idf", "_all", "_floors"], "_c")
     rows = rows.filter(score >= floor(F.col("_c.time_bin")))
     rows = rows.select(*keys, topic, F.col("_c.time_bin").alias("time_bin"), "term", score.alias("score"))
     return top_k(rows, [*keys, topic, "time_bin"], k, [F.col("score").desc(), F.col("term")], "rank")
